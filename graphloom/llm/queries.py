@@ -7,11 +7,31 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe as _bpe
 from . import pii as _pii
 from . import quality as _quality
+from . import sharding as _sharding
 from .common import read
 
 
+#: The documents lie in so many old shards, by source, before they are dealt to the new ones.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    placed = _sharding.reshard(read(spark, sf_dir, "documents"), old, NEW_SHARDS, "rows")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ranks = rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    back = _bpe.decode(_bpe.encode(read(spark, sf_dir, "documents"), ranks), ranks)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _quality.quality(read(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,5 +106,5 @@ per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s
 SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
+QUERIES = {"op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
 ORACLES = {"op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
