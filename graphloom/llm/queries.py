@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as _bpe
+from . import linedup as _linedup
 from . import pii as _pii
 from . import quality as _quality
 from . import sharding as _sharding
 from .common import read
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _linedup.dedup_lines(docs, count_cols=True)
+
+
 #: The documents lie in so many old shards, by source, before they are dealt to the new ones.
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
@@ -46,6 +52,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACES = r"[\x20\x09-\x0D]"
 
 
+def line_dedup_sql(table: str) -> str:
+    """Common table expressions up to ``deduped``: the documents of ``table`` without later repeated passages."""
+    return rf"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {table}), unnest(range(1, len(ls) + 1)) AS u(i)),
+c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM l WHERE w > 0),
+win AS (SELECT doc_id, pos, list(line) OVER r AS content, max(pos) OVER r AS last, max(before + w) OVER r - before AS total FROM c
+  WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {_linedup.WORDS - 1} FOLLOWING)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS n FROM win WHERE total >= {_linedup.WORDS}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM nth WHERE n > 1),
+left_over AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+deduped AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines,
+  coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(n_kept, 0) AS n_removed, d.lang, d.source, d.n_chars FROM {table} d LEFT JOIN left_over k ON d.doc_id = k.doc_id)
+"""
+
+
 def _op7_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(_quality.STOP_WORDS))
     checks = " AND ".join(re.sub(r"(\d)D\b", r"\1", r.sql()) for r in _quality.RULES)
@@ -106,5 +128,5 @@ per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s
 SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
-ORACLES = {"op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
+ORACLES = {"op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
