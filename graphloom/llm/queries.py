@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as _bpe
+from . import decontam as _decontam
 from . import jaccard as _jaccard
 from . import linedup as _linedup
 from . import pii as _pii
@@ -16,6 +17,10 @@ from . import sharding as _sharding
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return _linedup.dedup_lines(docs, count_cols=True)
@@ -133,5 +138,5 @@ per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s
 SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
 ORACLES = {"op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}

@@ -40,9 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (maximal runs without ASCII white space), and each text's number of words."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+#: Folding: ASCII punctuation and control characters part words.
+_FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def word_hashes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (maximal runs without ASCII white space), and each text's number of words.
+
+    ``fold`` lowers case and lets ASCII punctuation part words.
+    """
+    if fold:
+        data = [t.lower().encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts]
+    else:
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
     buffer = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
     inside = ~_SPACE[buffer]
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
