@@ -61,26 +61,6 @@ class Block:
         return chosen
 
 
-class Lookup:
-    """Finds values of a sorted array: a bit table first, then a search."""
-
-    BITS = 1 << 20
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.table = np.zeros(self.BITS, bool)
-        self.table[(values & np.uint64(self.BITS - 1)).astype(np.intp)] = True
-
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that are known, and which value each is."""
-        if not len(self.values):
-            return np.zeros(0, np.intp), np.zeros(0, np.intp)
-        maybe = np.flatnonzero(self.table[(grams & np.uint64(self.BITS - 1)).astype(np.intp)])
-        at = np.minimum(np.searchsorted(self.values, grams[maybe]), len(self.values) - 1)
-        same = self.values[at] == grams[maybe]
-        return maybe[same], at[same]
-
-
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, words a text, n-grams, and n-grams a text (none in a text under ``N`` words)."""
     words, counts = S.word_hashes(texts, fold=True)
@@ -177,7 +157,7 @@ def _finder(docs: DataFrame, text_col: str, block: Block, threshold: float):
     known = spark.sparkContext.broadcast(block)  # at most about BLOCK_BYTES of text
 
     def count(batch: pa.RecordBatch) -> dict | None:
-        look = Lookup(known.value.distinct)
+        look = S.Lookup(known.value.distinct)
         _, _, grams, n = _grams([t or "" for t in batch.column(0).to_pylist()])
         where, which = look.find(grams)
         if not len(where):
@@ -200,7 +180,7 @@ def _finder(docs: DataFrame, text_col: str, block: Block, threshold: float):
 
     def find(texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         values, of_gram = shared.value
-        return matches(texts, known.value, seeds, Lookup(values), of_gram, threshold)
+        return matches(texts, known.value, seeds, S.Lookup(values), of_gram, threshold)
 
     return find
 

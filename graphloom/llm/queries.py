@@ -14,6 +14,7 @@ from . import linedup as _linedup
 from . import pii as _pii
 from . import quality as _quality
 from . import sharding as _sharding
+from . import toxicity as _toxicity
 from .common import read
 
 
@@ -53,6 +54,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = _toxicity.score(docs, model)
+    return scored.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.pii(read(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base_spans, x -> x.kind = '{k.name}')) as long)").alias(f"n_{k.name}") for k in _pii.KINDS if k.base_kind]
@@ -138,5 +146,5 @@ per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s
 SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii}
 ORACLES = {"op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
