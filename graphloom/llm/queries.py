@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import decontam as _decontam
+from . import htmltext as _htmltext
 from . import jaccard as _jaccard
 from . import linedup as _linedup
 from . import pii as _pii
@@ -67,7 +68,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(_pii.joined("base_spans")), 256).alias("base_sha256"), F.expr(_pii.joined("spans")).alias("spans"))
 
 
-_SPACES = r"[\x20\x09-\x0D]"
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = _htmltext.extract(pages, _htmltext.fit(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def line_dedup_sql(table: str) -> str:
@@ -146,5 +150,5 @@ per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s
 SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text}
 ORACLES = {"op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
