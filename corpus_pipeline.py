@@ -1,3 +1,69 @@
-STAGES = []
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, decontam, jaccard, linedup, toxicity
+from graphloom.llm.common import read, written
+
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores under one half. The model learns from the
+    rows of ``labels`` outside the held-out fold; a text without evidence stays."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, score_col="__toxicity")
+    return scored.where("__toxicity < 0.5").drop("__toxicity")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages leave the texts; ``n_chars`` follows. All documents stay."""
+    return linedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; texts without words stay."""
+    return jaccard.dedup(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that align with no item of ``benchmark``."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` (packed little-endian unsigned 32-bit) and digests of the ids and
+    of the bytes they decode to; a null text has no ids."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANK_FILE)
+    back = bpe.decode(bpe.encode(docs, ranks), ranks)
+    return back.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", dedup_near),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", tokenise),
+]
+
+#: Stages learn models and align words, which SQL can't; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

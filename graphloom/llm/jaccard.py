@@ -285,9 +285,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group: the least id (of copies with the same id and text, any one).
     Rows without words stay."""
-    gone = jaccard_classes(docs, id_col, text_col, threshold).where("NOT stays").select(F.col(id_col).alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()
-    gone = written(gone, "near-copies").hint("shuffle_hash")
+    decided = written(jaccard_classes(docs, id_col, text_col, threshold).select(F.col(id_col).alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), "stays", "n_copies"), "near-classes")
+    gone = decided.where("NOT stays").select("__gone_id", "__gone_hash").distinct().hint("shuffle_hash")
     left = docs.withColumn("__text_hash", F.xxhash64(text_col))
     kept = left.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left_anti")
-    has_words = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("__n", F.when(has_words, F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, "__text_hash", "__n"]).drop("__text_hash", "__n")
+    # rows with the same id and text carry the same decision: where there are any, one of them stays
+    if not decided.where("stays AND n_copies > 0").groupBy("__gone_id", "__gone_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        has_words = F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.withColumn("__n", F.when(has_words, F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, "__text_hash", "__n"]).drop("__n")
+    return kept.drop("__text_hash")
