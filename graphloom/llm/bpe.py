@@ -155,7 +155,7 @@ class Vocabulary:
     """Ranks of byte strings, merging with a bounded cache, and the bytes of all ids in one array."""
 
     #: Characters the cache may hold; pieces over LONG bytes are merged with a heap.
-    MOST_CACHED, LONG = 8 << 20, 96
+    MOST_CACHED, LONG = 2 << 20, 96
     NONE = 1 << 30
 
     def __init__(self, ranks: dict[bytes, int]):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES, MOST_BYTES = 8 << 20, 1 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -56,10 +57,11 @@ def text_of(column: str = "text") -> Column:
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(list of columns as Python lists) -> dict`` over record batches.
 
-    ``fn`` gets a ``pyarrow.RecordBatch`` and returns a dict of columns; batches
-    keep their size, so memory follows ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    and ``maxBytesPerBatch``.
+    ``fn`` gets a ``pyarrow.RecordBatch`` and returns a dict of columns. Spark's batches
+    are held to BATCH_BYTES and ``fn``'s to MOST_BYTES (one row at least), so a worker's
+    memory doesn't follow the lengths of the texts that happen to lie side by side.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -75,7 +77,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def split_batch(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
+def split_batch(batch: pa.RecordBatch, most_bytes: int = MOST_BYTES):
     """Slices of a batch of about ``most_bytes`` each, one row at least."""
     if batch.num_rows <= 1 or batch.nbytes <= most_bytes:
         yield batch
