@@ -1 +1,6 @@
+"""All registered queries over the reference graphs."""
 
+from . import graph_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "graph_queries"]
