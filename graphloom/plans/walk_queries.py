@@ -384,7 +384,7 @@ def _(t):
 
 @query(
     "m4_full_pool_recall",
-    f"""WITH {KG}, hr AS (SELECT DISTINCT h, r FROM kg WHERE split = 'test'), cand AS ({POOL}), s AS (SELECT h || ':' || r AS src, node AS cand, {draw_sql("h || ':' || r || ':' || node")} AS score FROM hr, cand ANTI JOIN (SELECT h, r, t AS node FROM kg WHERE split = 'train') x USING (h, r, node)),
+    f"""WITH {KG}, hr AS (SELECT DISTINCT h, r FROM kg WHERE split = 'test'), cand AS ({POOL}), s AS (SELECT h || ':' || r AS src, node AS cand, {draw_sql("h || ':' || r || ':' || node")} AS score FROM (SELECT h, r, node FROM hr, cand) ANTI JOIN (SELECT h, r, t AS node FROM kg WHERE split = 'train') x USING (h, r, node)),
 rk AS (SELECT src, cand, row_number() OVER (PARTITION BY src ORDER BY score DESC, cand) AS rank FROM s), tg AS (SELECT h || ':' || r AS src, t AS cand FROM kg WHERE split = 'test'),
 n0 AS (SELECT src, count(*) AS n FROM tg GROUP BY src), n AS (SELECT src, n, (SELECT sum(1 / log2(k + 1.0::DOUBLE)) FROM unnest(range(1, least(n, 20) + 1)) AS u(k)) AS ideal FROM n0),
 h AS (SELECT rk.src, count(*) AS h, sum(1 / log2(rank + 1.0::DOUBLE)) AS dcg FROM rk JOIN tg ON tg.src = rk.src AND tg.cand = rk.cand WHERE rank <= 20 GROUP BY rk.src)
