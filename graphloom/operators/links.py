@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.draws import draw
 from .splits import permuted
 
-ONE = F.lit(1).cast("double")
+ONE = 1.0
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

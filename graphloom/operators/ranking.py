@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ONE = F.lit(1).cast("double")
+ONE = 1.0
 
 
 def true_ranks(scores: DataFrame, truth: DataFrame, known: DataFrame | None = None, ties: str = "pessimistic") -> DataFrame:
