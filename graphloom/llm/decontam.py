@@ -29,7 +29,7 @@ from . import shingles as S
 from .common import arrow_map, split_batch
 
 #: Words of a seed, n-grams of a stretch, and the least score of a match.
-N, STRETCH, THRESHOLD = 4, 6, 0.5
+N, STRETCH, THRESHOLD = 3, 3, 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 #: Cells of an alignment matrix row that are computed at once.
