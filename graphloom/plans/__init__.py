@@ -1,6 +1,6 @@
 """All registered queries over the reference graphs."""
 
-from . import graph_queries, table_queries, walk_queries
+from . import graph_queries, stream_queries, table_queries, walk_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "table_queries", "walk_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "stream_queries", "table_queries", "walk_queries"]
