@@ -12,18 +12,22 @@ ONE = 1.0
 def true_ranks(scores: DataFrame, truth: DataFrame, known: DataFrame | None = None, ties: str = "pessimistic") -> DataFrame:
     """``qid, cand, rank`` of each query's true candidate. ``known(qid, cand)`` are left out, but for the truth.
 
-    One join brings the true score beside every candidate, one aggregation counts:
-    scores at least as high (``pessimistic``; the truth counts itself) or above (``optimistic``).
+    Scores are read once: a window over the query brings the true score beside every
+    candidate, and the count reuses that shuffle. Counted are other scores at least as
+    high (``pessimistic``; the truth counts itself) or above (``optimistic``).
     """
     real = truth.select("qid", F.col("cand").alias("true_cand"))
-    true_score = scores.join(real, (scores["qid"] == real["qid"]) & (scores["cand"] == real["true_cand"])).select(scores["qid"], "true_cand", F.col("score").alias("true_score"))
-    pool = scores.join(known.select("qid", "cand"), ["qid", "cand"], "left_anti") if known is not None else scores
-    met = pool.join(true_score, "qid")
-    other = F.col("cand") != F.col("true_cand")
+    met = scores.join(real, "qid")
+    if known is not None:
+        met = met.join(known.select("qid", "cand").distinct().withColumn("__known", F.lit(True)), ["qid", "cand"], "left")
+    else:
+        met = met.withColumn("__known", F.lit(None).cast("boolean"))
+    is_true = F.col("cand") == F.col("true_cand")
+    own = Window.partitionBy("qid", "true_cand")
+    met = met.withColumn("true_score", F.max(F.when(is_true, F.col("score"))).over(own))
     beats = F.col("score") >= F.col("true_score") if ties == "pessimistic" else F.col("score") > F.col("true_score")
-    counted = met.groupBy("qid", "true_cand").agg(F.count_if(other & beats).alias("above"))
-    full = true_score.join(counted, ["qid", "true_cand"], "left")
-    return full.select("qid", F.col("true_cand").alias("cand"), (F.coalesce("above", F.lit(0)) + 1).alias("rank"))
+    counted = met.where("true_score IS NOT NULL").groupBy("qid", "true_cand").agg(F.count_if(~is_true & F.col("__known").isNull() & beats).alias("above"))
+    return counted.select("qid", F.col("true_cand").alias("cand"), (F.col("above") + 1).alias("rank"))
 
 
 def rank_metrics(ranks: DataFrame, by: str | None = None, hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:

@@ -349,7 +349,9 @@ def _scored(t):
     """Every supplier's synthetic score for every test query: a full scoring by definition."""
     n = t.part.agg(F.count("*").alias("n"))
     cand = t.supplier.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.col("n")).alias("cand"))
-    queries = t.triples().where("split = 'test'").select(F.concat_ws(":", "h", "r", "t").alias("qid"), "h", "r", "t")
+    # the product is made where the queries lie: spread them first, by the key that ranking needs
+    wide = t.spark.sparkContext.defaultParallelism
+    queries = t.triples().where("split = 'test'").select(F.concat_ws(":", "h", "r", "t").alias("qid"), "h", "r", "t").repartition(wide, "qid")
     scores = queries.select("qid").crossJoin(cand).select("qid", "cand", (draw(F.col("qid"), ":", F.col("cand")) % 1000).alias("score"))
     known = queries.join(t.triples().select("h", "r", F.col("t").alias("cand")), ["h", "r"]).where("cand <> t").select("qid", "cand")
     return queries, scores, known
@@ -394,7 +396,8 @@ def _(t):
     n = t.part.agg(F.count("*").alias("n"))
     kg = t.triples()
     cand = t.supplier.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.col("n")).alias("t"))
-    fresh = kg.where("split = 'test'").select("h", "r").distinct().crossJoin(cand).join(kg.where("split = 'train'").select("h", "r", "t"), ["h", "r", "t"], "left_anti")
+    wide = t.spark.sparkContext.defaultParallelism
+    fresh = kg.where("split = 'test'").select("h", "r").distinct().repartition(wide, "h", "r").crossJoin(cand).join(kg.where("split = 'train'").select("h", "r", "t"), ["h", "r", "t"], "left_anti")
     src = F.concat_ws(":", "h", "r")
     scored = fresh.select(src.alias("src"), F.col("t").alias("cand"), draw(F.col("h"), ":", F.col("r"), ":", F.col("t")).alias("score"))
     ranked = scored.select("src", "cand", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "cand")).alias("rank")).where("rank <= 20")
