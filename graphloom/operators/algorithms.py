@@ -102,3 +102,32 @@ def nearest_labelled(cells: DataFrame, labelled: DataFrame) -> DataFrame:
     other = labelled.select(F.col("grid").alias("g"), F.col("row").alias("lr"), F.col("col").alias("lc"))
     met = cells.join(other, F.col("grid") == F.col("g"))
     return met.groupBy("grid", "row", "col").agg(F.min(F.abs(F.col("row") - F.col("lr")) + F.abs(F.col("col") - F.col("lc"))).alias("hop"))
+
+
+def laplacian_encodings(nodes: DataFrame, edges: DataFrame, k: int, rounds: int = 12) -> DataFrame:
+    """``node, pe``: approximations to the ``k`` smoothest non-constant eigenvectors of the normalised
+    Laplacian, by orthogonal iteration on (I + normalised adjacency) / 2.
+
+    A round is one join along the edges and one aggregation of a (k + 1)-square Gram
+    matrix, which alone comes to the driver; vectors stay distributed. Signs are fixed
+    by the largest entry's.
+    """
+    import numpy as np
+
+    from ..functions.draws import uniform
+
+    width = k + 1
+    d = node_degrees(edges)
+    weighed = edges.join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst").select("src", "dst", (1.0 / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))
+    x = nodes.select("node", F.array(*[uniform(f"pe{c}|", F.col("node")) - 0.5 for c in range(width)]).alias("x"))
+    for step in range(rounds):
+        got = weighed.join(x.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(*[F.sum(F.col("w") * F.col("x")[c]).alias(f"y{c}") for c in range(width)])
+        y = x.join(got, "node", "left").select("node", F.array(*[(F.col("x")[c] + F.coalesce(f"y{c}", F.lit(0.0))) / 2 for c in range(width)]).alias("x"))
+        y = settled(y)
+        gram = y.agg(*[F.sum(F.col("x")[a] * F.col("x")[b]).alias(f"g{a}_{b}") for a in range(width) for b in range(a, width)]).first()
+        g = np.array([[gram[f"g{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(width)] for a in range(width)])
+        values, vectors = np.linalg.eigh(g)
+        scale = vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
+        x = y.select("node", F.array(*[sum((F.col("x")[a] * float(scale[a, c]) for a in range(width)), F.lit(0.0)) for c in range(width)]).alias("x"))
+    top = x.agg(*[F.max_by(F.col("x")[c], F.struct(F.round(F.abs(F.col("x")[c]), 9), -F.col("node"))).alias(f"t{c}") for c in range(1, width)]).first()
+    return x.select("node", F.array(*[F.col("x")[c] * (-1.0 if (top[f"t{c}"] or 0) < 0 else 1.0) for c in range(1, width)]).alias("pe"))

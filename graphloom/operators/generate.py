@@ -115,3 +115,17 @@ def ordered_ring(labels: DataFrame) -> DataFrame:
     """Nodes in order of (label, id) within each label, tied to the next."""
     own = Window.partitionBy("label").orderBy("node")
     return labels.select(F.col("node").alias("src"), F.lead("node").over(own).alias("dst")).where("dst IS NOT NULL")
+
+
+def corrected_blocks(spark: SparkSession, n: int, classes: int, within: float, between: float, seed: str) -> DataFrame:
+    """A block model whose nodes have weights in [0.5, 1.5): a pair's chance is its blocks' times both weights."""
+    def weight(node):
+        return uniform(seed, "w|", node) + 0.5
+
+    p = F.when(F.col("src") % classes == F.col("dst") % classes, within).otherwise(between) * weight(F.col("src")) * weight(F.col("dst"))
+    return bernoulli_pairs(spark, n, 1.0, seed).where(uniform(seed, "e|", F.col("src"), "|", F.col("dst")) < p)
+
+
+def motifs_for_rate(n: int, length: int, rate: float) -> int:
+    """How many disjoint cycles of ``length`` give a share ``rate`` of ``n`` nodes on a cycle, at most what fits."""
+    return max(0, min(n // length, round(rate * n / length)))

@@ -163,3 +163,31 @@ def budget(nodes: Column) -> Column:
     for most, walks, steps in reversed(tier):
         out = F.when(nodes <= most, F.struct(F.lit(walks).alias("walks"), F.lit(steps).alias("steps"))).otherwise(out)
     return out
+
+
+def with_neighbours(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``walk_id, pos, node, anon, is_nbr[, restart]``: after a node's first visit, records of its
+    neighbours that the walk has seen (but for the one it comes from), by rank of first visit;
+    cut at the walk's length. Two equi-joins over first visits; nothing is gathered."""
+    from .algorithms import settled
+
+    walks = settled(walks)  # read five times below
+    rows = positions(walks)
+    own = Window.partitionBy("walk_id")
+    length = walks.select("walk_id", F.size("path").alias("len"))
+    first = rows.groupBy("walk_id", "node").agg(F.min("pos").alias("first"))
+    ranked = first.withColumn("anon", F.row_number().over(own.orderBy("first")))
+    before = rows.select("walk_id", (F.col("pos") + 1).alias("first"), F.col("node").alias("prev"))
+    seen = ranked.select(F.col("walk_id").alias("w"), F.col("node").alias("m"), F.col("first").alias("m_first"), F.col("anon").alias("m_anon"))
+    links = ranked.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src"))
+    met = links.join(seen, (F.col("walk_id") == F.col("w")) & (F.col("dst") == F.col("m"))).where("m_first <= first")
+    met = met.join(before, ["walk_id", "first"], "left").where("prev IS NULL OR prev <> m")
+    extra = met.select("walk_id", F.col("first").alias("at"), F.col("m").alias("node"), F.col("m_anon").alias("anon"), F.lit(True).alias("is_nbr"))
+    base = rows.join(ranked.drop("first"), ["walk_id", "node"]).select("walk_id", F.col("pos").alias("at"), "node", "anon", F.lit(False).alias("is_nbr"))
+    order = own.orderBy("at", "is_nbr", "anon")
+    placed = base.unionByName(extra).withColumn("pos", F.row_number().over(order) - 1).join(length, "walk_id").where("pos < len")
+    out = placed.select("walk_id", "pos", "node", "anon", "is_nbr", "at")
+    if "restart" in rows.columns:
+        marks = rows.select("walk_id", F.col("pos").alias("at"), "restart")
+        out = out.join(marks, ["walk_id", "at"]).withColumn("restart", F.col("restart") & ~F.col("is_nbr"))
+    return out.drop("at")

@@ -152,3 +152,20 @@ def test_registry():
     from graphloom.plans import ORACLES, QUERIES
 
     assert set(ORACLES) <= set(QUERIES) and len(ORACLES) > 200
+
+
+def test_neighbour_records(spark, tadpole):
+    _, edges = tadpole
+    walks = spark.createDataFrame([(0, [0, 1, 2, 3])], "walk_id long, path array<long>")
+    got = WK.with_neighbours(walks, edges).orderBy("pos").collect()
+    assert [(r["node"], r["anon"], r["is_nbr"]) for r in got] == [(0, 1, False), (1, 2, False), (2, 3, False), (0, 1, True)]
+
+
+def test_npz_rows(spark, tmp_path):
+    import numpy as np
+
+    from graphloom.sources.arrays import read_npz
+
+    np.savez(tmp_path / "g.npz", edges=np.array([[0, 1], [1, 2]]), labels=np.array([3, 4, 5]))
+    got = sorted((r["name"], r["i"], r["values"]) for r in read_npz(spark, str(tmp_path / "g.npz")).collect())
+    assert got == [("edges", 0, [0.0, 1.0]), ("edges", 1, [1.0, 2.0]), ("labels", 0, [3.0]), ("labels", 1, [4.0]), ("labels", 2, [5.0])]
