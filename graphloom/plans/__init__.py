@@ -1,4 +1,4 @@
-"""All registered queries over the reference graphs."""
+"""All registered queries, by module."""
 
 from . import graph_queries, late_queries, more_queries, stream_queries, table_queries, walk_queries
 from .registry import ORACLES, QUERIES
