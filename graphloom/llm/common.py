@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES, MOST_BYTES = 8 << 20, 1 << 20
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[sc.applicationId]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once an application: they need not
+    lie where workers start, nor be installed there."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    path = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="graphloom-"), f"{root.name}.zip"))
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(Path(root.name) / file.relative_to(root)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here and a lost
     executor costs a re-read, not a recomputation."""
@@ -61,6 +78,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     are held to BATCH_BYTES and ``fn``'s to MOST_BYTES (one row at least), so a worker's
     memory doesn't follow the lengths of the texts that happen to lie side by side.
     """
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

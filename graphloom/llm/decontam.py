@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import arrow_map, split_batch
+from .common import arrow_map, ship, split_batch
 
 #: Words of a seed, n-grams of a stretch, and the least score of a match.
 N, STRETCH, THRESHOLD = 3, 3, 0.5
@@ -153,6 +153,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 
 def _finder(docs: DataFrame, text_col: str, block: Block, threshold: float):
     """A function from texts to matches with the block's items, after the scan that counts n-grams."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(block)  # at most about BLOCK_BYTES of text
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batch
+from .common import ship, split_batch
 
 SAMPLE = 400
 #: Smoothness between neighbours in the page, and between neighbours below one parent.
@@ -380,6 +380,8 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Model
     """The classifier of at most ``sample`` pages; only sums of block features travel to the driver."""
     chosen = pages.select(F.col(html_col).alias("html")).where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(sample)
 
+    ship(pages.sparkSession)
+
     def rows(batches):
         for batch in batches:
             for markup in batch.column(0).to_pylist():
@@ -396,6 +398,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Model
 
 def extract(pages: DataFrame, model: Model, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text in ``text_col``."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     plain = pages.drop(text_col) if text_col != html_col else pages
     at = plain.columns.index(html_col)
