@@ -277,6 +277,39 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_finds_what_unseeded_alignment_finds(spark):
+    """Edits at every 4th or 5th word, and words put in between, also where the originals lie elsewhere."""
+    import numpy as np
+
+    from graphloom.llm import shingles
+
+    rng = random.Random(12)
+    pool = words(rng, 150).split()
+    items = [" ".join(rng.choice(pool) if rng.random() < 0.6 else words(rng, 1) for _ in range(rng.randint(3, 45))) for _ in range(14)]
+    texts, sure = [], set()
+    for k, item in enumerate(items):
+        w = item.split()
+        changed = [" ".join(words(rng, 1) if i % step == step - 1 else x for i, x in enumerate(w)) for step in (3, 4, 5)]
+        spread = [" ".join(x + " " + words(rng, 1) if i % step == 0 else x for i, x in enumerate(w)) for step in (1, 2, 3)]
+        for n, copy in enumerate([*changed, *spread]):
+            if len(w) >= 20 and n in (1, 2, 4, 5):
+                sure.add((len(texts), k))
+            texts.append(" ".join([*rng.choices(pool, k=rng.randint(0, 60)), copy, *rng.choices(pool, k=30)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def hashed(text):
+        return shingles.word_hashes([text], fold=True)[0]
+
+    for extra in ([], items):  # without and with the originals among the documents
+        found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(table(spark, texts + extra), bench).collect()}
+        pairs = [(d, k) for d in range(len(texts + extra)) for k in range(len(items))]
+        best, _, _ = decontam.align([hashed(items[k]) for _, k in pairs], [hashed((texts + extra)[d]) for d, _ in pairs])
+        size = np.array([len(items[k].split()) for _, k in pairs])
+        expected = {p: b / (2 * n) for p, b, n in zip(pairs, best.tolist(), size.tolist()) if b >= max(n, 2 * decontam.N)}
+        assert sure <= set(expected)
+        assert found == pytest.approx(expected)
+
+
 def test_alignment_against_plain_smith_waterman():
     import numpy as np
 
