@@ -6,8 +6,12 @@ smallest line hash is its fingerprint. Equal windows choose equal fingerprints,
 so every repeated passage is guaranteed to show up among fingerprints that stand
 at two positions or more. Those positions are joined; around them the windows to
 both sides are compared by content, and the union of the windows seen earlier is
-the maximal repeated run, which is deleted. The earliest occurrence, by id and
-then line, stays.
+deleted. The earliest occurrence, by id and then line, stays.
+
+These windows cover a repeated run from its first line up to the end of the last
+window that fits, which leaves up to ``words - 1`` words behind. ``extend`` adds the
+shortest runs that end at a line. Every line of a repeated run lies in a window of
+one of the two kinds within the run, so that their union is the maximal run.
 
 All of it is DataFrame code. Rows are shuffled as line hashes (by document), as
 sparse fingerprints and as the few windows around repeated ones, and once as
@@ -38,29 +42,45 @@ _LINES = (
 )
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """All passages' windows: document, first and last line, fingerprint with its line, and content hashes."""
+def windows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, extend: bool = False) -> DataFrame:
+    """All passages' windows: document, first and last line, fingerprint with its line, and content hashes.
+
+    ``extend`` adds the shortest runs that end at a line, where they aren't windows already.
+    """
     lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text_hash"), F.expr(_LINES.format(t=f"`{text_col}`")).alias("lines"))
     lines = lines.where("size(lines) > 0").groupBy(*_KEY).agg(F.first("lines").alias("lines"))
     flat = lines.select(*_KEY, F.explode("lines").alias("x")).select(*_KEY, "x.*")
     by_line = Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = flat.withColumn("before", F.coalesce(F.sum("w").over(by_line), F.lit(0)))
     ahead = Window.partitionBy(*_KEY).orderBy("before").rangeBetween(0, words - 1)
-    found = placed.select(
-        *_KEY,
-        "pos",
-        F.max("pos").over(ahead).alias("last"),
-        F.min(F.struct("h", "pos")).over(ahead).alias("fp"),
-        F.xxhash64(F.collect_list("h").over(ahead)).alias("w1"),
-        F.expr("bit_xor(h2)").over(ahead).alias("w2"),
-        (F.max(F.col("before") + F.col("w")).over(ahead) - F.col("before")).alias("total"),
-    )
+
+    def window(over, *more):
+        return [
+            F.min("pos").over(over).alias("pos"),
+            F.max("pos").over(over).alias("last"),
+            F.min(F.struct("h", "pos")).over(over).alias("fp"),
+            F.xxhash64(F.collect_list("h").over(over)).alias("w1"),
+            F.expr("bit_xor(h2)").over(over).alias("w2"),
+            *more,
+        ]
+
+    if extend:
+        placed = placed.withColumn("upto", F.col("before") + F.col("w"))
+        behind = Window.partitionBy(*_KEY).orderBy("upto").rangeBetween(1 - words, 0)
+        ways = [
+            F.struct(*window(ahead, (F.max("upto").over(ahead) - F.col("before")).alias("total"))),
+            # without its last line such a run still has the words, or it is a window of its first line
+            F.struct(*window(behind, (F.col("before") - F.min("before").over(behind)).alias("total"))),
+        ]
+        found = placed.select(*_KEY, *[x.alias(f"way{k}") for k, x in enumerate(ways)]).select(*_KEY, F.explode(F.array("way0", "way1")).alias("x")).select(*_KEY, "x.*")
+    else:
+        found = placed.select(*_KEY, *window(ahead, (F.max(F.col("before") + F.col("w")).over(ahead) - F.col("before")).alias("total")))
     return found.where(F.col("total") >= words).select(*_KEY, "pos", "last", F.col("fp.h").alias("fp"), F.col("fp.pos").alias("fp_pos"), "w1", "w2")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, extend: bool = False) -> DataFrame:
     """The windows that occur earlier: ``__id, __text_hash, pos, last``."""
-    found = written(windows(docs, id_col, text_col, words), "line-windows")
+    found = written(windows(docs, id_col, text_col, words, extend), "line-windows")
     place = F.struct(*_KEY, "fp_pos")
     shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
     near = found.join(written(shared, "line-fingerprints"), "fp", "left_semi")
@@ -70,12 +90,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return near.join(firsts, ["w1", "w2"]).where(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos", "last")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, count_cols: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from the text.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, count_cols: bool = False, extend: bool = False) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted from the text, with ``extend`` up to their last lines.
 
     ``count_cols`` adds ``n_lines`` (of the text before) and ``n_removed``.
     """
-    gone = repeated(docs, id_col, text_col, words).groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "last")).alias("__runs"))
+    gone = repeated(docs, id_col, text_col, words, extend).groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "last")).alias("__runs"))
     gone = gone.withColumn("__gone", F.expr("array_distinct(flatten(transform(__runs, r -> sequence(r.pos, r.last))))")).drop("__runs")
     gone = gone.select(F.col("__id").alias("__gone_id"), F.col("__text_hash").alias("__gone_hash"), "__gone")
     # a join that keeps the texts unsorted: the deletions are the hashed side

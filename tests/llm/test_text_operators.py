@@ -136,6 +136,29 @@ def test_line_dedup_brute_force(spark):
     assert got == expected
 
 
+def test_line_dedup_extends_to_the_last_line(spark):
+    """Against all equal runs of 50 words or more, by pairs of places."""
+    rng = random.Random(4)
+    passages = ["\n".join(words(rng, n) for n in sizes) for sizes in ((30, 30, 15), (100, 20), (60,), (20, 20), (7,), (10, 10, 10, 10, 15, 3))]
+    texts = [f"{words(rng, 9)}\n{p}\n{words(rng, 9)}" for p in passages[:2] for _ in range(2)]
+    for _ in range(40):
+        texts.append("\n".join(rng.choice(passages) if rng.random() < 0.7 else words(rng, rng.randint(1, 70)) for _ in range(rng.randint(1, 5))))
+    full = [[(i, x, len(WORD.findall(x))) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for t in texts]
+    gone = [set() for _ in texts]
+    for d, own in enumerate(full):
+        for e in range(d + 1):
+            for a in range(len(own)):
+                for b in range(a if e == d else len(full[e])):
+                    n = 0
+                    while a + n < len(own) and b + n < len(full[e]) and own[a + n][1] == full[e][b + n][1]:
+                        n += 1
+                    if sum(x[2] for x in own[a : a + n]) >= linedup.WORDS:
+                        gone[d] |= {x[0] for x in own[a : a + n]}
+    expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)}
+    assert len(expected[1].split("\n")) == len(expected[3].split("\n")) == 2
+    assert {r["doc_id"]: r["text"] for r in linedup.dedup_lines(table(spark, texts), extend=True).collect()} == expected
+
+
 def test_line_dedup_odd_rows(spark, odd, empty):
     out = linedup.dedup_lines(odd)
     assert out.columns == odd.columns
