@@ -40,6 +40,22 @@ def hops(edges: DataFrame, seeds: DataFrame, budget: int | None = None) -> DataF
                 return seen
 
 
+def diameter(nodes: DataFrame, edges: DataFrame, sources: int, seed: str) -> DataFrame:
+    """``diameter, sources, reached``: the greatest eccentricity over so many sources, drawn by ``seed``
+    (all nodes where there are fewer), and how many (source, node) pairs have a path."""
+    from .splits import permuted
+
+    seen = settled(permuted(nodes, seed).where(F.col("k") < sources).select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")))
+    n, frontier, level = seen.count(), seen, 0
+    while True:
+        level += 1
+        fresh = frontier.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        frontier = settled(fresh.join(seen, ["source", "node"], "left_anti").withColumn("hop", F.lit(level)))
+        if frontier.isEmpty():
+            return seen.agg(F.max("hop").alias("diameter"), F.lit(n).alias("sources"), F.count("*").alias("reached"))
+        seen = settled(seen.unionByName(frontier))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, root``: the least node of each component (isolated nodes are their own), by hooking to the
     least neighbour and contracting: rounds grow with the logarithm of the longest path."""

@@ -215,6 +215,11 @@ def _(t):
     return A.hops(edges, seed).agg(F.max("hop").alias("eccentricity"), F.count("*").alias("reached"))
 
 
+@query("it5_diameter")
+def _(t):
+    return A.diameter(t.part_nodes(), t.part_edges(), 200, "it5|")
+
+
 @query("it13_intensity")
 def _(t):
     """The factor c with sum(min(c p, 1)) = a fifth of the rows, by bisection over one aggregate a step."""

@@ -45,6 +45,15 @@ def test_statistics(tadpole):
     assert ST.cycle_members(edges, 4).count() == 0 and ST.cycle_members(edges, 5).count() == 0
 
 
+def test_diameter_is_the_greatest_eccentricity(spark):
+    """The least node lies in a pair; a path of six lies elsewhere."""
+    pairs = [(0, 1), *((a, a + 1) for a in range(2, 7))]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    assert tuple(A.diameter(spark.range(9).toDF("node"), edges, 200, "d|").first()) == (5, 9, 4 + 36 + 1)
+    few = A.diameter(spark.range(9).toDF("node"), edges, 3, "d|").first()
+    assert few["sources"] == 3 and few["diameter"] <= 5
+
+
 def test_algorithms(tadpole):
     nodes, edges = tadpole
     assert {r["node"]: r["hop"] for r in A.hops(edges, nodes.where("node = 0")).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3}
