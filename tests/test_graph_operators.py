@@ -45,6 +45,15 @@ def test_statistics(tadpole):
     assert ST.cycle_members(edges, 4).count() == 0 and ST.cycle_members(edges, 5).count() == 0
 
 
+def test_bfs_query_follows_long_chains(spark, tmp_path):
+    from graphloom.plans import QUERIES
+
+    spark.range(16).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.createDataFrame([(20 * k, k + end) for k in range(15) for end in (0, 1)], "l_orderkey long, l_partkey long")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["node"]: r["hop"] for r in QUERIES["it1_bfs_hops"](spark, str(tmp_path)).collect()} == {k: k for k in range(16)}
+
+
 def test_diameter_is_the_greatest_eccentricity(spark):
     """The least node lies in a pair; a path of six lies elsewhere."""
     pairs = [(0, 1), *((a, a + 1) for a in range(2, 7))]
