@@ -421,6 +421,15 @@ def toxic_tables(spark, n=600):
     return table(spark, rows), spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
 
 
+def test_shouting_counts_every_letter():
+    import numpy as np
+
+    voters = toxicity.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    none = np.zeros(0, np.int64)
+    texts = ["Abcd" * 512, "aBCD" * 512, "AB c", "A b c"]  # of the first two, every fourth character is another case
+    assert [v >> (toxicity.VOTERS - 1) for v in voters.votes(texts, none, none).tolist()] == [0, 1, 0, 0]
+
+
 def test_toxicity_held_out(spark, odd, empty):
     docs, labels = toxic_tables(spark)
     model = toxicity.fit(docs, labels)
