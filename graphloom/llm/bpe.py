@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+from array import array
 from struct import pack
 
 import numpy as np
@@ -154,8 +155,8 @@ def token_starts(text: str, ends: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte strings, merging with a bounded cache, and the bytes of all ids in one array."""
 
-    #: Characters the cache may hold; pieces over LONG bytes are merged with a heap.
-    MOST_CACHED, LONG = 2 << 20, 96
+    #: Slices the cache may hold; pieces over LONG bytes are merged with a heap.
+    MOST_CACHED, LONG = 1 << 16, 96
     NONE = 1 << 30
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -168,15 +169,15 @@ class Vocabulary:
         self.places = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
-        pairs = {}  # every way to make a token from two
+        keys, made = array("q"), array("q")  # every way to make a token from two
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):
                 if (x := ranks.get(piece[:k])) is not None and (y := ranks.get(piece[k:])) is not None:
-                    pairs[x << 32 | y] = rank
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+                    keys.append(x << 32 | y)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.pair_keys, self.pair_ranks = np.frombuffer(keys, np.int64)[order], np.frombuffer(made, np.int64)[order]
         self.cache: dict[str, bytes] = {}
-        self.cached = 0
 
     def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x << 32 | y
@@ -185,10 +186,9 @@ class Vocabulary:
 
     def learn(self, slices: list[str]) -> None:
         """Merge the slices the cache lacks, all at once, into the cache."""
-        missing = set(slices).difference(self.cache)
-        if self.cached > self.MOST_CACHED:
+        if len(self.cache) > self.MOST_CACHED:
             self.cache.clear()
-            self.cached, missing = 0, set(slices)
+        missing = set(slices).difference(self.cache)
         words, pieces = [], []
         for s in missing:
             piece = s.encode("utf-8", "surrogatepass")
@@ -200,7 +200,6 @@ class Vocabulary:
             else:
                 words.append(s)
                 pieces.append(piece)
-            self.cached += len(s)
         if words:
             self.cache.update(zip(words, self._merge_all(pieces), strict=True))
 
@@ -357,13 +356,12 @@ def decode(df: DataFrame, rank_file: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         vocab = vocabulary(ranks.value)
-        ids = batch.column(2).to_pylist()
         places = [np.frombuffer(o, "<u4").astype(np.int64) for o in batch.column(3).to_pylist()]
         return {
             "id": batch.column(0),
             "n_tokens": batch.column(1),
             "ids": batch.column(2),
-            "decoded": [vocab.decode(i, o) for i, o in zip(ids, places, strict=True)],
+            "decoded": [vocab.decode(i, o) for i, o in zip(batch.column(2).to_pylist(), places, strict=True)],
         }
 
     source = df.select(F.col(id_col).alias("id"), "n_tokens", "ids", "offsets")
@@ -371,6 +369,20 @@ def decode(df: DataFrame, rank_file: str, id_col: str = "doc_id") -> DataFrame:
     return arrow_map(source, run, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
+def round_trip(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that a task needs one worker: id, ``n_tokens``, ``ids`` and ``decoded``."""
+    ranks = _shared(df, rank_file)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        vocab = vocabulary(ranks.value)
+        packed = vocab.encode([t or "" for t in batch.column(1).to_pylist()])
+        return {"id": batch.column(0), "n_tokens": [len(p) // 4 for p in packed], "ids": packed, "decoded": [vocab.decode(p, vocab.offsets(p)) for p in packed]}
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    return arrow_map(source, run, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+
+
 def as_array(packed: bytes) -> list[int]:
     """Packed ids as a list (for readers outside Spark)."""
     ids = np.frombuffer(packed, "<u4")

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES, MOST_BYTES = 8 << 20, 1 << 20
+#: Bytes of a batch as Spark sends it, and of a slice that a function gets.
+BATCH_BYTES, MOST_BYTES = 4 << 20, 1 << 18
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -66,6 +67,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import arrow_map, written
+from .common import arrow_map, free_name, written
 from .components import components
 
 THRESHOLD, RECALL, ROWS = 0.8, 0.9999, 4
 #: Members of a block, and shingles of a block where sets are compared.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Values whose bits are compared at once.
+COLUMNS = 1 << 14
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -190,12 +192,12 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
             members = [np.frombuffer(s, "<u8") for s in run.column("grams").to_pylist()]
             sizes = np.array([len(m) for m in members])
             _, local = np.unique(np.concatenate(members), return_inverse=True)
-            bits = _bit_sets(local, sizes)
+            common = _common(local, sizes)
             root, find = _roots(len(ids))
             links, other = np.zeros(len(ids), np.int64), [None] * len(ids)
             for i in range(len(ids) - 1):
-                common = np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int64)
-                hit = den * common >= num * (sizes[i + 1 :] + sizes[i] - common)
+                met = common[i, i + 1 :].astype(np.int64)
+                hit = den * met >= num * (sizes[i + 1 :] + sizes[i] - met)
                 if bi != bj:
                     hit &= own[i + 1 :] != own[i]
                 found = np.flatnonzero(hit) + i + 1
@@ -222,12 +224,28 @@ def _fraction(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def _bit_sets(local: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    width = -(-(int(local.max()) + 1) // 64)
-    bits = np.zeros((len(sizes), width * 8), np.uint8)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    np.bitwise_or.at(bits, (owner, local >> 3), (1 << (local & 7)).astype(np.uint8))
-    return bits.view(np.uint64)
+def _common(local: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of their values sets share, for pairs i < j; ``local`` numbers the sets' values, set by set.
+
+    Bits of COLUMNS values at a time bound the memory, whatever the sets hold; values of one set alone tie nothing.
+    """
+    count = np.bincount(local)
+    number = np.cumsum(count > 1) - 1
+    shared = count[local] > 1
+    owner, column = np.repeat(np.arange(len(sizes)), sizes)[shared], number[local[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sizes), len(sizes)), np.int32)
+    cuts = np.searchsorted(column, np.arange(0, int(number[-1]) + 1 + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        rows, row = np.unique(owner[a:b], return_inverse=True)
+        at = column[a:b] - k * COLUMNS
+        bits = np.zeros((len(rows), 8 * (int(at[-1]) // 64 + 1)), np.uint8)
+        np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        for i in range(len(rows) - 1):
+            common[rows[i], rows[i + 1 :]] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int32)
+    return common
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -285,12 +303,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group: the least id (of copies with the same id and text, any one).
     Rows without words stay."""
-    decided = written(jaccard_classes(docs, id_col, text_col, threshold).select(F.col(id_col).alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), "stays", "n_copies"), "near-classes")
-    gone = decided.where("NOT stays").select("__gone_id", "__gone_hash").distinct().hint("shuffle_hash")
-    left = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    kept = left.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left_anti")
+    decided = written(jaccard_classes(docs, id_col, text_col, threshold).select(F.col(id_col).alias("id"), "text_hash", "stays", "n_copies"), "near-classes")
+    gone_id, gone_hash, text_hash, nth = (free_name(docs, n) for n in ("__gone_id", "__gone_hash", "__text_hash", "__n"))
+    gone = decided.where("NOT stays").select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct().hint("shuffle_hash")
+    left = docs.withColumn(text_hash, F.xxhash64(text_col))
+    kept = left.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.col(text_hash) == F.col(gone_hash)), "left_anti")
     # rows with the same id and text carry the same decision: where there are any, one of them stays
-    if not decided.where("stays AND n_copies > 0").groupBy("__gone_id", "__gone_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not decided.where("stays AND n_copies > 0").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         has_words = F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.withColumn("__n", F.when(has_words, F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, "__text_hash", "__n"]).drop("__n")
-    return kept.drop("__text_hash")
+        kept = kept.withColumn(nth, F.when(has_words, F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, text_hash, nth]).drop(nth)
+    return kept.drop(text_hash)

@@ -9,7 +9,8 @@ _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _WORD = _RNG.integers(1, 1 << 63, WORDS + 3, dtype=np.uint64) | _U(1)
-_CHUNK = 1 << 20
+#: Places that share one table of powers: ranges are hashed in chunks, which keeps a worker's tables small.
+_CHUNK = 1 << 15
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -59,27 +60,32 @@ def word_hashes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.nd
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     bounds = np.cumsum([1, *[len(d) + 1 for d in data]])
     counts = np.diff(np.searchsorted(starts, bounds))
+    return range_hashes(_BYTE[buffer], starts, ends), counts
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ``values[start:end]`` for ranges in order of start and of end, of any length; equal for equal contents."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         low = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, low + _CHUNK)))
         high = ends[stop - 1]
-        if high - low > 2 * _CHUNK:  # one immense word
-            out[at] = _long_word(buffer[low:high])
+        if high - low > 2 * _CHUNK:  # one immense range
+            out[at] = _long_range(values[low:high])
         else:
-            prefix = _prefix(_BYTE[buffer[low:high]] * _POWER[: high - low])
+            prefix = _prefix(values[low:high] * _POWER[: high - low])
             a, b = starts[at:stop] - low, ends[at:stop] - low
             out[at:stop] = mix((prefix[b] - prefix[a]) * _INVERSE[a] + (b - a).astype(np.uint64))
         at = stop
-    return out, counts
+    return out
 
 
-def _long_word(word: np.ndarray) -> np.uint64:
-    total = _U(len(word))
+def _long_range(values: np.ndarray) -> np.uint64:
+    total = _U(len(values))
     with np.errstate(over="ignore"):
-        for k in range(0, len(word), _CHUNK):
-            part = word[k : k + _CHUNK]
-            total = total * _U(_ODD) + np.sum(_BYTE[part] * _POWER[: len(part)], dtype=np.uint64)
+        for k in range(0, len(values), _CHUNK):
+            part = values[k : k + _CHUNK]
+            total = total * _U(_ODD) + np.sum(part * _POWER[: len(part)], dtype=np.uint64)
     return mix(np.array([total]))[0]
 
 
