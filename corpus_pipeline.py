@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages leave the texts; ``n_chars`` follows. All documents stay."""
-    return linedup.dedup_lines(docs, extend=True).withColumn("n_chars", F.length("text").cast("long"))
+    return linedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path(RANK_FILE)
-    back = bpe.decode(bpe.encode(docs, ranks), ranks)
+    back = bpe.round_trip(docs, ranks)
     return back.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
