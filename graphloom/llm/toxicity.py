@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-Voters fire or stay silent on a text: word lists, and patterns (words, word
-beginnings and endings) mined from labelled rows by their log-likelihood ratio,
-plus two patterns of form. The label model has each voter's chance to fire on
-toxic and on clean texts, the class balance, and the voters' correlations within
-a class; it is estimated by expectation maximisation over the counts of vote
-patterns of *all* documents (at most 2**VOTERS of them), anchored by the labelled
-sample. Correlated voters share their weight. The classifier is a logistic
-regression over the presence of the mined features and listed words, trained on
-the model's posterior labels.
+Voters fire or stay silent on a text: word lists, and patterns mined from labelled
+rows by their log-likelihood ratio, a voter a kind (words, word beginnings of three
+lengths, endings), plus two patterns of form. The label model has each voter's chance
+to fire on toxic and on clean texts, the class balance, and the voters' correlations
+within a class; it is estimated by expectation maximisation over the counts of vote
+patterns of *all* documents (at most 2**VOTERS of them), which together weigh as much
+as the labelled sample at most. Correlated voters share their weight; labelled rows of
+a pattern correct its posterior. The classifier is a logistic regression over the
+presence of the mined features and listed words, trained on the posterior labels of
+*all* documents: their feature sets are counted and written once, and a round of
+training is one aggregation over that table.
 
 Labels are learnt from at most SAMPLE rows outside the held-out fold
 (crc32(id as text) mod 5 = 0), those of the smallest hash; nothing else is
@@ -32,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import arrow_map, ship, split_batch
+from .common import arrow_map, ship, split_batch, written
 
-#: Labelled rows that labels are learnt from, folds, and features mined at most.
-SAMPLE, FOLDS, FEATURES = 8000, 5, 1024
+#: Labelled rows that labels are learnt from, folds, rounds of training, and rows a pattern's posterior counts for beside labelled ones.
+SAMPLE, FOLDS, ROUNDS, TRUST = 8000, 5, 16, 5
 #: Least toxic rows that hold a mined feature, least share of toxic rows among those that do, and G².
 SUPPORT, PRECISION, RATIO = 4, 0.7, 20.0
 
@@ -47,52 +49,47 @@ LISTS = (
     "idiote crétin imbécile débile connard salaud ordure dummkopf vollidiot trottel abschaum versager estúpido imbécil tonto escoria basura".split(),
 )
 WORD, BEGIN3, BEGIN4, BEGIN5, END4 = range(5)
-#: Voters: the lists, mined words in three hands, beginnings of 3, 4 and 5, endings, three hits or more, shouting.
-VOTERS = len(LISTS) + 3 + 3 + 1 + 2
-LONGEST = 32
+#: Voters: the lists, the kinds of mined features, three features or more, shouting.
+VOTERS = len(LISTS) + 5 + 2
 _LETTER: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
+    """By code point: 1 for a letter or mark, 2 more for a capital."""
     global _LETTER
     if _LETTER is None:
         category = unicodedata.category
-        _LETTER = np.array([category(chr(c))[0] in "LM" for c in range(0x30000)])
+        _LETTER = np.fromiter(((category(chr(c))[0] in "LM") + 2 * chr(c).isupper() for c in range(0x30000)), np.uint8, 0x30000)
     return _LETTER
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts with a blank before, between and behind them, and where each text and the end starts."""
+    points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    return points, np.cumsum([1, *[len(t) + 1 for t in texts]])
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, hash and kind of every word's features: the word, its beginnings and its ending."""
     table = _letters()
-    lowered = [t.lower() for t in texts]
-    points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    inside = table[np.minimum(points, len(table) - 1)]
+    points, bounds = _points([t.lower() for t in texts])
+    inside = (table[np.minimum(points, len(table) - 1)] & 1).astype(bool)
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    bounds = np.cumsum([1, *[len(t) + 1 for t in lowered]])
     owner = np.searchsorted(bounds, starts, side="right") - 1
     sizes = ends - starts
-    hashes = np.zeros(len(starts), np.uint64)
+    codes = S.mix(points.astype(np.uint64) + np.uint64(1))
     out = []
 
     def add(which: np.ndarray, values: np.ndarray, kind: int) -> None:
         out.append((owner[which], S.mix(values + np.uint64((kind + 1) * 0x632BE59BD9B4E019 % (1 << 64))), np.full(len(which), kind)))
 
-    live = np.arange(len(starts))
-    for j in range(LONGEST):
-        if not len(live):
-            break
-        hashes[live] = hashes[live] * np.uint64(0x9E3779B97F4A7C15) + points[starts[live] + j].astype(np.uint64) + np.uint64(1)
-        live = live[sizes[live] > j + 1]
-        if j in (2, 3, 4):
-            which = live[sizes[live] > j + 2]  # words longer than the beginning by two
-            add(which, hashes[which], BEGIN3 + j - 2)
-    add(np.arange(len(starts)), hashes, WORD)
+    add(np.arange(len(starts)), S.range_hashes(codes, starts, ends), WORD)
+    for kind, n in ((BEGIN3, 3), (BEGIN4, 4), (BEGIN5, 5)):
+        which = np.flatnonzero(sizes > n + 1)  # words longer than the beginning by two
+        add(which, S.range_hashes(codes, starts[which], starts[which] + n), kind)
     which = np.flatnonzero(sizes > 6)
-    tail = np.zeros(len(which), np.uint64)
-    for j in (4, 3, 2, 1):
-        tail = tail * np.uint64(0x9E3779B97F4A7C15) + points[ends[which] - j].astype(np.uint64) + np.uint64(1)
-    add(which, tail, END4)
+    add(which, S.range_hashes(codes, ends[which] - 4, ends[which]), END4)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -115,8 +112,7 @@ class Vocabulary:
             for w in words:
                 bits[word_feature(w)] = bits.get(word_feature(w), 0) | 1 << k
         for h, kind in mined:
-            voter = len(LISTS) + (h % 3 if kind == WORD else 2 + kind)
-            bits[h] = bits.get(h, 0) | 1 << voter
+            bits[h] = bits.get(h, 0) | 1 << len(LISTS) + kind
         hashes = np.array(sorted(bits), np.uint64)
         return cls(hashes, np.array([bits[h] for h in hashes.tolist()], np.int64))
 
@@ -131,8 +127,11 @@ class Vocabulary:
         fired = np.zeros(len(texts), np.int64)
         np.bitwise_or.at(fired, row, self.bits[which])
         fired |= (np.bincount(row, minlength=len(texts)) >= 3).astype(np.int64) << (VOTERS - 2)
-        loud = [2 * sum(map(str.isupper, t)) > len(t) or t.count("!!") > 2 for t in texts]
-        return fired | np.array(loud, np.int64).reshape(-1) << (VOTERS - 1)
+        points, bounds = _points(texts)
+        capital = np.concatenate([[0], np.cumsum(_letters()[np.minimum(points, len(_letters()) - 1)] >> 1)])
+        sizes = np.diff(bounds) - 1
+        loud = (2 * (capital[bounds[1:] - 1] - capital[bounds[:-1]]) > sizes) | np.array([t.count("!!") > 2 for t in texts], bool)
+        return fired | loud.astype(np.int64) << (VOTERS - 1)
 
 
 @dataclass
@@ -144,6 +143,9 @@ class LabelModel:
     balance: float
     weight: np.ndarray
     correlation: np.ndarray
+    #: Vote patterns in order, and how many clean and toxic rows of the sample have each.
+    patterns: np.ndarray
+    labelled: np.ndarray
 
     @classmethod
     def fit(cls, patterns: np.ndarray, everywhere: np.ndarray, labelled: np.ndarray, rounds: int = 25) -> LabelModel:
@@ -157,10 +159,12 @@ class LabelModel:
             return np.clip((weights @ fires + 2 * prior) / (weights.sum() + 2), 1e-4, 1 - 1e-4)
 
         prior_toxic, prior_clean = np.where(lists, 0.3, 0.2), np.where(lists, 0.01, 0.02)
-        model = cls(chance(labelled[:, 1], prior_toxic), chance(labelled[:, 0], prior_clean), float((known[1] + 1) / (known.sum() + 10)), np.ones(VOTERS), np.eye(VOTERS))
+        model = cls(chance(labelled[:, 1], prior_toxic), chance(labelled[:, 0], prior_clean), float((known[1] + 1) / (known.sum() + 10)), np.ones(VOTERS), np.eye(VOTERS), patterns, labelled)
         free = np.maximum(everywhere - labelled.sum(1), 0)
+        if known.sum():
+            free = free * min(1.0, known.sum() / max(free.sum(), 1.0))
         for _ in range(rounds):
-            post = model.posterior(patterns)
+            post = model.labels(patterns)
             ones, zeros = free * post + labelled[:, 1], free * (1 - post) + labelled[:, 0]
             model.toxic, model.clean = chance(ones, prior_toxic), chance(zeros, prior_clean)
             model.balance = float(np.clip((ones.sum() + 1) / (ones.sum() + zeros.sum() + 10), 1e-3, 0.5))
@@ -174,6 +178,11 @@ class LabelModel:
         odds = np.log(self.balance / (1 - self.balance)) + (np.where(fires, yes, no) * self.weight).sum(1)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
+    def labels(self, patterns: np.ndarray) -> np.ndarray:
+        """Posteriors corrected by the labelled rows of the same patterns (which the model must know)."""
+        clean, toxic = self.labelled[np.searchsorted(self.patterns, patterns)].T
+        return (TRUST * self.posterior(patterns) + toxic) / (TRUST + clean + toxic)
+
 
 def _correlations(fires: np.ndarray, weights: np.ndarray) -> np.ndarray:
     total = max(weights.sum(), 1e-9)
@@ -210,42 +219,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("__label_id"), "__label_id").limit(sample)  # bounded by ``sample``
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("__label_id")).select("text", F.col("__label").alias("label"))
-    mined = _mine(rows)
-    vocabulary = Vocabulary.of(mined)
+    vocabulary = Vocabulary.of(_mine(rows))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def patterns(batch: pa.RecordBatch) -> dict:
+    def signals(batch: pa.RecordBatch) -> dict:
         strings = [t or "" for t in batch.column(0).to_pylist()]
-        votes, n = np.unique(shared.value.votes(strings, *shared.value.present(strings)), return_counts=True)
-        return {"votes": votes, "n": n}
+        row, which = shared.value.present(strings)
+        cuts = np.searchsorted(row, np.arange(len(strings) + 1)).tolist()
+        present = which.astype("<i4").tobytes()
+        return {"votes": shared.value.votes(strings, row, which), "present": [present[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
 
-    counted = arrow_map(texts.select("text"), patterns, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    everywhere = {r["votes"]: r["n"] for r in counted.toLocalIterator()}  # at most 2**VOTERS rows
+    counted = arrow_map(texts.select("text"), signals, "votes long, present binary").groupBy("votes", "present").agg(F.count("*").alias("n"))
+    counted = written(counted, "toxic-signals")
+    everywhere = {r["votes"]: r["n"] for r in counted.groupBy("votes").agg(F.sum("n").alias("n")).toLocalIterator()}  # at most 2**VOTERS rows
 
     def examples(batch: pa.RecordBatch) -> dict:
         strings = [t or "" for t in batch.column(0).to_pylist()]
-        row, which = shared.value.present(strings)
-        cuts = np.searchsorted(row, np.arange(len(strings) + 1))
-        return {"votes": shared.value.votes(strings, row, which), "label": batch.column(1), "present": [which[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
-
-    found = list(arrow_map(rows, examples, "votes long, label int, present array<int>").toLocalIterator())  # at most ``sample`` ids' rows
-    tally = dict.fromkeys(everywhere, (0, 0))
-    for r in found:
-        clean, toxic = tally.get(r["votes"], (0, 0))
-        tally[r["votes"]] = (clean + (r["label"] == 0), toxic + (r["label"] != 0))
+        return {"votes": shared.value.votes(strings, *shared.value.present(strings)), "toxic": [x != 0 for x in batch.column(1).to_pylist()]}
+
+    tally = {v: [0, 0] for v in everywhere}
+    known = arrow_map(rows, examples, "votes long, toxic boolean").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
+    for r in known.toLocalIterator():  # at most twice 2**VOTERS rows
+        tally.setdefault(r["votes"], [0, 0])[r["toxic"]] += r["n"]
     votes = np.array(sorted(tally), np.int64)
     labelled = np.array([tally[v] for v in votes.tolist()], float).reshape(-1, 2)
     model = LabelModel.fit(votes, np.array([everywhere.get(v, 0) for v in votes.tolist()], float), labelled)
-    matrix = np.zeros((len(found), len(vocabulary.hashes)), np.float32)
-    for k, r in enumerate(found):
-        matrix[k, r["present"]] = 1
-    targets = model.posterior(np.array([r["votes"] for r in found], np.int64)) if found else np.zeros(0)
-    weights, intercept = _logistic(matrix, targets, model, vocabulary)
-    return Model(vocabulary, weights, intercept, model)
+    return Model(vocabulary, *_logistic(counted, model, vocabulary), model)
 
 
 def _mine(rows: DataFrame) -> list[tuple[int, int]]:
-    """Features that mark toxic rows: (hash, kind), the strongest FEATURES of them."""
+    """Features that mark toxic rows: (hash, kind). What the driver gets is bounded by the sample's words."""
 
     def count(batch: pa.RecordBatch) -> dict:
         labels = np.array(batch.column(1).to_pylist(), np.int64)
@@ -267,33 +270,90 @@ def _mine(rows: DataFrame) -> list[tuple[int, int]]:
     seen, hit = F.col("n").cast("double"), F.col("toxic").cast("double")
     ratio = 2 * (hit * F.log(hit / (seen * share)) + F.when(seen > hit, (seen - hit) * F.log((seen - hit) / (seen * (1 - share)))).otherwise(0))
     strong = found.where((hit >= SUPPORT) & (hit >= PRECISION * seen)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
-    best = strong.orderBy(F.desc("ratio"), "h").limit(FEATURES).collect()  # bounded by FEATURES
-    return [(r["h"] % (1 << 64), r["kind"]) for r in best]
+    return sorted((r["h"] % (1 << 64), r["kind"]) for r in strong.select("h", "kind").collect())
+
 
+def _logistic(counted: DataFrame, model: LabelModel, vocabulary: Vocabulary, penalty: float = 2e-4, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and intercept by limited-memory quasi-Newton steps, all documents a round.
 
-def _logistic(matrix: np.ndarray, targets: np.ndarray, model: LabelModel, vocabulary: Vocabulary, penalty: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by accelerated gradient steps; features that no
-    example holds keep the label model's own evidence."""
+    ``counted`` has votes, features present and documents with both. Features that no document
+    holds keep the label model's own evidence, towards which the penalty draws the others.
+    """
     evidence = np.where(vocabulary.bits[:, None] >> np.arange(VOTERS) & 1, np.log(model.toxic / model.clean), 0.0)
-    start = np.clip(evidence.max(1, initial=0.0), 0.0, 8.0)
-    w, b = start.copy(), float(np.log(model.balance / (1 - model.balance)))
-    if not len(matrix):
-        return w, b
-    data = np.concatenate([matrix, np.ones((len(matrix), 1), np.float32)], 1)
-    seen = np.append(matrix.any(0), True)
-    x = np.append(w, b)
-    y, last = x.copy(), x.copy()
-    step = 4 * len(data) / max(float((data.sum(1) ** 2).sum()), 1.0) * 4
-    anchor = np.append(start, 0.0)
-    for k in range(rounds):
-        odds = 1 / (1 + np.exp(-np.clip(data @ y, -30, 30)))
-        slope = data.T @ (odds - targets) / len(data) + penalty * np.append(y[:-1] - anchor[:-1], 0.0)
-        x = np.where(seen, y - step * slope, y)
-        y = x + k / (k + 3) * (x - last)
-        last = x
+    anchor = np.append(np.clip(evidence.max(1, initial=0.0), 0.0, 8.0), np.log(model.balance / (1 - model.balance)))
+    size, context = len(anchor), counted.sparkSession.sparkContext
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
+        return anchor[:-1], float(anchor[-1])
+    pull = penalty * total * np.append(np.ones(size - 1), 0.0)
+
+    def summed(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss and slope at the weights, and an upper bound of the curvature's diagonal."""
+        shared = context.broadcast((weights, model))
+
+        def run(batches):
+            w, labels = shared.value
+            slope, bound, loss = np.zeros(size), np.zeros(size), 0.0
+            for batch in batches:
+                n, packed = np.array(batch.column(2)).astype(float), batch.column(1).to_pylist()
+                which = np.frombuffer(b"".join(packed), "<i4")
+                width = np.array([len(p) // 4 for p in packed])
+                owner = np.repeat(np.arange(len(packed)), width)
+                odds = np.bincount(owner, w[which], minlength=len(packed)) + w[-1]
+                wanted = labels.labels(np.array(batch.column(0)))
+                loss += float((n * (np.logaddexp(0, odds) - wanted * odds)).sum())
+                off = n * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - wanted)
+                slope += np.append(np.bincount(which, off[owner], minlength=size - 1), off.sum())
+                steep = n * (width + 1) / 4
+                bound += np.append(np.bincount(which, steep[owner], minlength=size - 1), steep.sum())
+            at = np.flatnonzero(bound)
+            yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *at], pa.int64()), "slope": pa.array([loss, *slope[at]]), "bound": pa.array([0.0, *bound[at]])})
+
+        sums = counted.select("votes", "present", "n").mapInArrow(run, "k long, slope double, bound double").groupBy("k").agg(F.sum("slope").alias("slope"), F.sum("bound").alias("bound"))
+        loss, slope, bound = 0.0, np.zeros(size), np.zeros(size)
+        for r in sums.collect():  # a row a feature
+            if r["k"] < 0:
+                loss = r["slope"]
+            else:
+                slope[r["k"]], bound[r["k"]] = r["slope"], r["bound"]
+        off = weights - anchor
+        return loss + float((pull * off * off).sum()) / 2, slope + pull * off, bound + pull
+
+    x = anchor
+    loss, slope, bound = summed(x)
+    curve, steps, left = np.maximum(bound, 1e-9), [], rounds - 1
+    while left:
+        step, length = _direction(slope, curve, steps), 1.0
+        while left:
+            left -= 1
+            there = x - length * step
+            new_loss, new_slope, _ = summed(there)
+            if new_loss <= loss - 1e-4 * length * float(slope @ step):
+                break
+            length *= 0.3
+        else:
+            break
+        if (there - x) @ (new_slope - slope) > 1e-12:
+            steps = [*steps[-9:], (there - x, new_slope - slope)]
+        x, loss, slope = there, new_loss, new_slope
     return x[:-1], float(x[-1])
 
 
+def _direction(slope: np.ndarray, curve: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The quasi-Newton step for a slope, from the last steps and changes of slope, and a diagonal to begin with."""
+    out, parts = slope.copy(), []
+    for moved, turned in reversed(steps):
+        parts.append((moved @ out) / (moved @ turned))
+        out = out - parts[-1] * turned
+    out = out / curve
+    if steps:
+        moved, turned = steps[-1]
+        out = out * (moved @ turned) / float((turned * turned / curve).sum())
+    for moved, turned in steps:
+        out = out + moved * (parts.pop() - (turned @ out) / (moved @ turned))
+    return out
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col`` in place of any of that name."""
     ship(docs.sparkSession)
