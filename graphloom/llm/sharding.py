@@ -1,15 +1,19 @@
 """Resharding by minimum-cost flow: fill new shards from old ones, moving the fewest bytes.
 
-Rows of an old shard fall into blocks by size class and a hash of the row, so a
-block is small and its size known. The flow network has one node a block, one a
-new shard and one hub: staying in the own shard costs nothing, passing the hub
-costs the block's mean bytes a row, and each new shard takes the capacity the law
-allows. The network's size depends on shard and block counts, never on rows, and
-the driver solves it by successive shortest paths. A block that is cut keeps its
-first rows by (size descending, hash); so what moves are small rows.
+Rows of an old shard fall into blocks by size class (half an octave). The flow network
+has one node a block, one a new shard and one hub: staying in the own shard costs
+nothing, passing the hub costs the block's mean bytes a row, and each new shard takes
+the capacity the law allows. The network's size depends on shards and size classes,
+never on rows, and the driver solves it by successive shortest paths. Of a block that
+is cut the largest rows stay: a histogram of exact sizes says where to cut, so what
+moves are an old shard's smallest rows.
+
+Rows are numbered by prefix sums: within parts of about PART_ROWS rows, over the parts
+of GROUP_PARTS, and over those groups. A block is never sorted whole, however many
+rows it has, and equal rows are spread like others.
 
 Laws: ``rows`` (counts differ by one at most; exact) and ``bytes`` (each block
-goes where capacity in bytes is left; sizes differ by about a block).
+goes where capacity in bytes is left; a cut block is divided by its mean).
 
 Defined results for odd rows: a null text has no bytes and still counts as a row
 (size 16); a null id or shard key is a value of its own; repeated rows are rows
@@ -29,10 +33,9 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Bytes a row weighs besides its text; rows a block holds (about), unless the table
-#: would then have more than MOST_PARTS parts beside its size classes: then blocks grow
-#: with the table, so that the network stays small at any size.
-ROW_BYTES, BLOCK_ROWS, MOST_PARTS = 16, 20_000, 1024
+#: Bytes a row weighs besides its text, rows a numbered part holds (about), and parts of a group of parts.
+ROW_BYTES, PART_ROWS, GROUP_PARTS = 16, 1000, 1024
+_BLOCK = ["old", "size_class"]
 
 
 class Flow:
@@ -89,7 +92,6 @@ class Block:
 
     old: int
     size_class: int
-    part: int
     rows: int
     size: int
     #: Runs of the block's rows: (first row, new shard, rows).
@@ -148,68 +150,87 @@ def solve(blocks: list[Block], n_new: int, law: str = "rows") -> int:
 
 
 def measured(df: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A narrow table of the rows: id, size, CRC-32 of the text, old shard, size class, a hash to split by."""
+    """A narrow table of the rows: id, size, CRC-32 of the text, old shard (null: -1), size class, a hash to spread by."""
     return df.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old"),
-    ).select(
-        "*",
-        F.floor(F.log2("size") * 2).cast("int").alias("size_class"),
-        F.xxhash64("doc_id", "text_crc32", "size").alias("mix"),
-    )
+        F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old"),
+        F.monotonically_increasing_id().alias("seen"),
+    ).select("doc_id", "size", "text_crc32", "old", F.floor(F.log2("size") * 2).cast("int").alias("size_class"), F.xxhash64("doc_id", "text_crc32", "size", "seen").alias("mix"))
 
 
-def plan(rows: DataFrame, n_new: int, law: str = "rows") -> DataFrame:
-    """Each row of ``measured`` with its new ``shard``, gapless ``slot`` and ``law``.
+def _cuts(rows: DataFrame, blocks: list[Block]) -> DataFrame:
+    """For each block that is cut: ``co, cc, cut``, the size of the last row that stays. A row a block."""
+    spark = rows.sparkSession
+    split = [(b.old, b.size_class, b.runs[0][2]) for b in blocks if len(b.runs) > 1 and b.runs[0][1] == b.old]
+    wanted = spark.createDataFrame(split, "co int, cc int, stay long")
+    # an old shard has one such block, and a size class few exact sizes
+    sizes = rows.join(F.broadcast(wanted), (F.col("old") == F.col("co")) & (F.col("size_class") == F.col("cc"))).groupBy("co", "cc", "stay", "size").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("co", "cc").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("upto", upto).where("upto >= stay").groupBy("co", "cc").agg(F.max("size").alias("cut"))
 
-    The only shuffle of rows is by block, and a block is bounded: a size class
-    of an old shard is split by hash into as many parts as its rows ask for.
-    """
+
+def plan(rows: DataFrame, n_new: int, law: str = "rows") -> DataFrame:
+    """Each row of ``measured`` with its new ``shard``, gapless ``slot`` and ``law``. ``rows`` is read four times."""
     spark = rows.sparkSession
-    classes = rows.groupBy("old", "size_class").agg(F.count("*").alias("n"))
-    whole = classes.agg(F.sum("n").alias("all"))
-    parts = classes.crossJoin(F.broadcast(whole)).select("old", "size_class", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK_ROWS), F.col("all") / MOST_PARTS)).cast("int").alias("parts"))
-    # one row for each old shard and size class: under 100 classes a shard
-    cut = rows.join(F.broadcast(parts), (rows["old"].eqNullSafe(parts["old"])) & (rows["size_class"] == parts["size_class"])).select(
-        rows["*"], F.pmod(F.col("mix"), F.col("parts")).cast("int").alias("part")
-    )
-    found = cut.groupBy("old", "size_class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    found = found.orderBy(F.desc("size_class"), "old", "part").collect()  # a row a block
-    blocks = [Block(-1 if r["old"] is None else r["old"], r["size_class"], r["part"], r["n"], r["size"]) for r in found]
+    found = rows.groupBy(*_BLOCK).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    found = found.orderBy(F.desc("size_class"), "old").collect()  # under 100 rows an old shard
+    blocks = [Block(r["old"], r["size_class"], r["n"], r["size"]) for r in found]
     solve(blocks, n_new, law)
     slots, runs = [0] * n_new, []
     for b in blocks:
         for row, shard, n in b.runs:
-            runs.append((b.old, b.size_class, b.part, row, row + n, shard, slots[shard] - row))
+            runs.append((b.old, b.size_class, row, row + n, shard, slots[shard] - row))
             slots[shard] += n
-    schema = T.StructType([T.StructField(k, T.LongType() if k in ("first", "until", "shift") else T.IntegerType()) for k in ("o", "c", "p", "first", "until", "shard", "shift")])
-    by_block = spark.createDataFrame(runs, schema).groupBy("o", "c", "p").agg(F.collect_list(F.struct("first", "until", "shard", "shift")).alias("runs"))
-    within = Window.partitionBy("old", "size_class", "part").orderBy(F.desc("size"), "mix", "doc_id")
-    placed = cut.withColumn("nth", F.row_number().over(within) - 1)
-    joined = placed.join(F.broadcast(by_block), (F.coalesce(placed["old"], F.lit(-1)) == by_block["o"]) & (placed["size_class"] == by_block["c"]) & (placed["part"] == by_block["p"]))
+    by_block = spark.createDataFrame(runs, "o int, c int, first long, until long, shard int, shift long").groupBy("o", "c").agg(F.collect_list(F.struct("first", "until", "shard", "shift")).alias("runs"))
+    parts = max(1, -(-sum(b.rows for b in blocks) // PART_ROWS))
+    part = F.pmod(F.col("mix"), F.lit(parts))
+    if law == "rows":  # rows above the cut come first, those below it last
+        met = rows.join(F.broadcast(_cuts(rows, blocks)), (F.col("old") == F.col("co")) & (F.col("size_class") == F.col("cc")), "left")
+        side = F.when(F.col("size") > F.col("cut"), 0).when(F.col("size") < F.col("cut"), 2).otherwise(F.when(F.col("cut").isNull(), 0).otherwise(1))
+    else:
+        met, side = rows, F.lit(0)
+    dealt = met.select(*rows.columns, side.alias("side"), part.alias("part"))
+    key = [*_BLOCK, "side", "part"]
+    n_of = dealt.groupBy(*key).agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("part") / GROUP_PARTS))
+    of_groups = n_of.groupBy(*_BLOCK, "side", "group").agg(F.sum("n").alias("m"))
+    of_groups = of_groups.withColumn("base", F.coalesce(F.sum("m").over(Window.partitionBy(*_BLOCK).orderBy("side", "group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy(*_BLOCK, "side", "group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = n_of.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(of_groups.drop("m"), [*_BLOCK, "side", "group"])
+    starts = starts.select(*key, (F.col("base") + F.col("within")).alias("start"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("mix")) - 1
+    placed = dealt.withColumn("nth", nth).join(starts, key).withColumn("nth", F.col("nth") + F.col("start"))
+    joined = placed.join(F.broadcast(by_block), (F.col("old") == F.col("o")) & (F.col("size_class") == F.col("c")))  # a row a block
     run = F.expr("element_at(filter(runs, r -> r.first <= nth AND nth < r.until), 1)")
     return joined.withColumn("run", run).select(
-        "doc_id", "size", "text_crc32", "old", F.lit(law).alias("law"), F.col("run.shard").alias("shard"), (F.col("run.shift") + F.col("nth")).cast("long").alias("slot")
+        "doc_id", "size", "text_crc32", F.nullif("old", F.lit(-1)).alias("old"), F.lit(law).alias("law"), F.col("run.shard").alias("shard"), (F.col("run.shift") + F.col("nth")).cast("long").alias("slot")
     )
 
 
 def reshard(df: DataFrame, old_shard: Column, n_new: int, law: str = "rows", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The plan for a table: a measured row for each row of ``df``, with its place.
 
-    The narrow table is written once, so that the block sums and the placement
-    read the same rows and the texts are scanned once.
+    The narrow table is written once, so that all passes read the same rows and the
+    texts are scanned once.
     """
     return plan(written(measured(df, old_shard, id_col, text_col), "shard-rows"), n_new, law)
 
 
 def rewrite(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the affected shards (those that gain or lose rows) as folders ``shard=N`` of ``path``;
-    rows keep all their columns. Ids must be unique here. Returns the shards written."""
+    """Write the affected shards (those that gain or lose rows) as folders ``shard=N`` below ``path``, which
+    must not exist: old files stay as they are, and a run that is lost midway leaves no ``_SUCCESS``.
+
+    Rows keep all their columns; where one is called ``shard`` the folders are called ``shard_``, and so on.
+    Ids must be unique here. Returns the shards written.
+    """
     ends = placed.where("NOT (shard <=> old)").select(F.explode(F.array("shard", "old")).alias("s")).distinct()
     affected = sorted(r["s"] for r in ends.collect() if r["s"] is not None)  # shard numbers only
+    folder = "shard"
+    while folder in (c.lower() for c in df.columns):
+        folder += "_"
     places = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"))
-    rows = df.join(places, df[id_col].eqNullSafe(places["__id"])).drop("__id").withColumnRenamed("__shard", "shard")
-    rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    met = df.alias("d").join(places.alias("p"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("p.__id")))
+    rows = met.select("d.*", F.col("p.__shard").alias(folder))
+    rows.write.partitionBy(folder).parquet(path)
     return affected
