@@ -15,7 +15,9 @@ Defined results for odd rows: null and empty markup, and pages without content,
 give an empty text; null ids and urls are returned as they are; repeated rows
 each get their own row; other columns pass through ``extract`` untouched (one
 named like the result is replaced); an empty table gives an empty result; markup
-that breaks off is read up to there; no block is dropped or cut for its length.
+that breaks off is read up to there; no block is dropped or cut for its length;
+formulas, drawings' texts and what stands in for scripts or objects count as text
+like any other, form controls and templates never do.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg math object canvas audio video select datalist".split())
+#: Skipped with all that they hold: scripts, styles, titles (of pages and drawings), form controls, markup that isn't shown.
+RAW = frozenset("script style title textarea select datalist template iframe noframes noembed".split())
 CLOSES = {k: frozenset({"p"}) for k in BLOCKS - {"head", "body", "html", "option", "optgroup"}} | {
     "li": frozenset({"li", "p"}),
     "dt": frozenset({"dt", "dd", "p"}),
@@ -95,7 +98,7 @@ def _child(parent: Node | None, name: str, attributes: str, number: int) -> Node
     article, chrome = name in ("article", "main"), name in CHROME
     named_chrome = named_content = False
     inside = parent is not None and parent.article
-    if name == "header" and not inside:
+    if name in ("header", "noscript") and not inside:
         chrome = True
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
