@@ -8,10 +8,12 @@ at two positions or more. Those positions are joined; around them the windows to
 both sides are compared by content, and the union of the windows seen earlier is
 deleted. The earliest occurrence, by id and then line, stays.
 
-These windows cover a repeated run from its first line up to the end of the last
-window that fits, which leaves up to ``words - 1`` words behind. ``extend`` adds the
-shortest runs that end at a line. Every line of a repeated run lies in a window of
-one of the two kinds within the run, so that their union is the maximal run.
+These windows extend a match from its first line up to the end of the last window that
+fits, which would leave up to ``words - 1`` words behind. ``extend`` (the default) adds
+the shortest runs that end at a line, which extend it to the other side: every line of
+a repeated run lies in a window of one of the two kinds within the run, so that their
+union is the maximal run. Positions are matched by the windows' content, not pair by
+pair: a passage that stands in a third of all documents never meets itself in pairs.
 
 All of it is DataFrame code. Rows are shuffled as line hashes (by document), as
 sparse fingerprints and as the few windows around repeated ones, and once as
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import free_name, written
 
 #: Words that make a passage.
 WORDS = 50
@@ -42,7 +44,7 @@ _LINES = (
 )
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, extend: bool = False) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, extend: bool = True) -> DataFrame:
     """All passages' windows: document, first and last line, fingerprint with its line, and content hashes.
 
     ``extend`` adds the shortest runs that end at a line, where they aren't windows already.
@@ -78,7 +80,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, ext
     return found.where(F.col("total") >= words).select(*_KEY, "pos", "last", F.col("fp.h").alias("fp"), F.col("fp.pos").alias("fp_pos"), "w1", "w2")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, extend: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, extend: bool = True) -> DataFrame:
     """The windows that occur earlier: ``__id, __text_hash, pos, last``."""
     found = written(windows(docs, id_col, text_col, words, extend), "line-windows")
     place = F.struct(*_KEY, "fp_pos")
@@ -90,8 +92,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return near.join(firsts, ["w1", "w2"]).where(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos", "last")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, count_cols: bool = False, extend: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from the text, with ``extend`` up to their last lines.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, count_cols: bool = False, extend: bool = True) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted from the text, unless not ``extend`` up to their last lines.
 
     ``count_cols`` adds ``n_lines`` (of the text before) and ``n_removed``.
     """
@@ -99,12 +101,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.withColumn("__gone", F.expr("array_distinct(flatten(transform(__runs, r -> sequence(r.pos, r.last))))")).drop("__runs")
     gone = gone.select(F.col("__id").alias("__gone_id"), F.col("__text_hash").alias("__gone_hash"), "__gone")
     # a join that keeps the texts unsorted: the deletions are the hashed side
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    met = keyed.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left")
+    text_hash, removed = free_name(docs, "__text_hash"), free_name(docs, "__gone")
+    gone = gone.select(F.col("__gone_id").alias(free_name(docs, "__gone_id")), F.col("__gone_hash").alias(free_name(docs, "__gone_hash")), F.col("__gone").alias(removed))
+    keyed = docs.withColumn(text_hash, F.xxhash64(text_col))
+    met = keyed.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(gone[gone.columns[0]]) & (F.col(text_hash) == gone[gone.columns[1]]), "left")
     parts = f"split(`{text_col}`, '\\n')"
-    kept = f"element_at(transform(array({parts}), p -> array_join(transform(array_except(sequence(0, size(p) - 1), __gone), i -> p[i]), '\\n')), 1)"
-    text = F.expr(f"IF(__gone IS NULL, `{text_col}`, {kept})")
+    kept = f"element_at(transform(array({parts}), p -> array_join(transform(array_except(sequence(0, size(p) - 1), {removed}), i -> p[i]), '\\n')), 1)"
+    text = F.expr(f"IF({removed} IS NULL, `{text_col}`, {kept})")
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_cols:
-        out += [F.expr(f"IF(`{text_col}` IS NULL, 0, size({parts}))").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.expr(f"IF(`{text_col}` IS NULL, 0, size({parts}))").cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed")]
     return met.select(*out)

@@ -7,8 +7,10 @@ points. Patterns are written without backtracking (possessive repeats, anchored
 starts), which keeps them linear in very long texts.
 
 Kinds: ``email ip card phone`` are the base kinds and always stay when their
-check holds. ``iban`` (mod-97) and ``local_phone`` (no checksum) are added where
-base score plus context reaches ``threshold`` and they touch no base span.
+check holds. ``iban`` (mod-97), ``local_phone`` (no checksum) and ``secret`` (letters
+and digits of many kinds) are added where the score reaches ``threshold`` and they
+touch no base span. Whole words within REACH characters to both sides raise the
+score (``tel``, ``token``) or lower it (``isbn``, ``order``).
 
 Defined results for odd rows: a null text counts as empty and has no spans; a
 null id stays null; repeated rows each get their own row; other columns are
@@ -44,30 +46,43 @@ MOD97 = let(
 OCTETS = "forall(split(m, '[.]'), p -> length(ltrim('0', p)) <= 3 AND int(concat('0', right(ltrim('0', p), 3))) <= 255)"
 
 
+#: Letters and digits, ten characters of different kinds at least: chance strings, not words.
+MIXED = "m rlike '[0-9]' AND m rlike '[A-Za-z]' AND size(array_distinct(split(m, '(?<=.)(?=.)'))) >= 10"
+
+
 @dataclass(frozen=True)
 class Kind:
-    """A pattern (Java syntax), a quick test of the text, a check of the match ``m`` and context words."""
+    """A pattern (Java syntax), a quick test of the text, a check of the match ``m``, and words that speak for it or against."""
 
     name: str
     pattern: str
     hint: str
     check: str
     base: float
-    context: str
+    words: str
+    against: str = ""
     base_kind: bool = True
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
+PHONE = "tel|telephone|téléphone|telefon|teléfono|phone|call|fax|mobile|mobil|móvil|handy"
+NUMBERS = "isbn|issn|ean|order|invoice|serial|version|sku"
 KINDS = (
-    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(t, '@') > 0", "true", 0.9, "mail|contact|write|courriel|correo"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "instr(t, '.') > 0", OCTETS, 0.6, "ip|host|server|address|adresse"),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", "true", LUHN, 0.6, "card|visa|credit|carte|karte|tarjeta"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "instr(t, '+') > 0", f"length({DIGITS}) BETWEEN 9 AND 15", 0.7, "tel|phone|call|fax|mobil"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "true", MOD97, 0.6, "iban|account|bank|konto|compte|cuenta", False),
-    Kind("local_phone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "true", "true", 0.3, "tel|phone|call|fax|mobil", False),
+    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(t, '@') > 0", "true", 0.9, "mail|email|e-mail|contact|write|courriel|correo"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "instr(t, '.') > 0", OCTETS, 0.6, "ip|ips|host|server|address|adresse", "version|release"),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", "true", LUHN, 0.6, "card|cards|visa|credit|carte|karte|tarjeta", NUMBERS),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "instr(t, '+') > 0", f"length({DIGITS}) BETWEEN 9 AND 15", 0.7, PHONE, NUMBERS),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "true", MOD97, 0.6, "iban|account|bank|konto|compte|cuenta", NUMBERS, False),
+    Kind("local_phone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "true", "true", 0.3, PHONE, NUMBERS, False),
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", "true", MIXED, 0.3, "token|tokens|secret|secrets|password|passwd|pwd|key|apikey|api_key|api-key|access_key|credential|credentials|bearer|auth", "sha|sha1|sha256|md5|checksum|commit", False),
 )
-#: What a context word within ``REACH`` characters before a span adds, and the score that added kinds need.
-CONTEXT_GAIN, REACH, THRESHOLD = 0.3, 40, 0.5
+#: What a word near a span adds or takes, how near it is, and the score that added kinds need.
+CONTEXT_GAIN, CONTEXT_LOSS, REACH, THRESHOLD = 0.3, 0.3, 40, 0.5
+
+
+def whole(words: str) -> str:
+    """A pattern of any of the words, alone among other characters."""
+    return rf"[^\p{{L}}\p{{N}}_](?:{words})[^\p{{L}}\p{{N}}_]"
 
 
 def _found(kind: Kind, rank: int) -> str:
@@ -77,7 +92,13 @@ def _found(kind: Kind, rank: int) -> str:
         "aggregate(sequence(1, size(ms)), struct(0 AS at, cast(array() AS array<int>) AS starts), (a, i) -> struct("
         "a.at + length(gaps[i - 1]) + length(ms[i - 1]) AS at, array_append(a.starts, a.at + length(gaps[i - 1])) AS starts), a -> a.starts)"
     )
-    score = f"{kind.base}D + IF(lower(substr(t, greatest(x.s - {REACH}, 0) + 1, least({REACH}, x.s))) rlike '{kind.context}', {CONTEXT_GAIN}D, 0D)"
+    # one character more on each side tells whether a word is whole there
+    near = (
+        f"lower(concat(IF(x.s <= {REACH}, ' ', ''), substr(t, greatest(x.s - {REACH + 1}, 0) + 1, least({REACH + 1}, x.s)), '  ', "
+        f"substr(t, x.s + length(x.m) + 1, {REACH + 1}), IF(x.s + length(x.m) + {REACH} >= length(t), ' ', '')))"
+    )
+    words = [(w, g) for w, g in ((kind.words, CONTEXT_GAIN), (kind.against, -CONTEXT_LOSS)) if w]
+    score = f"{kind.base}D + " + let(near, "c", " + ".join("IF(c rlike '{}', {}D, 0D)".format(whole(w).replace("\\", "\\\\"), g) for w, g in words))
     spans = let(
         f"split(t, '{p}')",
         "gaps",

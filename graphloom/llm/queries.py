@@ -48,7 +48,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None)
     import public_tokenizers
 
     ranks = rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    back = _bpe.decode(_bpe.encode(read(spark, sf_dir, "documents"), ranks), ranks)
+    back = _bpe.round_trip(read(spark, sf_dir, "documents"), ranks)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -71,7 +71,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.pii(read(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base_spans, x -> x.kind = '{k.name}')) as long)").alias(f"n_{k.name}") for k in _pii.KINDS if k.base_kind]
-    return found.select("doc_id", *counts, F.sha2(F.expr(_pii.joined("base_spans")), 256).alias("base_sha256"), F.expr(_pii.joined("spans")).alias("spans"))
+    secrets = F.expr("cast(size(filter(spans, x -> x.kind = 'secret')) as long)").alias("n_secret")
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(F.expr(_pii.joined("base_spans")), 256).alias("base_sha256"), F.expr(_pii.joined("spans")).alias("spans"), secrets, spans)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +88,12 @@ def line_dedup_sql(table: str) -> str:
 WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {table}), unnest(range(1, len(ls) + 1)) AS u(i)),
 c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM l WHERE w > 0),
-win AS (SELECT doc_id, pos, list(line) OVER r AS content, max(pos) OVER r AS last, max(before + w) OVER r - before AS total FROM c
+win AS (SELECT doc_id, pos, max(pos) OVER r AS last, list(line) OVER r AS content, max(before + w) OVER r - before AS total FROM c
   WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {_linedup.WORDS - 1} FOLLOWING)),
-nth AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS n FROM win WHERE total >= {_linedup.WORDS}),
+back AS (SELECT doc_id, min(pos) OVER r AS pos, pos AS last, list(line) OVER r AS content, before + w - min(before) OVER r AS total FROM c
+  WINDOW r AS (PARTITION BY doc_id ORDER BY before + w RANGE BETWEEN {_linedup.WORDS - 1} PRECEDING AND CURRENT ROW)),
+runs AS (SELECT DISTINCT * FROM (SELECT * FROM win UNION ALL SELECT * FROM back) WHERE total >= {_linedup.WORDS}),
+nth AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS n FROM runs),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM nth WHERE n > 1),
 left_over AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
 deduped AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines,
@@ -125,7 +130,7 @@ def _op9_sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    } | {k.name: k.pattern for k in _pii.KINDS if not k.base_kind}
+    } | {k.name: k.pattern for k in _pii.KINDS if not k.base_kind} | {"secret": "[A-Za-z0-9_/+-]{20,}"}
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ascii(reverse({digits})[i]) - 48 ELSE 2 * (ascii(reverse({digits})[i]) - 48) - CASE WHEN reverse({digits})[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
     iban = "replace(m, ' ', '')"
@@ -137,23 +142,28 @@ def _op9_sql() -> str:
         "phone": f"len({digits}) BETWEEN 9 AND 15",
         "iban": mod97,
         "local_phone": "true",
+        "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) >= 10",
     }
+    reach = _pii.REACH
+    near = f"lower(CASE WHEN s <= {reach} THEN ' ' ELSE '' END || t[greatest(s - {reach + 1}, 0) + 1 : s] || '  ' || t[s + length(m) + 1 : s + length(m) + {reach + 1}] || CASE WHEN s + length(m) + {reach} >= length(t) THEN ' ' ELSE '' END)"
     parts = []
     for rank, k in enumerate(_pii.KINDS):
-        score = f"{k.base} + CASE WHEN regexp_matches(lower(t[greatest(s - {_pii.REACH}, 0) + 1 : s]), '{k.context}') THEN {_pii.CONTEXT_GAIN} ELSE 0 END"
+        words = [(w, g) for w, g in ((k.words, _pii.CONTEXT_GAIN), (k.against, -_pii.CONTEXT_LOSS)) if w]
+        score = f"{k.base}" + "".join(f" + CASE WHEN regexp_matches({near}, '{_pii.whole(w)}') THEN {g} ELSE 0 END" for w, g in words)
         parts.append(f"""SELECT r, {rank} AS rank, '{k.name}' AS kind, s, s + length(m) AS e, {score} AS score, {str(k.base_kind).lower()} AS base FROM (
   SELECT r, t, ms[i] AS m, (list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (
     SELECT r, t, regexp_extract_all(t, '{patterns[k.name]}') AS ms, string_split_regex(t, '{patterns[k.name]}') AS gaps FROM d), unnest(range(1, len(ms) + 1)) AS u(i)) WHERE {check[k.name]}""")
     hits = "\nUNION ALL ".join(parts)
-    own = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in _pii.KINDS if k.base_kind)
-    outs = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in _pii.KINDS if k.base_kind)
+    names = [k.name for k in _pii.KINDS if k.base_kind or k.name == "secret"]
+    own = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in names)
+    outs = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in names)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 hit AS ({hits}),
 kept AS (SELECT * FROM hit WHERE base OR (score >= {_pii.THRESHOLD} AND NOT EXISTS (SELECT 1 FROM hit b WHERE b.base AND b.r = hit.r AND b.s < hit.e AND hit.s < b.e))),
-per AS (SELECT r, {own}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE base) AS base_spans,
+per AS (SELECT r, {own}, count(*) AS n_spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE base) AS base_spans,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY r)
-SELECT doc_id, {outs}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
+SELECT doc_id, {outs}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text}
