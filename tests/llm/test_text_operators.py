@@ -101,6 +101,15 @@ def test_pii_added_kinds_and_context(spark, odd, empty):
     texts = ["my IBAN: DE89 3704 0044 0532 0130 00.", "DE88 3704 0044 0532 0130 00", "call 202-555-0100 now", "number 202-555-0100 now", "+1 202-555-0100"]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.pii(table(spark, texts)).collect()}
     assert got == {0: ["iban"], 1: [], 2: ["local_phone"], 3: [], 4: ["phone"]}
+    secret = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
+    texts = [
+        f'token = "{secret}" after', f"{secret} is the key", f"sha {secret}", f"the commit with token {secret}", f"tokenise {secret}", "password = " + "abcdef" * 5, "key=" + "1234567890" * 3, "token " + secret[:19],
+        "hotel 202-555-0100", "tel 202-555-0100", "202-555-0100 (fax)", "202-555-0100 faxed", "x" * 50 + "tel" + " " * 40 + "202-555-0100", "tel" + " " * 41 + "202-555-0100", "ISBN or iban DE89 3704 0044 0532 0130 00", "isbn DE89 3704 0044 0532 0130 00",
+    ]
+    got = {r["doc_id"]: [(s["kind"], s["text"]) for s in r["spans"]] for r in pii.pii(table(spark, texts)).collect()}
+    phone = [("local_phone", "202-555-0100")]
+    kinds = [[("secret", secret)]] * 2 + [[], [], [], [], [], []] + [[], phone, phone, [], [], [], [("iban", "DE89 3704 0044 0532 0130 00")], []]
+    assert got == dict(enumerate(kinds))
     plan = pii.pii(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert pii.pii(odd).count() == odd.count() and pii.pii(empty).count() == 0
@@ -132,7 +141,7 @@ def test_line_dedup_brute_force(spark):
                 else:
                     seen[content] = (k, a)
         expected[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(table(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(table(spark, texts), extend=False).collect()}
     assert got == expected
 
 
@@ -156,7 +165,7 @@ def test_line_dedup_extends_to_the_last_line(spark):
                         gone[d] |= {x[0] for x in own[a : a + n]}
     expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)}
     assert len(expected[1].split("\n")) == len(expected[3].split("\n")) == 2
-    assert {r["doc_id"]: r["text"] for r in linedup.dedup_lines(table(spark, texts), extend=True).collect()} == expected
+    assert {r["doc_id"]: r["text"] for r in linedup.dedup_lines(table(spark, texts)).collect()} == expected
 
 
 def test_line_dedup_odd_rows(spark, odd, empty):
@@ -168,6 +177,10 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     twins = [r["text"] for r in rows if r["doc_id"] == 4]
     assert twins[0] == twins[1] and len(twins[0]) > 1000  # rows with the same id and text are one document
     assert linedup.dedup_lines(empty).count() == 0
+    clash = odd.withColumnsRenamed({"t": "__text_hash", "w": "__gone", "lines": "__GONE_ID"})
+    again = linedup.dedup_lines(clash)
+    assert again.columns == clash.columns and sorted(map(str, (r["text"] for r in again.collect()))) == sorted(map(str, (r["text"] for r in rows)))
+    assert {r["__gone"] for r in again.collect()} == {1}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -376,7 +389,7 @@ def test_flow_moves_the_fewest_bytes():
 
     rng = random.Random(11)
     for _ in range(25):
-        blocks = [sharding.Block(rng.randrange(4), k, 0, rng.randint(1, 4), 0) for k in range(4)]
+        blocks = [sharding.Block(rng.randrange(4), k, rng.randint(1, 4), 0) for k in range(4)]
         for b in blocks:
             b.size = b.rows * rng.randint(1, 9)
         moved = sharding.solve(blocks, 3, "rows")
@@ -396,14 +409,38 @@ def test_flow_moves_the_fewest_bytes():
         assert best is None or moved == best
 
 
+def test_resharding_moves_the_smallest_rows(spark, monkeypatch):
+    """Exactly the fewest bytes that single rows allow, with a hot block of several parts and groups of parts."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    monkeypatch.setattr(sharding, "GROUP_PARTS", 4)
+    rng = random.Random(21)
+    texts = ["same text"] * 900 + ["y" * rng.randint(0, 4000) for _ in range(1500)] + ["z" * 1000] * 300
+    docs = table(spark, texts, [0] * 300 + list(range(300, len(texts))))
+    old = F.when(F.length("text") == 9, 0).when(F.length("text") == 1000, 1).otherwise(F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5)))
+    rows = sharding.reshard(docs, old, 7).collect()
+    shards = [[r for r in rows if r["shard"] == s] for s in range(7)]
+    assert all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in shards)
+    target = len(texts) // 7
+    assert all(len(own) in (target, target + 1) for own in shards)
+    least = 0
+    for shard in range(5):
+        own = sorted(r["size"] for r in rows if r["old"] == shard)
+        gone = sum(r["old"] == shard != r["shard"] for r in rows)
+        assert gone >= len(own) - target - 1
+        least += sum(own[:gone])
+    assert sum(r["size"] for r in rows if r["old"] != r["shard"]) == least
+
+
 def test_rewrite_writes_affected_shards_only(spark, tmp_path):
-    docs = table(spark, ["a" * k for k in range(40)])
-    path = str(tmp_path / "shards")
-    docs.withColumn("shard", (F.col("doc_id") % 2).cast("int")).write.partitionBy("shard").parquet(path)
+    docs = table(spark, ["a" * k for k in range(40)]).withColumn("Shard", F.lit("own"))
     placed = sharding.reshard(docs, F.col("doc_id") % 2, 3)
+    path = str(tmp_path / "new")
     assert sharding.rewrite(docs, placed, path) == [0, 1, 2]
     back = spark.read.parquet(path)
-    assert back.count() == 40 and back.groupBy("shard").count().where("count NOT IN (13, 14)").count() == 0
+    assert back.columns == [*docs.columns, "shard_"]
+    assert back.count() == 40 and back.groupBy("shard_").count().where("count NOT IN (13, 14)").count() == 0
+    with pytest.raises(Exception, match="already exists"):
+        sharding.rewrite(docs, placed, path)
 
 
 def toxic_tables(spark, n=600):
@@ -467,6 +504,21 @@ def test_html_main_text(spark, empty):
     assert htmltext.extract(pages.limit(0), htmltext.fit(pages.limit(0))).count() == 0
 
 
+def test_html_keeps_formulas_and_stand_ins(spark):
+    """What an article shows in place of scripts and objects is text; very long pages and repeated rows are whole."""
+    rng = random.Random(30)
+    long = "".join(f"<p>{words(rng, 30)}.</p>" for _ in range(3000))
+    page = """<html><body><nav><a href=/>Home</a></nav><article><h1>Sums</h1><p>We know that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds here.</p>
+<noscript><p>A chart shows that the values rise, year by year.</p></noscript><p>See <object data=x>the picture of it</object> and <canvas>the curve</canvas>.</p>
+<select><option>One</option></select><template><p>Hidden.</p></template></article><noscript>Please enable scripts.</noscript></body></html>"""
+    rows = [(1, page), (2, f"<html><body><article>{long}</article></body></html>"), (1, page)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = htmltext.extract(pages, htmltext.fit(pages)).collect()
+    texts = [r["text"] for r in got if r["page_id"] == 1]
+    assert texts == ["Sums\n\nWe know that a=b holds here.\n\nA chart shows that the values rise, year by year.\n\nSee the picture of it and the curve."] * 2
+    assert next(r["text"] for r in got if r["page_id"] == 2) == long.replace("<p>", "").replace("</p>", "\n\n").strip()
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 
