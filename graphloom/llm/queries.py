@@ -24,9 +24,71 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Tools of the derived conversations: two with a schema, one with a schema that can't be read; others are unknown.
+TOOLS = (
+    '[{"name": "click", "parameters": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 89}}}}, '
+    '{"name": "view", "parameters": {"type": "object", "properties": {"k": {"type": "integer", "exclusiveMinimum": 4}}}}, '
+    '{"name": "purchase", "parameters": {"type": "object", "properties": {"k": {"pattern": "("}}}}]'
+)
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with tools, four events each: ``conversations`` holds no calls, so all of ``events`` serve.
+
+    An event is a call and its result. A call needs the one before it; in every seventh conversation the
+    first needs the second. Some calls come before what they need, repeat an identifier, are malformed or
+    have no result; some results name no call.
+    """
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    e = e.select("*", (-1 - F.floor(F.col("event_id") / 4)).alias("conv_id"), (F.col("event_id") % 4).alias("j"))
+    own = F.concat(F.lit("e"), F.when((F.col("j") == 3) & (F.col("conv_id") % 3 == 0), F.col("event_id") - 1).otherwise(F.col("event_id")))
+    need = F.when(F.col("j") > 0, F.concat(F.lit("e"), F.col("event_id") - 1)).when(F.col("conv_id") % 7 == 0, F.concat(F.lit("e"), F.col("event_id") + 1))
+    call = F.concat(
+        F.lit('<tool_call>{"name": "'), "event_type", F.lit('", "id": "'), own, F.lit('", "arguments": '), "props", F.coalesce(F.concat(F.lit(', "depends_on": ["'), need, F.lit('"]')), F.lit("")), F.lit("}</tool_call>")
+    )
+    turn = F.when((F.col("event_id") % 5 == 2) & (F.col("j") > 0), 2 * F.col("j") - 2).otherwise(2 * F.col("j") + 1)
+    calls = e.select("conv_id", turn.alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("event_id") % 37 == 6, "<tool_call>{oops</tool_call>").otherwise(call).alias("text"))
+    named = F.when(F.col("event_id") % 13 == 5, F.concat(F.lit("x"), F.col("event_id"))).otherwise(own)
+    result = F.concat(F.lit('{"tool_call_id": "'), named, F.lit('", "content": {"rows": '), F.col("event_id"), F.lit("}}"))
+    results = e.where("event_id % 10 > 0").select("conv_id", (2 * F.col("j") + 2).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    system = e.where("j = 0").select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(f"<tools>{TOOLS}</tools>").alias("text"))
+    return calls.unionByName(results).unionByName(system)
+
+
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = _toolcalls.link(read(spark, sf_dir, "conversations"))
-    return linked.withColumn("problems", F.array_join("problems", "; "))
+    """All conversations, and those that ``tool_messages`` derives from all events."""
+    messages = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tool_messages(spark, sf_dir))
+    return _toolcalls.link(messages).withColumn("problems", F.array_join("problems", "; "))
+
+
+def _op2_sql() -> str:
+    """What the docstring of ``tool_messages`` says, and the outcome of each message, said anew over the tables."""
+    system = f"'{{\"content\":' || to_json('<tools>{TOOLS}</tools>')::VARCHAR || ',\"role\":\"system\"}}'"
+    return """
+WITH RECURSIVE e AS (SELECT event_id, event_type AS name, (props->>'$.k')::BIGINT AS k, -1 - event_id // 4 AS conv, event_id % 4 AS j FROM events),
+c AS (SELECT *, 'e' || CASE WHEN j = 3 AND conv % 3 = 0 THEN event_id - 1 ELSE event_id END AS ref, CASE WHEN event_id % 5 = 2 AND j > 0 THEN 2 * j - 2 ELSE 2 * j + 1 END AS turn,
+  CASE WHEN j > 0 THEN 'e' || (event_id - 1) WHEN conv % 7 = 0 THEN 'e' || (event_id + 1) END AS need, event_id % 37 = 6 AS broken FROM e),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv, ref ORDER BY turn, '{"k":' || k || '}') AS nth FROM c WHERE NOT broken),
+node AS (SELECT conv, ref, turn, need FROM ranked WHERE nth = 1),
+arc AS (SELECT a.conv, a.ref, a.need FROM node a JOIN node b ON a.conv = b.conv AND a.need = b.ref),
+behind(conv, ref, need) AS (SELECT * FROM arc UNION SELECT b.conv, b.ref, a.need FROM behind b JOIN arc a ON a.conv = b.conv AND a.ref = b.need),
+looped AS (SELECT conv, ref FROM behind WHERE ref = need),
+placed AS (SELECT n.conv, n.ref, EXISTS (SELECT 1 FROM looped l WHERE l.conv = n.conv AND (l.ref = n.ref OR l.ref IN (SELECT need FROM behind b WHERE b.conv = n.conv AND b.ref = n.ref))) AS cyclic,
+  greatest(n.turn, (SELECT max(m.turn) FROM behind b JOIN node m ON m.conv = b.conv AND m.ref = b.need WHERE b.conv = n.conv AND b.ref = n.ref)) AS upto,
+  (SELECT count(*) FROM behind b WHERE b.conv = n.conv AND b.ref = n.ref) AS depth, n.turn FROM node n),
+p AS (SELECT conv, ref, cyclic, CASE WHEN cyclic THEN turn ELSE upto END AS order_turn, CASE WHEN cyclic THEN 0 ELSE depth END AS order_depth FROM placed),
+r AS (SELECT *, CASE WHEN event_id % 13 = 5 THEN 'x' || event_id ELSE ref END AS named, 2 * j + 2 AS back FROM c WHERE event_id % 10 > 0),
+said AS (SELECT q.*, cyclic, order_turn, order_depth, EXISTS (SELECT 1 FROM r WHERE r.conv = q.conv AND r.named = q.ref) AS answered,
+  CASE WHEN name = 'click' AND k > 89 THEN '$.k: over maximum' WHEN name = 'view' AND k <= 4 THEN '$.k: under minimum' ELSE '' END AS problems FROM ranked q LEFT JOIN p USING (conv, ref))
+SELECT conv AS conv_id, turn, 'assistant' AS role, 'call' AS part, ref AS call_id, CASE WHEN nth > 1 THEN 'duplicate' WHEN cyclic THEN 'cycle' WHEN name NOT IN ('click', 'view', 'purchase') THEN 'unknown_tool'
+    WHEN name = 'purchase' THEN 'bad_schema' WHEN problems <> '' THEN 'invalid' WHEN NOT answered THEN 'pending' ELSE 'linked' END AS status, problems,
+  CASE WHEN nth > 1 THEN turn ELSE greatest(order_turn, turn) END AS order_turn, CASE WHEN nth > 1 THEN 0 ELSE order_depth END::INT AS order_depth,
+  '{"role":"assistant","tool_calls":[{"function":{"arguments":{"k":' || k || '},"name":"' || name || '"},"id":"' || ref || '","type":"function"}]}' AS json FROM said
+UNION ALL SELECT conv, turn, 'assistant', 'malformed', NULL, 'malformed', '', turn, 0, '{"content":"{oops","role":"assistant"}' FROM c WHERE broken
+UNION ALL SELECT r.conv, back, 'tool', 'result', named, CASE WHEN p.ref IS NULL THEN 'orphan' WHEN cyclic THEN 'cycle' ELSE 'linked' END, '', greatest(back, coalesce(order_turn, back)), coalesce(order_depth + 1, 0)::INT,
+  '{"content":{"rows":' || event_id || '},"role":"tool","tool_call_id":"' || named || '"}' FROM r LEFT JOIN p ON p.conv = r.conv AND p.ref = named
+UNION ALL SELECT conv, 0, 'system', 'text', NULL, 'text', '', 0, 0, """ + system + """ FROM c WHERE j = 0
+UNION ALL SELECT conv_id, turn, role, 'text', NULL, 'text', '', turn, 0, '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":"' || coalesce(role, 'user') || '"}' FROM conversations"""
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +229,4 @@ SELECT doc_id, {outs}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base_spa
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text}
-ORACLES = {"op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
+ORACLES = {"op2_tool_calls": _op2_sql(), "op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}

@@ -14,9 +14,11 @@ shortest form), so no conversation is gathered into one task, however long.
 Defined results for odd rows: a null text counts as empty, a null role is ``user``, a null conversation is
 one of its own, a null turn sorts first; calls that repeat an identifier keep the first (by turn, then
 text) and mark the others ``duplicate``; results without a call are ``orphan``, calls without a result
-``pending``, malformed blocks ``malformed``, messages on a cycle of dependencies ``cycle``; tools without
-a schema are ``unknown_tool``; repeated rows each get their row; other columns are neither read nor
-returned; an empty table gives an empty result.
+``pending``, malformed blocks ``malformed``, calls on or behind a cycle of dependencies, and their results,
+``cycle`` (they keep their place); tools without a schema are ``unknown_tool``, those whose schema isn't well
+formed or has keywords outside KEYWORDS ``bad_schema``; of several declarations of a tool the first holds (by
+turn, then text); repeated rows each get their row; other columns are neither read nor returned; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,44 +62,122 @@ _TYPES = {
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None,
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer(),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
     "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
 }
 
 
+def _number(v: object) -> bool:
+    return _TYPES["number"](v)
+
+
+def _size(v: object) -> bool:
+    return _TYPES["integer"](v) and v >= 0
+
+
+def _names(v: object) -> bool:
+    return isinstance(v, list) and all(isinstance(x, str) for x in v)
+
+
+def _pattern(v: object) -> bool:
+    try:
+        return isinstance(v, str) and re.compile(v) is not None
+    except (re.error, OverflowError, RecursionError):
+        return False
+
+
+def _schemas(v: object) -> bool:
+    return isinstance(v, list) and len(v) > 0 and all(map(well_formed, v))
+
+
+# Keywords of JSON Schema, with what each must hold. Those that only describe hold anything.
+KEYWORDS = {
+    "type": lambda v: isinstance(v, str) and v in _TYPES or _names(v) and len(v) > 0 and set(v) <= set(_TYPES),
+    "enum": lambda v: isinstance(v, list),
+    "const": lambda v: True,
+    "properties": lambda v: isinstance(v, dict) and all(map(well_formed, v.values())),
+    "patternProperties": lambda v: isinstance(v, dict) and all(map(_pattern, v)) and all(map(well_formed, v.values())),
+    "additionalProperties": lambda v: well_formed(v),
+    "required": _names,
+    "items": lambda v: well_formed(v),
+    "anyOf": _schemas,
+    "oneOf": _schemas,
+    "allOf": _schemas,
+    "not": lambda v: well_formed(v),
+    "pattern": _pattern,
+    "uniqueItems": lambda v: isinstance(v, bool),
+    "multipleOf": lambda v: _number(v) and v > 0,
+    **dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), _number),
+    **dict.fromkeys(("minItems", "maxItems", "minLength", "maxLength", "minProperties", "maxProperties"), _size),
+    **dict.fromkeys(("title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"), lambda v: True),
+}
+
+
+def well_formed(schema: object) -> bool:
+    """Whether ``problems`` can judge by the schema: it has known keywords only, and each holds what it must."""
+    return isinstance(schema, bool) or isinstance(schema, dict) and all(k in KEYWORDS and KEYWORDS[k](v) for k, v in schema.items())
+
+
 def problems(value: object, schema: object, at: str = "$") -> list[str]:
-    """What of ``value`` breaks the schema: types, enumerations, required and further keys, items, ranges, patterns."""
-    if schema is True or not isinstance(schema, dict):
-        return [] if schema is not False else [f"{at}: nothing is allowed"]
+    """What of ``value`` breaks a well-formed schema, place by place."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: nothing is allowed"]
     if isinstance(value, dict) and "$ref" in value and len(value) == 1:
         return []  # the value of another call, known only when it has run
     found = []
-    kinds = schema.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds or []
-    if kinds and not any(k in _TYPES and _TYPES[k](value) for k in kinds):
-        return [f"{at}: not {' or '.join(map(str, kinds))}"]
-    if "enum" in schema and value not in schema["enum"]:
-        found.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
-        found.append(f"{at}: not the constant")
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_TYPES[k](value) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+
+    def check(broken: bool, what: str) -> None:
+        if broken:
+            found.append(f"{at}: {what}")
+
+    own = canonical(value)
+    check("enum" in schema and own not in map(canonical, schema.get("enum", [])), "not in enum")
+    check("const" in schema and own != canonical(schema.get("const")), "not the constant")
+    for part in schema.get("allOf", []):
+        found += problems(value, part, at)
+    check("anyOf" in schema and all(problems(value, part, at) for part in schema.get("anyOf", [])), "none of anyOf")
+    check("oneOf" in schema and sum(not problems(value, part, at) for part in schema.get("oneOf", [])) != 1, "not one of oneOf")
+    check("not" in schema and not problems(value, schema.get("not", True), at), "what must not be")
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
-        found += [f"{at}.{k}: missing" for k in schema.get("required") or [] if k not in value]
-        more = schema.get("additionalProperties", True)
+        known, by_pattern = schema.get("properties", {}), schema.get("patternProperties", {})
+        found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        check(len(value) < schema.get("minProperties", 0), "too few")
+        check(len(value) > schema.get("maxProperties", math.inf), "too many")
         for k, v in value.items():
-            found += problems(v, known[k] if k in known else more, f"{at}.{k}")
+            rules = ([known[k]] if k in known else []) + [rule for pattern, rule in by_pattern.items() if re.search(pattern, k)]
+            for rule in rules or [schema.get("additionalProperties", True)]:
+                found += problems(v, rule, f"{at}.{k}")
     elif isinstance(value, list):
         found += [x for k, v in enumerate(value) for x in problems(v, schema.get("items", True), f"{at}[{k}]")]
-        found += [f"{at}: too few"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many"] * (len(value) > schema.get("maxItems", math.inf))
+        check(len(value) < schema.get("minItems", 0), "too few")
+        check(len(value) > schema.get("maxItems", math.inf), "too many")
+        check(schema.get("uniqueItems", False) and len(set(map(canonical, value))) < len(value), "repeated items")
     elif isinstance(value, str):
-        found += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", math.inf))
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            found.append(f"{at}: pattern")
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        found += [f"{at}: under minimum"] * (value < schema.get("minimum", -math.inf)) + [f"{at}: over maximum"] * (value > schema.get("maximum", math.inf))
+        check(len(value) < schema.get("minLength", 0), "too short")
+        check(len(value) > schema.get("maxLength", math.inf), "too long")
+        check("pattern" in schema and not re.search(schema.get("pattern", ""), value), "pattern")
+    elif _number(value):
+        check(value < schema.get("minimum", -math.inf) or value <= schema.get("exclusiveMinimum", -math.inf), "under minimum")
+        check(value > schema.get("maximum", math.inf) or value >= schema.get("exclusiveMaximum", math.inf), "over maximum")
+        check("multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema.get("multipleOf", 1))) != 0, "not a multiple")
     return found
 
 
+def judged(content: str, schema: str | None) -> tuple[bool, list[str]]:
+    """Whether the schema is bad, and the problems of the arguments; both as JSON. Without a schema nothing is."""
+    if schema is None:
+        return False, []
+    try:
+        rule = json.loads(schema)
+        return (False, problems(json.loads(content), rule)) if well_formed(rule) else (True, [])
+    except (RecursionError, ValueError, OverflowError):
+        return True, []
+
+
 def _load(text: str) -> object:
     def refuse(_: str) -> None:
         raise ValueError("not a JSON number")
@@ -132,7 +213,10 @@ def parse_message(role: str, text: str) -> list[dict]:
         try:
             call = _load(block)
             arguments = call.get("arguments", {})
-            needs = sorted(_refs(arguments) | {str(d) for d in call.get("depends_on") or []})
+            after = call.get("depends_on") or []
+            if not isinstance(after, (str, list)):
+                raise TypeError("depends_on is an identifier or a list of them")
+            needs = sorted(_refs(arguments) | ({after} if isinstance(after, str) else {str(d) for d in after}))
             out.append({"part": "call", "ref": str(call["id"]), "name": str(call["name"]), "content": canonical(arguments), "needs": needs, "nth": k})
         except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
             out.append({"part": "malformed", "content": block, "nth": k})
@@ -171,7 +255,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     found = written(parts(messages, conv_col, turn_col, role_col, text_col), "chat-parts")
     first = Window.partitionBy("conv", "ref").orderBy("turn", "nth", "content")
     calls = found.where("part = 'call'").withColumn("rank", F.row_number().over(first))
-    tools = found.where("part = 'tool'").groupBy("conv", "name").agg(F.min_by("content", "turn").alias("own_schema"))
+    tools = found.where("part = 'tool'").groupBy("conv", "name").agg(F.min_by("content", F.struct(F.col("turn").isNotNull(), "turn", "content")).alias("own_schema"))
     met = calls.join(tools.withColumnsRenamed({"conv": "c", "name": "n"}), F.col("conv").eqNullSafe(F.col("c")) & (F.col("name") == F.col("n")), "left").drop("c", "n")
     if schemas is not None:
         general = schemas.select(F.col("name").alias("n"), F.col("schema").alias("general")).groupBy("n").agg(F.min("general").alias("general"))
@@ -181,13 +265,11 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     kinds = {k: found.schema[k].dataType.simpleString() for k in ("conv", "turn")}
 
     def validate(batch: pa.RecordBatch) -> dict:
-        said = []
-        for content, schema in zip(batch.column("content").to_pylist(), batch.column("schema").to_pylist(), strict=True):
-            said.append([] if schema is None else problems(json.loads(content), json.loads(schema)))
-        return {k: batch.column(k) for k in ("conv", "turn", "role", "ref", "name", "content", "needs", "nth", "rank", "schema")} | {"problems": said}
+        said = [judged(*x) for x in zip(batch.column("content").to_pylist(), batch.column("schema").to_pylist(), strict=True)]
+        return {k: batch.column(k) for k in columns} | {"bad": [b for b, _ in said], "problems": [p for _, p in said]}
 
     columns = ["conv", "turn", "role", "ref", "name", "content", "needs", "nth", "rank", "schema"]
-    schema = f"conv {kinds['conv']}, turn {kinds['turn']}, role string, ref string, name string, content string, needs array<string>, nth int, rank int, schema string, problems array<string>"
+    schema = f"conv {kinds['conv']}, turn {kinds['turn']}, role string, ref string, name string, content string, needs array<string>, nth int, rank int, schema string, bad boolean, problems array<string>"
     checked = written(arrow_map(met.select(*columns), validate, schema), "chat-calls")
     firsts = checked.where("rank = 1").select("conv", "ref", "turn", "needs")
     placed = _order(firsts)
@@ -197,7 +279,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     on = F.col("conv").eqNullSafe(F.col("oc")) & (F.col("ref") == F.col("oref"))
     call_rows = checked.join(placed, on, "left").select(
         "conv", "turn", "role", F.lit("call").alias("part"), "ref", "problems",
-        F.when(F.col("rank") > 1, "duplicate").when(F.col("cyclic"), "cycle").when(F.col("schema").isNull(), "unknown_tool").when(F.size("problems") > 0, "invalid").when(~F.col("answered"), "pending").otherwise("linked").alias("status"),
+        F.when(F.col("rank") > 1, "duplicate").when(F.col("cyclic"), "cycle").when(F.col("schema").isNull(), "unknown_tool").when(F.col("bad"), "bad_schema").when(F.size("problems") > 0, "invalid").when(~F.col("answered"), "pending").otherwise("linked").alias("status"),
         F.when(F.col("rank") > 1, F.col("turn")).otherwise(F.greatest("order_turn", "turn")).alias("order_turn"),
         F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("order_depth")).alias("order_depth"),
         "name", "content",
@@ -215,33 +297,33 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def _order(calls: DataFrame) -> DataFrame:
-    """``order_turn``, ``order_depth`` and ``cyclic`` of each call, by relaxing the calls it needs.
+    """``order_turn``, ``order_depth`` and ``cyclic`` of each call.
 
-    A round passes values along one step of the dependencies; only calls that changed go on.
-    Needs of unknown calls don't bind. After as many rounds as the longest chain nothing
-    changes; what still changes once the depth passes the number of calls lies on or
-    behind a cycle.
+    A round places the calls whose needs all have places; only calls placed in the last round
+    and those still open are read. There are as many rounds as the longest chain has calls;
+    what stays open lies on or behind a cycle. Needs of unknown calls don't bind.
     """
     nodes = written(calls.select("conv", "ref", "turn"), "chat-nodes")
-    needs = calls.select(F.col("conv").alias("nc"), F.col("ref").alias("who"), F.explode("needs").alias("need"))
+    needs = calls.select(F.col("conv").alias("nc"), F.col("ref").alias("who"), F.explode("needs").alias("need")).distinct()
     known = nodes.select(F.col("conv").alias("kc"), F.col("ref").alias("kr"))
     needs = written(needs.join(known, F.col("nc").eqNullSafe(F.col("kc")) & (F.col("need") == F.col("kr"))).select("nc", "who", "need"), "chat-needs")
-    state = nodes.select("conv", "ref", F.col("turn").alias("order_turn"), F.lit(0).alias("order_depth"))
-    most = needs.groupBy("nc").agg(F.countDistinct("who").alias("n")).agg(F.max("n")).first()[0] or 0
-    if not most:
-        return state.withColumn("cyclic", F.lit(False))
-    state, rounds, live = written(state, "chat-state"), 0, True
-    while live and rounds <= most:
-        before = state.toDF("bc", "br", "b_turn", "b_depth")
-        reach = needs.join(before, F.col("nc").eqNullSafe(F.col("bc")) & (F.col("need") == F.col("br"))).groupBy("nc", "who").agg(F.max("b_turn").alias("r_turn"), (F.max("b_depth") + 1).alias("r_depth"))
-        after = state.join(reach, F.col("conv").eqNullSafe(F.col("nc")) & (F.col("ref") == F.col("who")), "left").select(
-            "conv", "ref", F.greatest("order_turn", "r_turn").alias("order_turn"), F.greatest("order_depth", F.coalesce("r_depth", F.lit(0))).alias("order_depth"),
-            (F.coalesce("r_depth", F.lit(0)) > F.col("order_depth")).alias("deeper") | (F.coalesce(F.col("r_turn") > F.col("order_turn"), F.lit(False))),
-        ).toDF("conv", "ref", "order_turn", "order_depth", "changed")
+    wanted = needs.groupBy("nc", "who").agg(F.count("*").alias("left"))
+    start = nodes.join(wanted, F.col("conv").eqNullSafe(F.col("nc")) & (F.col("ref") == F.col("who")), "left")
+    start = written(start.select("conv", "ref", "turn", F.coalesce("left", F.lit(0)).alias("left"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_depth")), "chat-state")
+    fresh, open_ = start.where("left = 0"), start.where("left > 0")
+    placed = fresh
+    while not open_.isEmpty() and not fresh.isEmpty():
+        last = fresh.select(F.col("conv").alias("bc"), F.col("ref").alias("br"), F.col("order_turn").alias("b_turn"), F.col("order_depth").alias("b_depth"))
+        met = needs.join(last, F.col("nc").eqNullSafe(F.col("bc")) & (F.col("need") == F.col("br"))).groupBy("nc", "who")
+        reach = met.agg(F.count("*").alias("got"), F.max("b_turn").alias("r_turn"), (F.max("b_depth") + 1).alias("r_depth"))
+        after = open_.join(reach, F.col("conv").eqNullSafe(F.col("nc")) & (F.col("ref") == F.col("who")), "left").select(
+            "conv", "ref", "turn", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), F.greatest("order_turn", "r_turn").alias("order_turn"), F.greatest("order_depth", "r_depth").alias("order_depth")
+        )
         after = written(after, "chat-state")
-        live = not after.where("changed").isEmpty()
-        state, rounds = after.drop("changed"), rounds + 1
-    return state.withColumn("cyclic", F.col("order_depth") >= most + 1 if live else F.lit(False))
+        fresh, open_ = after.where("left = 0"), after.where("left > 0")
+        placed = placed.unionByName(fresh)
+    cyclic = open_.select("conv", "ref", F.col("turn").alias("order_turn"), F.lit(0).alias("order_depth"), F.lit(True).alias("cyclic"))
+    return placed.select("conv", "ref", "order_turn", "order_depth", F.lit(False).alias("cyclic")).unionByName(cyclic)
 
 
 def _serialised(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -565,6 +565,65 @@ def test_tool_calls(spark):
     assert toolcalls.link(messages.limit(0)).count() == 0
 
 
+def test_tool_calls_order_random_graphs(spark):
+    """Places, depths and cycles against a search by depth, with needs of unknown calls, long chains and null turns."""
+    rng = random.Random(31)
+    calls = []
+    for conv in range(30):
+        n = rng.randint(1, 12)
+        for k in range(n):
+            needs = [f"c{rng.randrange(n + 2)}" for _ in range(rng.randint(0, 2))] if conv % 3 else ([f"c{k - 1}"] if k else [])
+            calls.append((conv if conv else None, f"c{k}", None if rng.random() < 0.1 else rng.randrange(20), needs))
+    known = {(c, r): (t, n) for c, r, t, n in calls}
+
+    def place(conv, ref, path=()):
+        if ref in path:
+            return None
+        turn, needs = known[conv, ref]
+        behind = [place(conv, x, (*path, ref)) for x in needs if (conv, x) in known]
+        if None in behind:
+            return None
+        turns = [t for t in [turn, *(t for t, _ in behind)] if t is not None]
+        return max(turns, default=None), 1 + max((d for _, d in behind), default=-1)
+
+    got = toolcalls._order(spark.createDataFrame(calls, "conv long, ref string, turn long, needs array<string>")).collect()
+    assert len(got) == len(calls)
+    for r in got:
+        expected = place(r["conv"], r["ref"])
+        assert (r["order_turn"], r["order_depth"], r["cyclic"]) == ((known[r["conv"], r["ref"]][0], 0, True) if expected is None else (*expected, False))
+
+
+def test_schemas_good_and_bad():
+    ok = toolcalls.well_formed
+    assert ok(True) and ok({"type": ["string", "null"], "properties": {"a": {"minLength": 2}}, "description": 5})
+    for bad in ({"pattern": "("}, {"type": "text"}, {"type": {"a": 1}}, {"minimum": "1"}, {"minItems": None}, {"enum": 4}, {"required": "a"}, {"$ref": "#/a"}, {"anyOf": []}, {"multipleOf": 0}, [1], None, {"items": {"not": 3}}):
+        assert not ok(bad), bad
+    cases = [
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 3], [2]), ({"oneOf": [{"minimum": 3}, {"maximum": 5}]}, [1, 9], [4]), ({"allOf": [{"minimum": 3}, {"maximum": 5}]}, [4], [1, 9]),
+        ({"not": {"type": "null"}}, [0], [None]), ({"exclusiveMinimum": 1, "exclusiveMaximum": 4}, [2], [1, 4]), ({"multipleOf": 0.1}, [0.3, 7], [0.35]), ({"uniqueItems": True}, [[1, 2]], [[1, 1.0]]),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, [{"x1": 3}], [{"x1": "3"}, {"y": 3}]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 2}]),
+        ({"type": "integer"}, [10**400, 2.0], [2.5, True]), ({"enum": [1, "a"]}, [1, 1.0], [True, "b"]), ({"const": {"a": 1}}, [{"a": 1.0}], [{"a": 2}]),
+    ]
+    for schema, good, wrong in cases:
+        assert ok(schema)
+        assert not any(toolcalls.problems(v, schema) for v in good), schema
+        assert all(toolcalls.problems(v, schema) for v in wrong), schema
+    assert toolcalls.judged("{}", '{"pattern": "("}') == (True, []) and toolcalls.judged("{}", None) == (False, [])
+    deep = '{"items":' * 3000 + "true" + "}" * 3000
+    assert toolcalls.judged("1", deep) == (True, [])
+
+
+def test_tool_declarations_of_null_turns_come_first(spark):
+    tools = '<tools>[{"name": "f", "parameters": %s}]</tools>'
+    call = '<tool_call>{"id": "%s", "name": "f", "arguments": {"a": 1}, "depends_on": %s}</tool_call>'
+    rows = [
+        (1, None, "system", tools % '{"required": ["b"]}'), (1, 0, "system", tools % "true"), (1, 1, "assistant", call % ("x", '"yz"')), (1, 2, "assistant", call % ("yz", "null")), (1, 3, "assistant", call % ("w", "7")),
+        (2, 0, "system", tools % '{"pattern": "("}'), (2, 1, "assistant", call % ("x", "[]")), (3, 0, "system", tools % '{"type": "a"}'), (3, 0, "system", tools % '{"maxProperties": 0}'), (3, 1, "assistant", call % ("x", "[]")),
+    ]
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("role = 'assistant'").collect()
+    assert {(r["conv_id"], r["turn"], r["status"], r["order_turn"], r["order_depth"]) for r in got} == {(1, 1, "invalid", 2, 1), (1, 2, "invalid", 2, 0), (1, 3, "malformed", 3, 0), (2, 1, "bad_schema", 1, 0), (3, 1, "invalid", 1, 0)}
+
+
 def test_registered_queries():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES)
     assert names == list(range(1, 11))
