@@ -1,43 +1,61 @@
-"""Iterative graph algorithms as loops of joins; long loops write their state to the checkpoint folder."""
+"""Iterative graph algorithms as loops of joins; loops write their state to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..shared import written
 from .links import ONE, node_degrees
+from .scans import prefix_sum
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows computed once: a checkpoint in the folder the cluster names, else (tests) a cache."""
-    context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named and not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    if context.getCheckpointDir():
-        return df.checkpoint()
-    kept = df.cache()
-    kept.count()
-    return kept
-
-
-def hops(edges: DataFrame, seeds: DataFrame, budget: int | None = None) -> DataFrame:
-    """``node, hop``: least number of steps from the seeds. With ``budget`` the search stops after
-    the level that reaches that many nodes."""
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    frontier, level, total = seen, 0, None
-    while True:
+    """The rows computed once, as a table in the folder that the cluster shares."""
+    return written(df, "step")
+
+
+#: Levels of a search after which the nodes seen are put together.
+_LEVELS = 16
+
+
+def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, hop``: least number of steps from the seeds, up to ``most``. Each level is computed once and kept by itself."""
+    edges = settled(edges.select("src", "dst"))
+    frontier = seen = settled(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
+    level = 0
+    while (most is None or level < most) and not frontier.isEmpty():
         level += 1
         fresh = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = settled(fresh.join(seen, "node", "left_anti").withColumn("hop", F.lit(level)))
+        seen = seen.unionByName(frontier)
+        if level % _LEVELS == 0:
+            seen = settled(seen)
+    return seen
+
+
+def queue_order(edges: DataFrame, seed: DataFrame, budget: int) -> DataFrame:
+    """``node, hop, place`` of the first ``budget`` nodes that a breadth-first queue from one node takes in: parents
+    in order, the neighbours of each by id. A level is numbered by its parents' places, and the last is cut."""
+    edges = settled(edges.select("src", "dst"))
+    frontier = seen = settled(seed.select("node", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("place")))
+    level, total = 0, seen.count()
+    while total < budget:
+        level += 1
+        reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("parent"))
+        fresh = settled(reached.join(seen, "node", "left_anti"))
+        # a parent's children are numbered among themselves, parents by how many came before
+        own = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy("node")) - 1)
+        sizes = fresh.groupBy("parent").agg(F.count("*").alias("n"))
+        numbered = own.join(prefix_sum(sizes, "parent", "n", "base").drop("n"), "parent")
+        frontier = settled(numbered.select("node", F.lit(level).alias("hop"), (F.col("base") + F.col("nth") + total).alias("place")).where(F.col("place") < budget))
         found = frontier.count()
         if not found:
-            return seen
-        seen = settled(seen.unionByName(frontier))
-        if budget is not None:
-            total = seen.count() if total is None else total + found
-            if total >= budget:
-                return seen
+            break
+        total += found
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def diameter(nodes: DataFrame, edges: DataFrame, sources: int, seed: str) -> DataFrame:
@@ -45,15 +63,17 @@ def diameter(nodes: DataFrame, edges: DataFrame, sources: int, seed: str) -> Dat
     (all nodes where there are fewer), and how many (source, node) pairs have a path."""
     from .splits import permuted
 
-    seen = settled(permuted(nodes, seed).where(F.col("k") < sources).select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")))
-    n, frontier, level = seen.count(), seen, 0
-    while True:
+    edges = settled(edges.select("src", "dst"))
+    frontier = seen = settled(permuted(nodes, seed).where(F.col("k") < sources).select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")))
+    n, level = seen.count(), 0
+    while not frontier.isEmpty():
         level += 1
         fresh = frontier.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         frontier = settled(fresh.join(seen, ["source", "node"], "left_anti").withColumn("hop", F.lit(level)))
-        if frontier.isEmpty():
-            return seen.agg(F.max("hop").alias("diameter"), F.lit(n).alias("sources"), F.count("*").alias("reached"))
-        seen = settled(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % _LEVELS == 0:
+            seen = settled(seen)
+    return seen.agg(F.max("hop").alias("diameter"), F.lit(n).alias("sources"), F.count("*").alias("reached"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,7 +103,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float, rounds: int) -> D
     """``node, rank`` after fixed rounds; the mass of dangling nodes isn't dealt out again."""
     n = nodes.agg(F.count("*").alias("n"))  # one row
     out = node_degrees(edges).toDF("src", "d")
-    weighed = edges.join(out, "src")
+    weighed = settled(edges.join(out, "src"))
     rank = nodes.crossJoin(F.broadcast(n)).select("node", "n", (ONE / F.col("n")).alias("rank"))
     for step in range(rounds):
         given = weighed.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("got"))

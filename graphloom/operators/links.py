@@ -16,16 +16,21 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
 
 
-def wedge_scores(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def wedge_scores(edges: DataFrame, sources: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """``src, cand, cn, ra``: every node two steps away, with its common neighbours and resource allocation.
 
     ``edges`` is simple and symmetric. The middle's degree comes by a window over the
-    shuffle that the join needs anyway; with ``sources(src)`` only their wedges are made.
+    shuffle that the join needs anyway; with ``sources(src)`` only their wedges are made,
+    and the pairs of ``known(src, dst)`` are left out. Wedges are dealt by source, so that
+    what ranks a source's candidates finds them together.
     """
     half = edges.join(sources, "src", "left_semi") if sources is not None else edges
-    middle = edges.select(F.col("src").alias("mid"), F.col("dst").alias("cand"), F.count("*").over(Window.partitionBy("src")).alias("d"))
-    met = half.select("src", F.col("dst").alias("mid")).join(middle, "mid").where("src <> cand")
-    return met.groupBy("src", "cand").agg(F.count("*").alias("cn"), F.sum(ONE / F.col("d")).alias("ra"))
+    middle = edges.select(F.col("src").alias("mid"), F.col("dst").alias("cand"), (ONE / F.count("*").over(Window.partitionBy("src"))).alias("w"))
+    met = half.select("src", F.col("dst").alias("mid")).join(middle, "mid").where("src <> cand").select("src", "cand", "w")
+    if known is not None:
+        met = met.unionByName(known.select("src", F.col("dst").alias("cand"), F.lit(None).cast("double").alias("w")))
+    pairs = met.repartition("src").groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"), F.count("*").alias("n"))
+    return pairs.where("n = cn").drop("n")
 
 
 def pair_scores(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,13 +43,11 @@ def pair_scores(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.coalesce("cn", zero).alias("cn"), F.coalesce("ra", zero.cast("double")).alias("ra"), (F.coalesce("ds", zero) * F.coalesce("dd", zero)).alias("pa"))
 
 
-def ranked_candidates(scores: DataFrame, edges: DataFrame, known: DataFrame, by: str, k: int) -> DataFrame:
-    """The ``k`` best candidates of each source: known neighbours and the source itself are left out;
-    ties go to the larger degree, then the smaller id."""
-    fresh = scores.join(known.select("src", F.col("dst").alias("cand")), ["src", "cand"], "left_anti").where("src <> cand")
+def ranked_candidates(scores: DataFrame, edges: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` best candidates of each source; ties go to the larger degree, then the smaller id."""
     d = node_degrees(edges).toDF("cand", "d")
     order = Window.partitionBy("src").orderBy(F.desc(F.round(F.col(by), 9)), F.desc("d"), "cand")
-    return fresh.join(d, "cand").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "cand", "rank")
+    return scores.join(d, "cand").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "cand", "rank")
 
 
 def negatives(positives: DataFrame, pool: DataFrame, k: int, seed: str) -> DataFrame:

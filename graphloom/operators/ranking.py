@@ -30,6 +30,45 @@ def true_ranks(scores: DataFrame, truth: DataFrame, known: DataFrame | None = No
     return counted.select("qid", F.col("true_cand").alias("cand"), (F.col("above") + 1).alias("rank"))
 
 
+def full_ranks(queries: DataFrame, candidates: DataFrame, score, most_rows: int = 1 << 20) -> DataFrame:
+    """``queries`` (``truth`` and ``known``, an array of candidates to leave out, among their columns) with ``above`` and
+    ``at``: how many other candidates score above the truth, and at least as high. ``score(cand)`` gives a column.
+    Queries whose truth is no candidate have no rank.
+
+    Every query meets every candidate by definition, but no score leaves its task: counts are
+    summed there, and what is shuffled is a row for each query and task. Queries are spread first.
+    """
+    own = [k for k in queries.columns if k != "known"]
+    wide = queries.sparkSession.sparkContext.defaultParallelism
+    spread = queries.repartition(4 * wide).withColumn("__true", score(F.col("truth")))
+    met = _product(spread, candidates.select("cand"), most_rows).withColumn("__s", score(F.col("cand"))).where(F.col("__s") >= F.col("__true"))
+    other = F.col("cand") != F.col("truth")
+    counted = met.where(~other | ~F.array_contains("known", F.col("cand")))
+    return counted.groupBy(*own).agg(F.count_if(other & (F.col("__s") > F.col("__true"))).alias("above"), F.count_if(other).alias("at"))
+
+
+def top_candidates(queries: DataFrame, candidates: DataFrame, score, k: int, known: str | None = None, block: int = 1024) -> DataFrame:
+    """``queries`` with ``cand`` and ``rank`` of their ``k`` best candidates (ties to the smaller), but for those in the array ``known``.
+
+    Candidates come in blocks; a task keeps ``k`` of each query and block, and only those are shuffled.
+    """
+    keys = [c for c in queries.columns if c != known]
+    wide = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = candidates.select("cand").groupBy(F.floor(F.col("cand") / block).alias("__b")).agg(F.sort_array(F.collect_list("cand")).alias("__cands")).select("__cands")
+    met = _product(queries.repartition(4 * wide), blocks, 1 << 10)
+    fresh = F.array_except("__cands", F.col(known)) if known else F.col("__cands")
+    scored = F.transform(fresh, lambda c: F.struct((-score(c)).alias("s"), c.alias("cand")))
+    best = met.select(*keys, F.explode(F.slice(F.sort_array(scored), 1, k)).alias("x")).select(*keys, "x.*")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "cand"))).where(F.col("rank") <= k).drop("s")
+
+
+def _product(left: DataFrame, right: DataFrame, most_rows: int) -> DataFrame:
+    """All pairs: the right side broadcast where it has ``most_rows`` at most, else by blocks of both sides."""
+    if right.limit(most_rows + 1).count() <= most_rows:
+        return left.crossJoin(F.broadcast(right))
+    return left.join(right.hint("shuffle_replicate_nl"))
+
+
 def rank_metrics(ranks: DataFrame, by: str | None = None, hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
     """MRR, Hits@k and the number of queries; with ``by`` the total (null) and every value of it in one pass."""
     aggs = [F.round(F.avg(ONE / F.col("rank")), 9).alias("mrr"), *[F.round(F.avg((F.col("rank") <= k).cast("double")), 9).alias(f"hits_{k}") for k in hits], F.count("*").alias("n_queries")]

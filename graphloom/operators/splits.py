@@ -10,8 +10,8 @@ from ..functions.draws import draw, uniform
 from ..functions.scalars import bucketise
 from .scans import dense_ids
 
-#: Buckets of draws in which a permutation is numbered.
-_BUCKETS = 16
+#: Buckets of draws in which a permutation is numbered: sixty million a bucket for a trillion rows.
+_BUCKETS = 1 << 14
 
 
 def flags(triples: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import draw, uniform
 from ..functions.scalars import first_seen
+from ..shared import written
 
-#: Steps after which a long walk's state is checkpointed (where a checkpoint folder is set).
+#: Steps after which a long walk's state is written, so that plans stay short.
 CUT = 32
 
 
@@ -28,9 +29,7 @@ def transitions(edges: DataFrame) -> DataFrame:
 
 
 def _cut(state: DataFrame, step: int) -> DataFrame:
-    if step % CUT == 0 and state.sparkSession.sparkContext.getCheckpointDir():
-        return state.checkpoint()
-    return state
+    return written(state, "walk") if step % CUT == 0 else state
 
 
 def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack: bool = True, restart: float = 0.0, period: int = 0) -> DataFrame:
@@ -42,7 +41,7 @@ def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack:
     """
     if restart and period:
         raise ValueError("a walk restarts by chance or by period, not both")
-    steps = transitions(edges)
+    steps = written(transitions(edges), "transitions")  # read at every step
     degree = steps.select(F.col("src").alias("node"), F.col("deg").alias("start_deg")).distinct()
     nothing = F.lit(None).cast("long")
     state = starts.join(degree, "node", "left").select(

@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
+from ..shared import fresh_path
 from ..streaming import running as RN
 from .registry import query
 
 HALF = draw_sql("'st5|3|' || id")
 
 
-def _checkpoint(spark) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return "file://" + tempfile.mkdtemp(prefix="graphloom-stream-")
-
-
 def _stream(t):
     folder = t.folder if "://" in t.folder else "file://" + os.path.abspath(t.folder)
     schema = t.events.schema
@@ -30,7 +23,7 @@ def _stream(t):
 
 @query("st13_running_metrics", "SELECT event_type AS dataset, count(*) AS n, round(sum(value), 4) AS total, arg_max(event_id, (value, -event_id)) AS best FROM events GROUP BY event_type")
 def _(t):
-    out = RN.drained(RN.running_metrics(_stream(t)), f"running_{uuid.uuid4().hex}", _checkpoint(t.spark))
+    out = RN.drained(RN.running_metrics(_stream(t)), f"running_{uuid.uuid4().hex}", fresh_path(t.spark, "stream"))
     return out.withColumn("total", F.round("total", 4))
 
 

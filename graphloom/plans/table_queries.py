@@ -14,6 +14,7 @@ from ..operators import links as L
 from ..operators import reports as RP
 from ..operators import sketches as SK
 from ..operators import splits as S
+from ..operators.scans import dense_ids
 from ..sources import sinks, texts
 from ..sources.fixtures import KG, LABEL, PART, RUNS
 from .registry import query
@@ -292,12 +293,41 @@ def _(t):
     return A.hops(t.part_edges(), t.part_nodes().where("node = 0"))
 
 
-@query("it2_bfs_subsample", f"{BFS}, h AS (SELECT node, min(hop) AS hop FROM b GROUP BY node), c AS (SELECT hop, sum(count(*)) OVER (ORDER BY hop) AS total FROM h GROUP BY hop), stop AS (SELECT min(hop) AS hop FROM c WHERE total >= 200), keep AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM h WHERE hop <= coalesce((SELECT hop FROM stop), 12)) SELECT a.k AS src, z.k AS dst FROM edges JOIN keep a ON src = a.node JOIN keep z ON dst = z.node")
+def _queue_sql(seed: str, budget: int, levels: int = 8) -> str:
+    """Common table expressions up to ``q(node, hop, place)``; so many levels are more than these graphs have."""
+    out = f"q0 AS ({seed})"
+    for k in range(1, levels + 1):
+        out += f""",
+q{k} AS (SELECT node, hop, place FROM q{k - 1} UNION ALL SELECT * FROM (SELECT dst, {k}, (SELECT count(*) FROM q{k - 1}) + row_number() OVER (ORDER BY min(place), dst) - 1 AS place
+  FROM q{k - 1} JOIN edges ON src = node WHERE hop = {k - 1} AND dst NOT IN (SELECT node FROM q{k - 1}) GROUP BY dst) WHERE place < {budget})"""
+    return out + f", q AS (SELECT * FROM q{levels})"
+
+
+HUB = "SELECT src AS node, 0 AS hop, 0::BIGINT AS place FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 1"
+
+
+@query("it1_queue_order", f"WITH {PART}, {_queue_sql(HUB, 500)} SELECT node, hop, place, (SELECT count(*) FROM q) >= 500 AS hit_budget FROM q")
 def _(t):
-    from ..operators.graph import induced_subgraph
+    edges = t.part_edges()
+    hub = L.node_degrees(edges).orderBy(F.desc("d"), "node").limit(1)
+    order = A.queue_order(edges, hub, 500)
+    full = order.agg((F.count("*") >= 500).alias("hit_budget"))  # one row
+    return order.crossJoin(F.broadcast(full))
 
-    ball = A.hops(t.part_edges(), t.part_nodes().where("node = 0"), budget=200)
-    return induced_subgraph(t.part_edges(), ball.select("node"))
+
+SEED = f"SELECT node, 0 AS hop, 0::BIGINT AS place FROM lab JOIN nsplit USING (node) WHERE part = 'train' AND label = (SELECT label FROM lab WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) ORDER BY {draw_sql("'it2|' || node")}, node LIMIT 1"
+
+
+@query("it2_bfs_subsample", f"WITH {PART}, {LABEL}, {_queue_sql(SEED, 200)}, keep AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM q), ball AS (SELECT a.k AS src, z.k AS dst, src AS src_node, dst AS dst_node, y.label AS src_label FROM edges JOIN keep a ON src = a.node JOIN keep z ON dst = z.node LEFT JOIN lab y ON y.node = src), present AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS new FROM (SELECT DISTINCT label FROM lab JOIN keep USING (node) WHERE label IS NOT NULL)) SELECT src, dst, src_node, dst_node, new AS src_label FROM ball LEFT JOIN present ON src_label = label")
+def _(t):
+    edges, labels = t.part_edges(), t.labels_of_parts()
+    top = S.rank_classes(labels).where("rank = 1").select("label")  # one row
+    pool = labels.join(F.broadcast(top), "label").join(t.split_of_parts().where("part = 'train'"), "node")
+    seed = pool.orderBy(draw("it2|", F.col("node")), "node").limit(1)
+    keep = dense_ids(A.queue_order(edges, seed, 200).select("node"), "node", "k")
+    mapped = S.remap_classes(labels.join(keep, "node").where("label IS NOT NULL"))
+    met = edges.toDF("src_node", "dst_node").join(keep.toDF("src_node", "src"), "src_node").join(keep.toDF("dst_node", "dst"), "dst_node")
+    return met.join(mapped.toDF("src_node", "src_label"), "src_node", "left").select("src", "dst", "src_node", "dst_node", "src_label")
 
 
 @query("it6_components", f"WITH RECURSIVE {PART}, r(node, root) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT dst, root FROM r JOIN edges ON src = node WHERE root < dst) SELECT node, min(root) AS root FROM r GROUP BY node")

@@ -180,9 +180,9 @@ def _(t):
     return WK.positions(prefixes)
 
 
-@query("rw18_balanced_starts", f"WITH {KG}, o AS (SELECT h, r, t, row_number() OVER (PARTITION BY r ORDER BY {draw_sql("'w10' || h || '|' || t || '|' || r")}, h, t) - 1 AS k, count(*) OVER (PARTITION BY r) AS n FROM kg WHERE split = 'test' AND h % 5 = r % 5) SELECT r AS rel, j, h AS src, t AS dst FROM o, unnest(range(0, 300)) AS u(j) WHERE k = j % n")
+@query("rw18_balanced_starts", f"WITH {KG}, o AS (SELECT h, r, t, row_number() OVER (PARTITION BY r ORDER BY {draw_sql("'w10' || h || '|' || t || '|' || r")}, h, t) - 1 AS k, count(*) OVER (PARTITION BY r) AS n FROM kg WHERE split = 'test') SELECT r AS rel, j, h AS src, t AS dst FROM o, unnest(range(0, 300)) AS u(j) WHERE k = j % n")
 def _(t):
-    some = t.triples().where("split = 'test' AND h % 5 = r % 5").select(F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("rel"))
+    some = t.triples().where("split = 'test'").select(F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("rel"))
     return WK.balanced_starts(some, 300, "w10")
 
 
@@ -198,11 +198,11 @@ def _(t):
     return rows.select(F.floor(F.col("walk_id") / 2).alias("walk_id"), ((F.col("walk_id") % 2) * (LENGTH + 1) + F.col("pos")).alias("pos"), "node", ((F.col("pos") == 0) & later).alias("restart"))
 
 
-@query("rw22_coverage", _walk_sql("rw3", ANY) + ", s AS (SELECT * FROM w WHERE start % 10 = 0) SELECT count(DISTINCT node) AS visited, count(DISTINCT node) FILTER (WHERE pos = 0) AS starts, round(count(DISTINCT node) / (SELECT count(*) FROM part)::DOUBLE, 9) AS share FROM s")
+@query("rw22_coverage", _walk_sql("rw3", ANY) + "SELECT count(DISTINCT node) FILTER (WHERE pos > 0) AS visited, count(DISTINCT node) FILTER (WHERE pos = 0) AS starts, round(count(DISTINCT node) FILTER (WHERE pos > 0) / (SELECT count(*) FROM part)::DOUBLE, 9) AS share FROM w")
 def _(t):
-    starts = _starts(t).where("node % 10 = 0")
     n = t.part.agg(F.count("*").alias("n"))
-    seen = _rows(WK.walk(starts, t.part_edges("train"), LENGTH, "rw3")).agg(F.countDistinct("node").alias("visited"), F.countDistinct(F.when(F.col("pos") == 0, F.col("node"))).alias("starts"))
+    rows = _rows(WK.walk(_starts(t), t.part_edges("train"), LENGTH, "rw3"))
+    seen = rows.agg(F.countDistinct(F.when(F.col("pos") > 0, F.col("node"))).alias("visited"), F.countDistinct(F.when(F.col("pos") == 0, F.col("node"))).alias("starts"))
     return seen.crossJoin(n).select("visited", "starts", F.round(F.col("visited") / F.col("n"), 9).alias("share"))
 
 
@@ -247,8 +247,8 @@ SELECT count(*) AS sources, round(avg(coalesce(h, 0) / n::DOUBLE), 6) AS recall,
 
 def _recall(t, by):
     train, test = t.part_edges("train"), t.part_edges("test")
-    scores = L.wedge_scores(train, test.select("src").distinct())
-    return R.recall_at_k(L.ranked_candidates(scores, train, train, by, 20), test.select("src", F.col("dst").alias("cand")), 20)
+    scores = L.wedge_scores(train, test.select("src").distinct(), known=train)
+    return R.recall_at_k(L.ranked_candidates(scores, train, by, 20), test.select("src", F.col("dst").alias("cand")), 20)
 
 
 @query("m5_heuristic_recall_ra", _recall_sql("ra"))
@@ -345,43 +345,46 @@ ranks AS (SELECT s.qid, any_value(s.r) AS r, any_value(s.t) AS cand, 1 + count(*
   FROM s JOIN tr USING (qid) LEFT JOIN kg k ON k.h = s.h AND k.r = s.r AND k.t = s.cand GROUP BY s.qid)"""
 
 
-def _scored(t):
-    """Every supplier's synthetic score for every test query: a full scoring by definition."""
-    n = t.part.agg(F.count("*").alias("n"))
+def _queries(t):
+    """Test triples as queries ``qid, r, truth, known``, and every supplier as a candidate."""
+    n = t.part.agg(F.count("*").alias("n"))  # one row
     cand = t.supplier.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.col("n")).alias("cand"))
-    # the product is made where the queries lie: spread them first, by the key that ranking needs
-    wide = t.spark.sparkContext.defaultParallelism
-    queries = t.triples().where("split = 'test'").select(F.concat_ws(":", "h", "r", "t").alias("qid"), "h", "r", "t").repartition(wide, "qid")
-    scores = queries.select("qid").crossJoin(cand).select("qid", "cand", (draw(F.col("qid"), ":", F.col("cand")) % 1000).alias("score"))
-    known = queries.join(t.triples().select("h", "r", F.col("t").alias("cand")), ["h", "r"]).where("cand <> t").select("qid", "cand")
-    return queries, scores, known
+    tails = t.triples().groupBy("h", "r").agg(F.collect_list(F.struct("t", "split")).alias("tails"))
+    asked = tails.select("h", "r", "tails.t", F.explode(F.expr("filter(tails, x -> x.split = 'test')")).alias("q"))
+    return asked.select(F.concat_ws(":", "h", "r", "q.t").alias("qid"), "r", F.col("q.t").alias("truth"), F.col("t").alias("known")), cand
+
+
+def _score(cand):
+    """A synthetic score of a query and a candidate."""
+    return draw(F.col("qid"), ":", cand) % 1000
+
+
+def _ranks(t, ties="pessimistic"):
+    found = R.full_ranks(*_queries(t), _score)
+    return found.select("qid", "r", F.col("truth").alias("cand"), (F.col("at" if ties == "pessimistic" else "above") + 1).alias("rank"))
 
 
 for _ties, _col in (("pessimistic", "pess"), ("optimistic", "opt")):
 
     @query(f"{'w1_pessimistic' if _col == 'pess' else 'w2_optimistic'}_ranks", f"WITH {KG}, {SCORES} SELECT qid, cand, {_col} AS rank FROM ranks")
     def _(t, ties=_ties):
-        queries, scores, known = _scored(t)
-        return R.true_ranks(scores, queries.select("qid", F.col("t").alias("cand")), known, ties)
+        return _ranks(t, ties).drop("r")
 
 
 @query("m1_m2_filtered_mrr", f"WITH {KG}, {SCORES} SELECT r, round(avg(1.0::DOUBLE / pess), 9) AS mrr, round(avg((pess <= 1)::INT), 9) AS hits_1, round(avg((pess <= 3)::INT), 9) AS hits_3, round(avg((pess <= 10)::INT), 9) AS hits_10, count(*) AS n_queries FROM ranks GROUP BY GROUPING SETS ((), (r))")
 def _(t):
-    queries, scores, known = _scored(t)
-    ranks = R.true_ranks(scores, queries.select("qid", F.col("t").alias("cand")), known)
-    return R.rank_metrics(ranks.join(queries.select("qid", "r"), "qid"), "r")
+    return R.rank_metrics(_ranks(t), "r")
 
 
 @query("m3_baseline_mrr", f"WITH {KG}, {SCORES} SELECT round(avg(1.0::DOUBLE / opt), 9) AS mrr, round(avg((opt <= 1)::INT), 9) AS hits_1, round(avg((opt <= 3)::INT), 9) AS hits_3, round(avg((opt <= 10)::INT), 9) AS hits_10, count(*) AS n_queries FROM ranks")
 def _(t):
-    queries, scores, known = _scored(t)
-    return R.rank_metrics(R.true_ranks(scores, queries.select("qid", F.col("t").alias("cand")), known, "optimistic"))
+    return R.rank_metrics(_ranks(t, "optimistic"))
 
 
 @query("w3_top_k", f"WITH {KG}, {SCORES} SELECT qid, cand, rank FROM (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand) AS rank FROM s) WHERE rank <= 10")
 def _(t):
-    _, scores, _ = _scored(t)
-    return scores.select("qid", "cand", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cand")).alias("rank")).where("rank <= 10")
+    queries, cand = _queries(t)
+    return R.top_candidates(queries.select("qid"), cand, _score, 10)
 
 
 @query(
@@ -393,15 +396,12 @@ h AS (SELECT rk.src, count(*) AS h, sum(1 / log2(rank + 1.0::DOUBLE)) AS dcg FRO
 SELECT count(*) AS sources, round(avg(coalesce(h, 0) / n::DOUBLE), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, sum(coalesce(h, 0))::BIGINT AS hits, sum(n)::BIGINT AS pairs, round(sum(coalesce(dcg, 0)), 6) AS dcg FROM n LEFT JOIN h USING (src)""",
 )
 def _(t):
-    n = t.part.agg(F.count("*").alias("n"))
-    kg = t.triples()
-    cand = t.supplier.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.col("n")).alias("t"))
-    wide = t.spark.sparkContext.defaultParallelism
-    fresh = kg.where("split = 'test'").select("h", "r").distinct().repartition(wide, "h", "r").crossJoin(cand).join(kg.where("split = 'train'").select("h", "r", "t"), ["h", "r", "t"], "left_anti")
-    src = F.concat_ws(":", "h", "r")
-    scored = fresh.select(src.alias("src"), F.col("t").alias("cand"), draw(F.col("h"), ":", F.col("r"), ":", F.col("t")).alias("score"))
-    ranked = scored.select("src", "cand", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "cand")).alias("rank")).where("rank <= 20")
-    return R.recall_at_k(ranked, kg.where("split = 'test'").select(src.alias("src"), F.col("t").alias("cand")), 20)
+    n = t.part.agg(F.count("*").alias("n"))  # one row
+    cand = t.supplier.crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.col("n")).alias("cand"))
+    by_source = t.triples().groupBy("h", "r").agg(*[F.collect_list(F.when(F.col("split") == s, F.col("t"))).alias(s) for s in ("train", "test")]).where("size(test) > 0")
+    sources = by_source.select(F.concat_ws(":", "h", "r").alias("src"), "train", "test")
+    ranked = R.top_candidates(sources.select("src", "train"), cand, lambda c: draw(F.col("src"), ":", c), 20, known="train")
+    return R.recall_at_k(ranked, sources.select("src", F.explode("test").alias("cand")), 20)
 
 
 CLASSES = f"{LABEL}, cs AS (SELECT node, k AS label, {draw_sql("'cs|' || node || '|' || k")} % 500 AS score FROM lab, (SELECT k FROM types) WHERE lab.label IS NOT NULL)"

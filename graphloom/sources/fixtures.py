@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.draws import draw, draw_sql
 
@@ -22,12 +23,11 @@ class Tables:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def part_pairs(self) -> DataFrame:
-        """``u < v, fo, split``: parts of one order (a twentieth of the orders), the first such order, the split it decides."""
-        lines = self.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", "l_partkey").distinct()
-        a, b = lines.toDF("ok", "u"), lines.toDF("ok", "v")
-        pairs = a.join(b, "ok").where("u < v").groupBy("u", "v").agg(F.min("ok").alias("fo"))
-        split = F.when(F.col("fo") % 100 < 50, "train").when(F.col("fo") % 100 == 60, "val").otherwise("test")
-        return pairs.withColumn("split", split)
+        """``u < v, fo, split``: parts of neighbouring lines of an order, the first such order, the split it decides."""
+        following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+        lines = self.lineitem.select(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("p"), following.alias("q")).where("p <> q")
+        pairs = lines.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.min("ok").alias("fo"))
+        return pairs.withColumn("split", F.when(F.col("fo") % 5 < 3, "train").when(F.col("fo") % 5 == 3, "val").otherwise("test"))
 
     def part_edges(self, *splits: str) -> DataFrame:
         """Both directions, ``src, dst``, of the given splits (all without any)."""
@@ -43,7 +43,7 @@ class Tables:
         """``h, r, t, split``: part, return flag and line status, supplier (shifted by the number of parts)."""
         codes = F.create_map(*[F.lit(x) for k, name in enumerate(("AF", "AO", "NF", "NO", "RF", "RO")) for x in (name, k)])
         n = self.part.agg(F.count("*").alias("n"))
-        rows = self.lineitem.where("l_orderkey % 10 IN (0, 1)").crossJoin(F.broadcast(n))  # one row
+        rows = self.lineitem.crossJoin(F.broadcast(n))  # one row
         made = rows.select(
             F.col("l_partkey").alias("h"), codes[F.concat("l_returnflag", "l_linestatus")].cast("int").alias("r"), (F.col("l_suppkey") + F.col("n")).alias("t")
         ).distinct()
@@ -53,7 +53,7 @@ class Tables:
     def purchases(self) -> DataFrame:
         """``src, dst``: customer and part (shifted by the number of customers)."""
         n = self.customer.agg(F.count("*").alias("n"))
-        met = self.orders.where("o_orderkey % 10 = 0").join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+        met = self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
         return met.crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + F.col("n")).alias("dst")).distinct()
 
     def labels_of_parts(self) -> DataFrame:
@@ -78,16 +78,16 @@ class Tables:
 
 
 #: The same graphs as common table expressions for DuckDB.
-PART = """lines AS (SELECT DISTINCT l_orderkey AS ok, l_partkey AS p FROM lineitem WHERE l_orderkey % 20 = 0),
-pairs AS (SELECT a.p AS u, b.p AS v, min(a.ok) AS fo, CASE WHEN min(a.ok) % 100 < 50 THEN 'train' WHEN min(a.ok) % 100 = 60 THEN 'val' ELSE 'test' END AS split
-  FROM lines a JOIN lines b ON a.ok = b.ok AND a.p < b.p GROUP BY a.p, b.p),
+PART = """lines AS (SELECT l_orderkey AS ok, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS q FROM lineitem),
+pairs AS (SELECT least(p, q) AS u, greatest(p, q) AS v, min(ok) AS fo, CASE WHEN min(ok) % 5 < 3 THEN 'train' WHEN min(ok) % 5 = 3 THEN 'val' ELSE 'test' END AS split
+  FROM lines WHERE p <> q GROUP BY least(p, q), greatest(p, q)),
 edges AS (SELECT u AS src, v AS dst FROM pairs UNION ALL SELECT v, u FROM pairs),
 tedges AS (SELECT u AS src, v AS dst FROM pairs WHERE split = 'train' UNION ALL SELECT v, u FROM pairs WHERE split = 'train'),
 xedges AS (SELECT u AS src, v AS dst FROM pairs WHERE split = 'test' UNION ALL SELECT v, u FROM pairs WHERE split = 'test')"""
 KG = f"""kg0 AS (SELECT DISTINCT l_partkey AS h, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'NO' THEN 3 WHEN 'RF' THEN 4 ELSE 5 END AS r,
-  l_suppkey + (SELECT count(*) FROM part) AS t FROM lineitem WHERE l_orderkey % 10 IN (0, 1)),
+  l_suppkey + (SELECT count(*) FROM part) AS t FROM lineitem),
 kg AS (SELECT *, CASE WHEN {draw_sql("'1:' || h || ':' || r || ':' || t")} % 10 < 8 THEN 'train' WHEN {draw_sql("'1:' || h || ':' || r || ':' || t")} % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM kg0)"""
-BIP = """bip AS (SELECT DISTINCT o_custkey AS src, l_partkey + (SELECT count(*) FROM customer) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0)"""
+BIP = """bip AS (SELECT DISTINCT o_custkey AS src, l_partkey + (SELECT count(*) FROM customer) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 LABEL = f"""types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS k FROM (SELECT DISTINCT p_type FROM part)),
 lab AS (SELECT p_partkey AS node, CASE WHEN p_size <= 45 THEN k END AS label FROM part JOIN types USING (p_type)),
 nsplit AS (SELECT p_partkey AS node, CASE WHEN {draw_sql("'5:' || p_partkey")} % 10 = 0 THEN 'train' WHEN {draw_sql("'5:' || p_partkey")} % 10 <= 2 THEN 'val' ELSE 'test' END AS part FROM part)"""
