@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,29 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, written  # noqa: F401
+
 #: Bytes of a batch as Spark sends it, and of a slice that a function gets.
 BATCH_BYTES, MOST_BYTES = 4 << 20, 1 << 18
-_OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor and the driver reach: ``spark.checkpoint.dir``.
-
-    Only a local master (tests) may leave it unset; then a folder below the
-    system temp folder is made once and kept for the application.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="graphloom-")
-    return "file://" + _OWN[sc.applicationId]
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the Python workers, once an application: they need not
     lie where workers start, nor be installed there."""
@@ -49,15 +32,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and a lost
-    executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once per row and names it inside ``body``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
