@@ -164,6 +164,48 @@ def budget(nodes: Column) -> Column:
     return out
 
 
+def adaptive(walks: Column, nodes: Column) -> Column:
+    """A quarter of the walks on graphs under 1000 nodes, half of them under 8000."""
+    return F.when(nodes < 1000, F.floor(walks / 4)).when(nodes < 8000, F.floor(walks / 2)).otherwise(walks).cast("int")
+
+
+def feature_cap(walks: Column, features: Column) -> Column:
+    """At most 64 walks where nodes have over 16 features."""
+    return F.when(features > 16, F.least(walks, F.lit(64))).otherwise(walks)
+
+
+def link_starts(heads: DataFrame, edges: DataFrame, n_nodes: int, walks: int, seed: str) -> DataFrame:
+    """``kind, key, j, node``: for each query head (``key``) ``walks`` starts there and as many at random nodes, and
+    ``walks // relations + 1`` starts of edges of each relation (``key``), a smaller relation's in turn."""
+    per_query = heads.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)).cast("array<bigint>")))
+    own = per_query.select(F.lit("query").alias("kind"), "key", "j", F.col("key").alias("node"))
+    anywhere = per_query.select(F.lit("random").alias("kind"), "key", "j", (draw(f"{seed}n|", F.col("key"), "|", F.col("j")) % n_nodes).alias("node"))
+    relations = edges.select("rel").distinct().count()
+    tied = balanced_starts(edges, walks // max(relations, 1) + 1, f"{seed}|")
+    return own.unionByName(anywhere).unionByName(tied.select(F.lit("edge").alias("kind"), F.col("rel").cast("long").alias("key"), F.col("j").cast("long").alias("j"), F.col("src").alias("node")))
+
+
+def previous_beside_records(places: DataFrame) -> DataFrame:
+    """``prev``: the node of the last place before that is no neighbour record (``is_nbr``)."""
+    before = Window.partitionBy("walk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return places.select("walk_id", "pos", "node", F.last_value(F.when(~F.col("is_nbr"), F.col("node")), F.lit(True)).over(before).alias("prev"))
+
+
+def random_walks(starts: DataFrame, edges: DataFrame, length: int, seed: str, *, backtrack: bool = True, restart: float = 0.0, period: int = 0, p: float = 1.0, q: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
+    """The walk that the arguments ask for: uniform, without backtracking, restarting, of second order (``p, q``) or weighted.
+    Restarts by chance and by period exclude each other, and both exclude second order and weights."""
+    second = (p, q) != (1.0, 1.0)
+    if not 0.0 <= restart < 1.0 or period < 0 or length < 1 or p <= 0 or q <= 0:
+        raise ValueError("restart lies in [0, 1), period isn't negative, length, p and q are positive")
+    if restart and period or (second or weights is not None) and (restart or period or not backtrack) or second and weights is not None:
+        raise ValueError("these ways to walk exclude each other")
+    if second:
+        return second_order_walk(starts, edges, length, seed, p, q)
+    if weights is not None:
+        return weighted_walk(starts, weights, length, seed)
+    return walk(starts, edges, length, seed, backtrack, restart, period)
+
+
 def with_neighbours(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """``walk_id, pos, node, anon, is_nbr[, restart]``: after a node's first visit, records of its
     neighbours that the walk has seen (but for the one it comes from), by rank of first visit;
