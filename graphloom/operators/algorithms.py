@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import written
-from .links import ONE, node_degrees
+from .links import ONE, balls, node_degrees
 from .scans import prefix_sum
 
 
@@ -76,6 +76,14 @@ def diameter(nodes: DataFrame, edges: DataFrame, sources: int, seed: str) -> Dat
     return seen.agg(F.max("hop").alias("diameter"), F.lit(n).alias("sources"), F.count("*").alias("reached"))
 
 
+def bounded_distance(pairs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """``src, dst, hops``: the distance of each pair up to ``most`` (null beyond), by searches from both ends that meet halfway."""
+    near = balls(pairs.select(F.col("src").alias("node")).distinct(), edges, (most + 1) // 2).toDF("src", "x", "da")
+    far = balls(pairs.select(F.col("dst").alias("node")).distinct(), edges, most // 2).toDF("dst", "x", "db")
+    met = pairs.join(near, "src").join(far, ["dst", "x"]).groupBy("src", "dst").agg(F.min(F.col("da") + F.col("db")).alias("hops"))
+    return pairs.join(met, ["src", "dst"], "left").select("src", "dst", "hops")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, root``: the least node of each component (isolated nodes are their own), by hooking to the
     least neighbour and contracting: rounds grow with the logarithm of the longest path."""
@@ -113,6 +121,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float, rounds: int) -> D
     return rank.select("node", "rank")
 
 
+def pagerank_until(nodes: DataFrame, edges: DataFrame, alpha: float, tolerance: float, start: DataFrame | None = None, most: int = 100, log: bool = False) -> DataFrame:
+    """``node, rank`` once a round changes less than ``tolerance`` in sum. ``start(node, p)`` says where walks begin (all
+    nodes alike without it). Dangling mass isn't dealt out again; ``log`` gives log(tolerance + rank)."""
+    weighed = settled(edges.join(node_degrees(edges).toDF("src", "d"), "src").select("src", "dst", (ONE / F.col("d")).alias("w")))
+    if start is None:
+        n = nodes.agg(F.count("*").alias("n"))  # one row
+        begin = nodes.crossJoin(F.broadcast(n)).select("node", (ONE / F.col("n")).alias("p"))
+    else:
+        begin = nodes.join(start, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
+    state = settled(begin.select("node", "p", F.col("p").alias("rank"), F.lit(1.0).alias("moved")))
+    for _ in range(most):
+        given = weighed.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
+        fresh = (1 - alpha) * F.col("p") + alpha * F.coalesce("got", F.lit(0.0))
+        state = settled(state.join(given, "node", "left").select("node", "p", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")))
+        if (state.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+            break
+    return state.select("node", (F.log(F.col("rank") + tolerance) if log else F.col("rank")).alias("rank"))
+
+
 def aggregate_neighbours(x: DataFrame, edges: DataFrame, how: str) -> DataFrame:
     """``node, i, x`` from the sources of each node's edges: sum, avg, min, max, or gcn (loops added, symmetric norm)."""
     if how == "gcn":

@@ -50,14 +50,20 @@ def ranked_candidates(scores: DataFrame, edges: DataFrame, by: str, k: int) -> D
     return scores.join(d, "cand").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "cand", "rank")
 
 
+def balls(centres: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """``node, x, d``: every node within ``hops`` of each centre, with its distance."""
+    ball = centres.select("node", F.col("node").alias("x"), F.lit(0).alias("d"))
+    for k in range(1, hops + 1):
+        further = ball.where(F.col("d") == k - 1).join(edges, F.col("x") == F.col("src")).select("node", F.col("dst").alias("x"), F.lit(k).alias("d"))
+        ball = ball.unionByName(further).groupBy("node", "x").agg(F.min("d").alias("d"))
+    return ball
+
+
 def shared_within_hops(pairs: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``src, dst, nij``: how many nodes lie within i hops of one end and within j of the other, for i, j up to ``hops``,
     counted exactly: an end's ball has a row a node with its distance, and balls meet by (pair, node)."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ball = ends.select("node", F.col("node").alias("x"), F.lit(0).alias("d"))
-    for k in range(1, hops + 1):
-        further = ball.where(F.col("d") == k - 1).join(edges, F.col("x") == F.col("src")).select("node", F.col("dst").alias("x"), F.lit(k).alias("d"))
-        ball = ball.unionByName(further).groupBy("node", "x").agg(F.min("d").alias("d"))
+    ball = balls(ends, edges, hops)
     a, b = ball.toDF("src", "x", "da"), ball.toDF("dst", "x", "db")
     met = pairs.join(a, "src").join(b, ["dst", "x"])
     counts = [F.count_if((F.col("da") <= i) & (F.col("db") <= j)).alias(f"n{i}{j}") for i in range(1, hops + 1) for j in range(1, hops + 1)]

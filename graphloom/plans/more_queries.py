@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from ..functions.draws import draw_sql
+from ..functions.draws import draw, draw_sql
 from ..operators import algorithms as A
 from ..operators import features as FE
 from ..operators import generate as GN
@@ -191,14 +191,17 @@ def _(t):
 # Iterative algorithms.
 
 
-@query("it4_bounded_distance", f"WITH {PART}, q AS (SELECT u AS a, v AS b FROM pairs WHERE split = 'test'), one AS (SELECT a, b FROM q JOIN tedges ON src = a AND dst = b), two AS (SELECT DISTINCT a, b FROM q JOIN tedges x ON x.src = a JOIN tedges y ON y.src = x.dst AND y.dst = b) SELECT a, b, CASE WHEN one.a IS NOT NULL THEN 1 WHEN two.a IS NOT NULL THEN 2 ELSE 3 END AS hops FROM q LEFT JOIN one USING (a, b) LEFT JOIN two USING (a, b)")
+@query(
+    "it4_bounded_distance",
+    f"""WITH {PART}, q AS (SELECT u, v FROM pairs WHERE split = 'test'), a0 AS (SELECT DISTINCT u AS node FROM q), b0 AS (SELECT DISTINCT v AS node FROM q),
+fa AS (SELECT node, node AS x, 0 AS d FROM a0 UNION ALL SELECT node, dst, 1 FROM a0 JOIN tedges ON src = node UNION ALL SELECT node, y.dst, 2 FROM a0 JOIN tedges x ON x.src = node JOIN tedges y ON y.src = x.dst),
+fb AS (SELECT node, node AS x, 0 AS d FROM b0 UNION ALL SELECT node, dst, 1 FROM b0 JOIN tedges ON src = node),
+m AS (SELECT u, v, min(a.d + b.d) AS hops FROM q JOIN (SELECT node, x, min(d) AS d FROM fa GROUP BY ALL) a ON a.node = u JOIN fb b ON b.node = v AND b.x = a.x GROUP BY u, v)
+SELECT u AS a, v AS b, hops FROM q LEFT JOIN m USING (u, v)""",
+)
 def _(t):
     q = t.part_pairs().where("split = 'test'").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    train = t.part_edges("train")
-    one = train.select("src", "dst", F.lit(1).alias("one"))
-    two = L.wedge_scores(train, q.select("src").distinct()).select("src", F.col("cand").alias("dst"), F.lit(2).alias("two"))
-    met = q.join(one, ["src", "dst"], "left").join(two, ["src", "dst"], "left")
-    return met.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.coalesce("one", "two", F.lit(3)).alias("hops"))
+    return A.bounded_distance(q, t.part_edges("train"), 3).toDF("a", "b", "hops")
 
 
 @query("it11_relational_messages", f"WITH {KG}, m0 AS (SELECT DISTINCT h AS node, 1.0::DOUBLE AS x FROM kg WHERE h < 20), m1 AS (SELECT t AS node, sum(x * (r + 1)) AS x FROM kg JOIN m0 ON node = h WHERE split = 'train' GROUP BY t) SELECT node, round(x, 6) AS x FROM m1")
@@ -262,12 +265,53 @@ def _(t):
 # Statistic rows.
 
 
-@query("m16_metric_row", f"""WITH {PART}, {LABEL}, d AS (SELECT p_partkey AS node, count(src) AS d FROM part LEFT JOIN edges ON src = p_partkey GROUP BY 1)
-SELECT 'parts' AS graph, (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM pairs) AS edges, (SELECT max(d) FROM d) AS max_degree, round((SELECT avg(d) FROM d), 6) AS mean_degree, (SELECT count(*) FROM d WHERE d = 0) AS isolated, (SELECT count(DISTINCT label) FROM lab) AS classes, NULL::DOUBLE AS density""")
-def _(t):
-    d = G.degrees(t.part_nodes(), t.part_edges()).agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("bigint").alias("edges"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.count_if(F.col("degree") == 0).alias("isolated"))
-    classes = t.labels_of_parts().agg(F.countDistinct("label").alias("classes"))
-    return d.crossJoin(classes).select(F.lit("parts").alias("graph"), "*", F.lit(None).cast("double").alias("density"))  # one row each
+def _all_columns() -> str:
+    return ", ".join(f"NULL::{'VARCHAR' if c in ('complexity', 'synthetic_task', 'prior_source') else 'DOUBLE'} AS {c}" for c in ST.METRIC_COLUMNS)
+
+
+TRI = "tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND a.dst < b.dst)"
+
+
+@query(
+    "m16_metric_row",
+    f"""WITH RECURSIVE {PART}, {KG}, {BIP}, {LABEL}, {TRI}, k AS (SELECT node, count(*) AS k FROM (SELECT unnest([x, y, z]) AS node FROM tri) GROUP BY node), d AS (SELECT src AS node, count(*) AS d FROM edges GROUP BY src),
+far(s, node, hop) AS (SELECT node, node, 0 FROM (SELECT p_partkey AS node, row_number() OVER (ORDER BY {draw_sql("'bfs|' || p_partkey")}, p_partkey) AS nth FROM part) WHERE nth <= 200 UNION SELECT s, dst, hop + 1 FROM far JOIN edges ON src = node WHERE hop < 7),
+x AS (SELECT unnest([p_size, p_retailprice])::DOUBLE AS x FROM part), n AS (SELECT count(*) / sum(count(*)) OVER () AS p, count(*) OVER () AS c FROM lab WHERE label IS NOT NULL GROUP BY label),
+e AS (SELECT a.label AS x, b.label AS y FROM edges JOIN lab a ON src = a.node JOIN lab b ON dst = b.node WHERE src <= dst AND a.label IS NOT NULL AND b.label IS NOT NULL), ep AS (SELECT count(*) / (SELECT count(*) FROM e)::DOUBLE AS p FROM e WHERE x = y GROUP BY x), es AS (SELECT sum(sqrt(p)) AS s, sum(p) AS c FROM ep),
+rel AS (SELECT count(*) AS n, count(DISTINCT t) / count(DISTINCT h)::DOUBLE AS ratio FROM kg GROUP BY r), bs AS (SELECT src, dst, {draw_sql("'m16|' || src || '|' || dst")} % 10 AS z FROM bip),
+um AS (SELECT avg(c_acctbal / 1000) AS a, avg(c_nationkey) AS b FROM customer), im AS (SELECT avg(p_retailprice / 1000) AS a, avg(p_size) AS b FROM part)
+SELECT {_all_columns()} WHERE false
+UNION ALL BY NAME SELECT 'parts' AS prior_source, 0 AS graph_idx, (SELECT count(*) FROM part) AS num_nodes, (SELECT count(*) FROM pairs) AS num_edges,
+  (SELECT round(avg(CASE WHEN d > 1 THEN 2 * coalesce(k, 0) / (d * (d - 1))::DOUBLE ELSE 0 END), 9) FROM part LEFT JOIN d ON d.node = p_partkey LEFT JOIN k ON k.node = p_partkey) AS clustering_coeff,
+  (SELECT max(h) FROM (SELECT min(hop) AS h FROM far GROUP BY s, node)) AS approx_diameter, 2 AS num_features, (SELECT round(var_samp(x), 9) FROM x) AS feature_variance, (SELECT round(avg((x = 0)::INT), 9) FROM x) AS feature_sparsity,
+  (SELECT max(label) + 1 FROM lab) AS num_classes, (SELECT round(-sum(p * log2(p)) / log2(max(c)), 9) FROM n) AS class_balance, (SELECT round(avg((x = y)::INT), 9) FROM e) AS edge_homophily, (SELECT round((s * s - 1) / (s * s + 1 - 2 * c), 9) FROM es) AS unbiased_homophily,
+  (SELECT round(avg((part = 'train')::INT), 9) FROM nsplit) AS pct_train_nodes, (SELECT round(avg((part = 'val')::INT), 9) FROM nsplit) AS pct_val_nodes, (SELECT round(avg((part = 'test')::INT), 9) FROM nsplit) AS pct_test_nodes,
+  (SELECT round(avg((split = 'train')::INT), 9) FROM pairs) AS pct_train_edges, (SELECT round(avg((split = 'val')::INT), 9) FROM pairs) AS pct_val_edges, (SELECT round(avg((split = 'test')::INT), 9) FROM pairs) AS pct_test_edges,
+  (SELECT round(avg(greatest(0, (SELECT count(*) FROM part) - 1 - coalesce(d, 0))), 9) FROM (SELECT DISTINCT src FROM xedges) LEFT JOIN (SELECT src, count(*) AS d FROM tedges GROUP BY src) USING (src)) AS lp_effective_candidate_pool_mean
+UNION ALL BY NAME SELECT 'kg' AS prior_source, 1 AS graph_idx, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS num_nodes, (SELECT count(DISTINCT (h, t)) FROM kg) AS num_edges,
+  (SELECT round(avg((split = 'train')::INT), 9) FROM kg) AS pct_train_edges, (SELECT round(avg((split = 'val')::INT), 9) FROM kg) AS pct_val_edges, (SELECT round(avg((split = 'test')::INT), 9) FROM kg) AS pct_test_edges,
+  (SELECT count(*) FROM rel) AS num_relations, (SELECT min(n) FROM rel) AS relation_count_min, (SELECT max(n) FROM rel) AS relation_count_max, (SELECT round(avg(ratio), 9) FROM rel) AS relation_in_out_entity_ratio_avg
+UNION ALL BY NAME SELECT 'purchases' AS prior_source, 2 AS graph_idx, (SELECT count(*) FROM customer) AS num_users, (SELECT count(*) FROM part) AS num_items,
+  (SELECT round(count(*) / ((SELECT count(*) FROM customer) * (SELECT count(*) FROM part))::DOUBLE, 12) FROM bs WHERE z < 8) AS bipartite_density,
+  (SELECT round(avg((dst NOT IN (SELECT dst FROM bs WHERE z < 8))::INT), 9) FROM bs WHERE z >= 8) AS cold_start_exposure, (SELECT round(sqrt((um.a - im.a) ** 2 + (um.b - im.b) ** 2), 6) FROM um, im) AS bipartite_feature_side_distance""",
+)
+def _(t):
+    labels, edges, pairs = t.labels_of_parts(), t.part_edges(), t.part_pairs()
+    n = t.part.agg(F.count("*").alias("n"))
+    features = t.part.select(F.array(F.col("p_size").cast("double"), "p_retailprice").alias("x"))
+    parts = ST.metric_row(
+        "parts", ST.structure(t.part_nodes(), edges), ST.feature_profile(features, "x"), ST.label_profile(labels, edges),
+        ST.shares(t.split_of_parts(), "part", "nodes"), ST.shares(pairs, "split", "edges"), ST.candidate_pool(n, t.part_edges("train"), t.part_edges("test")),
+    )
+    kg = t.triples()
+    size = n.crossJoin(t.supplier.agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m")).alias("num_nodes"))
+    tied = kg.select("h", "t").distinct().agg(F.count("*").alias("num_edges"))
+    triples = ST.metric_row("kg", size, tied, ST.shares(kg, "split", "edges"), ST.relation_profile(kg), place=1)
+    drawn = t.purchases().withColumn("z", draw("m16|", F.col("src"), "|", F.col("dst")) % 10)
+    users = t.customer.select(F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("x"))
+    items = t.part.select(F.array(F.col("p_retailprice") / 1000, F.col("p_size").cast("double")).alias("x"))
+    bought = ST.metric_row("purchases", ST.bipartite_profile(users, items, drawn.where("z < 8"), drawn.where("z >= 8"), "x"), place=2)
+    return parts.unionByName(triples).unionByName(bought)
 
 
 @query("m15_cold_start_and_means", f"WITH {BIP}, d AS (SELECT dst, count(*) AS d FROM bip GROUP BY dst) SELECT count(*) AS items, count(*) FILTER (WHERE d = 1) AS once, round(avg(d), 6) AS mean FROM d")

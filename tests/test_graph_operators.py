@@ -49,7 +49,7 @@ def test_bfs_query_follows_long_chains(spark, tmp_path):
     from graphloom.plans import QUERIES
 
     spark.range(16).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
-    lines = spark.createDataFrame([(20 * k, k + end) for k in range(15) for end in (0, 1)], "l_orderkey long, l_partkey long")
+    lines = spark.createDataFrame([(20 * k, k + end, end) for k in range(15) for end in (0, 1)], "l_orderkey long, l_partkey long, l_linenumber int")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r["node"]: r["hop"] for r in QUERIES["it1_bfs_hops"](spark, str(tmp_path)).collect()} == {k: k for k in range(16)}
 
@@ -187,3 +187,66 @@ def test_npz_rows(spark, tmp_path):
     np.savez(tmp_path / "g.npz", edges=np.array([[0, 1], [1, 2]]), labels=np.array([3, 4, 5]))
     got = sorted((r["name"], r["i"], r["values"]) for r in read_npz(spark, str(tmp_path / "g.npz")).collect())
     assert got == [("edges", 0, [0.0, 1.0]), ("edges", 1, [1.0, 2.0]), ("labels", 0, [3.0]), ("labels", 1, [4.0]), ("labels", 2, [5.0])]
+
+
+def test_queue_order_and_bounded_distances(spark):
+    """Against a queue over lists, with a budget that cuts a level, and all distances of small random graphs."""
+    import random
+    from collections import deque
+
+    rng = random.Random(3)
+    for n, m in ((12, 14), (40, 60)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        both = sorted(pairs | {(b, a) for a, b in pairs})
+        near = {k: [b for a, b in both if a == k] for k in range(n)}
+        edges = spark.createDataFrame(both, "src long, dst long")
+
+        def queue(start):
+            order, hop, waiting = [start], {start: 0}, deque([start])
+            while waiting:
+                a = waiting.popleft()
+                for b in near[a]:
+                    if b not in hop:
+                        hop[b] = hop[a] + 1
+                        order.append(b)
+                        waiting.append(b)
+            return order, hop
+
+        order, hop = queue(both[0][0])
+        seed = spark.createDataFrame([(both[0][0],)], "node long")
+        for budget in (3, n // 2, 10 * n):
+            got = {r["place"]: (r["node"], r["hop"]) for r in A.queue_order(edges, seed, budget).collect()}
+            assert got == {k: (x, hop[x]) for k, x in enumerate(order[:budget])}
+        asked = [(a, b) for a in range(0, n, 3) for b in range(n)]
+        for most in (1, 3, 4):
+            got = {(r["src"], r["dst"]): r["hops"] for r in A.bounded_distance(spark.createDataFrame(asked, "src long, dst long"), edges, most).collect()}
+            assert got == {(a, b): d if (d := queue(a)[1].get(b)) is not None and d <= most else None for a, b in asked}
+
+
+def test_personalised_pagerank_stops_at_its_tolerance(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1), (2, 3)], "src long, dst long")
+    nodes = spark.range(5).toDF("node")
+    out = {0: [1], 1: [0, 2], 2: [1, 3], 3: [], 4: []}
+    for start in (None, {0: 1.0}):
+        p = {k: 0.2 for k in out} if start is None else {k: start.get(k, 0.0) for k in out}
+        rank = dict(p)
+        while True:
+            new = {k: 0.15 * p[k] + 0.85 * sum(rank[a] / len(out[a]) for a in out if k in out[a]) for k in out}
+            moved = sum(abs(new[k] - rank[k]) for k in out)
+            rank = new
+            if moved < 1e-4:
+                break
+        begin = None if start is None else spark.createDataFrame(list(start.items()), "node long, p double")
+        got = {r["node"]: r["rank"] for r in A.pagerank_until(nodes, edges, 0.85, 1e-4, begin).collect()}
+        assert all(abs(got[k] - rank[k]) < 1e-12 for k in out)
+
+
+def test_walk_arguments_exclude_each_other(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
+    starts = spark.createDataFrame([(0, 0)], "walk_id long, node long")
+    for wrong in ({"restart": 0.2, "period": 3}, {"p": 2.0, "restart": 0.2}, {"q": 2.0, "backtrack": False}, {"p": 2.0, "weights": edges}, {"restart": 1.0}, {"period": -1}, {"p": 0.0}):
+        with pytest.raises(ValueError):
+            WK.random_walks(starts, edges, 2, "x", **wrong)
+    assert WK.random_walks(starts, edges, 2, "x", p=2.0).first()["path"] == [0, 1, 0]
