@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import value_prefix
+
 
 def elements(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """``key, i, x``: one row an element."""
@@ -75,16 +77,19 @@ def binarise(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_scores(df: DataFrame, key: str, column: str) -> DataFrame:
     """Average rank over (n + 1): a uniform transform without a fitted grid; ties share a rank."""
-    from pyspark.sql.window import Window
-
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    spans = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = counts.withColumn("b", F.floor(F.col(column)))  # windows over whole-number ranges of values, then within each
-    totals = cut.groupBy("b").agg(F.sum("n").alias("t")).select("b", F.coalesce(F.sum("t").over(spans), F.lit(0)).alias("base"))
-    within = Window.partitionBy("b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    below = cut.withColumn("w", F.coalesce(F.sum("n").over(within), F.lit(0))).join(totals, "b").select(column, (F.col("w") + F.col("base") + (F.col("n") + 1) / 2).alias("r"))
-    size = df.agg(F.count("*").alias("size"))
-    return df.join(below, column).crossJoin(F.broadcast(size)).select(key, (F.col("r") / (F.col("size") + 1)).alias("q"))
+    upto = value_prefix(df, column, {"upto": F.count("*")})
+    own = df.groupBy(column).agg(F.count("*").alias("n")).join(upto, column)
+    ranks = own.select(column, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
+    size = df.agg(F.count("*").alias("size"))  # one row
+    return df.join(ranks, column).crossJoin(F.broadcast(size)).select(key, (F.col("r") / (F.col("size") + 1)).alias("q"))
+
+
+def intensity(df: DataFrame, column: str, want: float) -> DataFrame:
+    """One row ``c``: the factor with sum(min(c p, 1)) = ``want`` over the positive values p. It is the largest of the
+    factors that hold if the values above one of them are cut, so that one pass over sums by value finds it."""
+    upto = value_prefix(df, column, {"n": F.count("*"), "s": F.sum(column)})
+    size = df.agg(F.count("*").alias("size"))  # one row
+    return upto.crossJoin(F.broadcast(size)).agg(F.max((want - (F.col("size") - F.col("n"))) / F.col("s")).alias("c"))
 
 
 def principal_components(df: DataFrame, key: str, column: str, d: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,3 +23,22 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
     """Numbers 0, 1, ... in order of a unique integer key."""
     return prefix_sum(df.withColumn("__one", F.lit(1)), key, "__one", out).drop("__one")
+
+
+#: Ranges of values, of about as many rows each, in which values are summed up.
+RANGES = 256
+
+
+def value_prefix(df: DataFrame, column: str, sums: dict[str, Column]) -> DataFrame:
+    """A row for each value of a real column, with the sums over all rows of smaller or equal values: within
+    ranges between quantiles, then over the totals of ranges. Values of one small interval share no single task."""
+    from ..functions.scalars import bucketise
+
+    bounds = df.agg(F.percentile_approx(column, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10000)).alias("__bounds"))  # one row
+    per = df.groupBy(column).agg(*[v.alias(k) for k, v in sums.items()])
+    cut = per.crossJoin(F.broadcast(bounds)).withColumn("__b", bucketise(F.col(column), F.col("__bounds"))).drop("__bounds")
+    within = Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = cut.groupBy("__b").agg(*[F.sum(k).alias(k) for k in sums]).select("__b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    summed = cut.select(column, "__b", *[F.sum(k).over(within).alias(k) for k in sums])
+    return summed.join(F.broadcast(totals), "__b").select(column, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in sums])

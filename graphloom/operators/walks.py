@@ -78,17 +78,28 @@ def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack:
 
 def weighted_walk(starts: DataFrame, weights: DataFrame, length: int, seed: str) -> DataFrame:
     """Steps by weight: ``weights(src, dst, w)`` become intervals of [0, 1), and a uniform draw picks one;
-    a draw past the last bound takes the last neighbour."""
+    a draw past the last bound takes the last neighbour.
+
+    A node of d neighbours cuts [0, 1) into d cells; an interval has a row for each cell that it meets, two at
+    most on average. A walk knows d, hence its draw's cell, before it joins: a hub's walks meet few rows each.
+    """
     own = Window.partitionBy("src")
     upto = F.sum("w").over(own.orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(own)
-    bounds = weights.select("src", "dst", upto.alias("hi"), (F.row_number().over(own.orderBy(F.desc("dst"))) == 1).alias("final"))
+    bounds = weights.select("src", "dst", upto.alias("hi"), (F.row_number().over(own.orderBy(F.desc("dst"))) == 1).alias("final"), F.count("*").over(own).alias("d"))
     before = F.coalesce(F.lag("hi").over(own.orderBy("dst")), F.lit(0.0))
-    bounds = bounds.select("src", "dst", before.alias("lo"), F.when(F.col("final"), 2.0).otherwise(F.col("hi")).alias("hi"))
-    state = starts.select("walk_id", "node", F.array("node").alias("path"))
+    bounds = bounds.select("src", "dst", "d", before.alias("lo"), F.when(F.col("final"), 2.0).otherwise(F.col("hi")).alias("hi"))
+    degree = weights.groupBy("src").agg(F.count("*").alias("d"))
+    last = F.col("d") - 1
+    cells = F.sequence(F.least(F.floor(F.col("lo") * F.col("d")), last), F.least(F.floor(F.col("hi") * F.col("d")), last))
+    steps = bounds.select("src", "dst", "lo", "hi", F.explode(cells).alias("cell")).join(degree.toDF("dst", "dst_d"), "dst", "left")
+    steps = written(steps, "weighted")  # read at every step
+    state = starts.join(degree.toDF("node", "d"), "node", "left").select("walk_id", "node", "d", F.array("node").alias("path"))
     for step in range(1, length + 1):
-        drawn = state.withColumn("x", uniform(seed, "|", F.col("walk_id"), "|", step))
-        met = drawn.join(bounds, (F.col("node") == F.col("src")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")), "left")
-        state = met.select("walk_id", F.coalesce("dst", "node").alias("node"), F.array_append("path", F.coalesce("dst", "node")).alias("path"))
+        x = uniform(seed, "|", F.col("walk_id"), "|", step)
+        drawn = state.withColumn("x", x).withColumn("at", F.floor(F.col("x") * F.col("d")))
+        met = drawn.join(steps, (F.col("node") == F.col("src")) & (F.col("at") == F.col("cell")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")), "left")
+        node = F.coalesce("dst", "node")
+        state = met.select("walk_id", node.alias("node"), F.when(F.col("dst").isNull(), F.col("d")).otherwise(F.col("dst_d")).alias("d"), F.array_append("path", node).alias("path"))
         state = _cut(state, step)
     return state.select("walk_id", "path")
 

@@ -223,15 +223,10 @@ def _(t):
     return A.diameter(t.part_nodes(), t.part_edges(), 200, "it5|")
 
 
-@query("it13_intensity")
-def _(t):
-    """The factor c with sum(min(c p, 1)) = a fifth of the rows, by bisection over one aggregate a step."""
-    p = t.part.select((F.col("p_retailprice") / 2000).alias("p"))
-    want, low, high = t.part.count() / 5, 0.0, 10.0
-    for _ in range(30):
-        c = (low + high) / 2
-        low, high = (c, high) if p.agg(F.sum(F.least(F.lit(1.0), F.lit(c) * F.col("p")))).first()[0] < want else (low, c)
-    return p.agg(F.round(F.lit(c), 6).alias("c"), F.round(F.sum(F.least(F.lit(1.0), F.lit(c) * F.col("p"))), 3).alias("total"))
+@query("it13_intensity", "WITH p AS (SELECT p_retailprice / 2000 AS p, (SELECT count(*) FROM part) AS size FROM part), s AS (SELECT p, size, count(*) OVER (ORDER BY p) AS n, sum(p) OVER (ORDER BY p) AS s FROM p) SELECT round(max((size / 5.0::DOUBLE - (size - n)) / s), 6) AS c FROM s")
+def _(t):
+    """The factor c with sum(min(c p, 1)) = a fifth of the rows."""
+    return FE.intensity(t.part.select((F.col("p_retailprice") / 2000).alias("p")), "p", t.part.count() / 5).select(F.round("c", 6).alias("c"))
 
 
 # Feature plans.
