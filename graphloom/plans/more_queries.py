@@ -218,7 +218,7 @@ def _(t):
     return A.hops(edges, seed).agg(F.max("hop").alias("eccentricity"), F.count("*").alias("reached"))
 
 
-@query("it5_diameter")
+@query("it5_diameter", f"WITH RECURSIVE {PART}, far(s, node, hop) AS (SELECT node, node, 0 FROM (SELECT p_partkey AS node, row_number() OVER (ORDER BY {draw_sql("'it5|' || p_partkey")}, p_partkey) AS nth FROM part) WHERE nth <= 200 UNION SELECT s, dst, hop + 1 FROM far JOIN edges ON src = node WHERE hop < 7), least AS (SELECT s, node, min(hop) AS hop FROM far GROUP BY s, node) SELECT max(hop) AS diameter, least((SELECT count(*) FROM part), 200) AS sources, count(*) AS reached FROM least")
 def _(t):
     return A.diameter(t.part_nodes(), t.part_edges(), 200, "it5|")
 

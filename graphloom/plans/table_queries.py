@@ -431,7 +431,12 @@ def _(t):
     return GN.kernel_graph(t.embeddings, "vec_id", "embedding", 0.5)
 
 
-@query("gn6_preferential")
+GN6 = f"""WITH RECURSIVE s AS (SELECT n AS src, CASE WHEN n = 1 THEN 0 WHEN {draw_sql("'gn6|c|' || n")} / 4294967296.0::DOUBLE < 0.5 THEN {draw_sql("'gn6|' || n")} % n END AS dst,
+  CASE WHEN n > 1 THEN 1 + {draw_sql("'gn6|e|' || n")} % (n - 1) END AS copies FROM range(1, 2000) AS a(n)),
+r AS (SELECT * FROM s UNION ALL SELECT r.src, s.dst, s.copies FROM r JOIN s ON s.src = r.copies WHERE r.dst IS NULL) SELECT src, dst FROM r WHERE dst IS NOT NULL"""
+
+
+@query("gn6_preferential", GN6)
 def _(t):
     return GN.preferential(t.spark, 2000, "gn6|")
 
@@ -439,7 +444,16 @@ def _(t):
 # Sketches.
 
 
-@query("l7_l10_sketches")
+SKETCHES = f"""WITH {PART}, lp AS (SELECT src, dst FROM tedges UNION SELECT p_partkey, p_partkey FROM part),
+least AS (SELECT dst AS node, k, min(v) AS v FROM lp JOIN (SELECT p_partkey AS node, k, {draw_sql("'mh' || k || '|' || p_partkey")} AS v FROM part, range(128) AS a(k)) m ON m.node = src GROUP BY 1, 2),
+one AS (SELECT p_partkey AS node, {draw_sql("'hll|' || p_partkey")} AS d FROM part), most AS (SELECT dst AS node, d % 256 AS k, max(24 - floor(log2(greatest(d // 256, 1)))) AS r FROM lp JOIN one ON one.node = src GROUP BY 1, 2),
+q AS (SELECT u, v FROM pairs WHERE split = 'test'), j AS (SELECT q.u, q.v, count(*) FILTER (WHERE a.v = b.v) / 128.0::DOUBLE AS jaccard FROM q JOIN least a ON a.node = q.u JOIN least b ON b.node = q.v AND b.k = a.k GROUP BY q.u, q.v),
+un AS (SELECT u, v, k, max(r) AS r FROM (SELECT u, v, k, r FROM q JOIN most ON node = u UNION ALL SELECT u, v, k, r FROM q JOIN most ON node = v) GROUP BY u, v, k),
+c AS (SELECT u, v, 256 - count(*) AS empty, 0.7213 / (1 + 1.079 / 256.0::DOUBLE) * 65536 / (sum(power(2.0, -r)) + 256 - count(*)) AS raw FROM un GROUP BY u, v)
+SELECT u AS src, v AS dst, round(jaccard, 6) AS jaccard, round(jaccard * CASE WHEN raw <= 640 AND empty > 0 THEN 256 * ln(256.0::DOUBLE / empty) ELSE raw END, 6) AS shared FROM j JOIN c USING (u, v)"""
+
+
+@query("l7_l10_sketches", SKETCHES)
 def _(t):
     edges = t.part_edges("train")
     one = SK.propagate(SK.initial(t.part_nodes()), edges)
