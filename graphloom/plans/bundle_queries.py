@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import samplers as SA
 from ..functions.draws import draw, draw_sql
 from ..operators import links as L
 from ..operators import splits as S
@@ -217,3 +218,30 @@ SELECT u AS src, v AS dst, """ + ", ".join(f"count(*) FILTER (WHERE da <= {i} AN
 def _(t):
     pairs = t.part_pairs().where("split = 'test'").select(F.col("u").alias("src"), F.col("v").alias("dst"))
     return L.shared_within_hops(pairs, t.part_edges("train"), 2)
+
+
+# Samplers. Those that reject draws are tested by their moments.
+
+_U = {k + more: draw_sql(f"'gn16|{k}|' || p_partkey || '{more}'") + " / 4294967296.0::DOUBLE" for k, more in [*((k, "") for k in "abcdefgh"), ("d", "|default"), ("f", "|which")]} | {f"m{k}": draw_sql(f"'gn16|m|' || p_partkey % 10 || '|logit{k}'") + " / 4294967296.0::DOUBLE" for k in range(3)}
+_E = [f"exp(-1 + {_U[f'm{k}']} * 2)" for k in range(3)]
+
+
+@query(
+    "gn16_samplers",
+    f"""SELECT p_partkey AS node, round(2 + {_U['a']} * 3, 9) AS between, round(exp(ln(0.01::DOUBLE) + {_U['b']} * (ln(10::DOUBLE) - ln(0.01::DOUBLE))), 9) AS log_between, (3 + floor({_U['c']} * 8))::BIGINT AS whole,
+  CASE WHEN {_U['d|default']} < 0.25 THEN 7 ELSE 20 + floor({_U['d']} * 11) END::BIGINT AS whole_or_default, ['x', 'y', 'z'][floor({_U['e']} * 3)::INT + 1] AS choice,
+  round(CASE WHEN {_U['f|which']} < 0.4 THEN exp(ln(1::DOUBLE) + {_U['f']} * (ln(2::DOUBLE) - ln(1::DOUBLE))) ELSE exp(ln(100::DOUBLE) + {_U['f']} * (ln(200::DOUBLE) - ln(100::DOUBLE))) END, 9) AS mixed,
+  CASE WHEN {_U['g']} * 10 < 1 THEN 'x' WHEN {_U['g']} * 10 < 4 THEN 'y' ELSE 'z' END AS weighted,
+  CASE WHEN {_U['h']} * ({' + '.join(_E)}) < {_E[0]} THEN 'x' WHEN {_U['h']} * ({' + '.join(_E)}) < {_E[0]} + {_E[1]} THEN 'y' ELSE 'z' END AS by_group FROM part""",
+)
+def _(t):
+    def key(name):
+        return (f"gn16|{name}|", F.col("node"))
+
+    group = ("gn16|m|", F.col("node") % 10)
+    return t.part_nodes().select(
+        "node", F.round(SA.between(key("a"), 2, 5), 9).alias("between"), F.round(SA.log_between(key("b"), 0.01, 10), 9).alias("log_between"), SA.whole_between(key("c"), 3, 10).alias("whole"),
+        SA.whole_or_default(key("d"), 20, 30, 7, 0.25).alias("whole_or_default"), SA.choice(key("e"), ["x", "y", "z"]).alias("choice"),
+        F.round(SA.mixed_log_between(key("f"), (1, 2), (100, 200), 0.4), 9).alias("mixed"), SA.weighted_choice(key("g"), ["x", "y", "z"], [1, 3, 6]).alias("weighted"),
+        SA.meta_choice(key("h"), group, ["x", "y", "z"], -1, 1).alias("by_group"),
+    )

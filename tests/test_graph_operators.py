@@ -250,3 +250,27 @@ def test_walk_arguments_exclude_each_other(spark):
         with pytest.raises(ValueError):
             WK.random_walks(starts, edges, 2, "x", **wrong)
     assert WK.random_walks(starts, edges, 2, "x", p=2.0).first()["path"] == [0, 1, 0]
+
+
+def test_samplers_by_their_moments(spark):
+    from graphloom.functions import samplers as SA
+
+    rows = spark.range(20000)
+    key = ("s|", F.col("id"))
+    forms = {  # the sampler, its mean and its variance
+        "normal": (SA.normal(key, 2.0, 3.0), 2.0, 9.0),
+        "gamma": (SA.gamma(key, 2.5, 2.0), 5.0, 10.0),
+        "small gamma": (SA.gamma(key, 0.4), 0.4, 0.4),
+        "beta": (SA.beta(key, 2.0, 3.0), 0.4, 0.04),
+        "moved beta": (SA.beta(key, 2.0, 3.0, 1.0, 10.0), 5.0, 4.0),
+        "half normal": (SA.truncated_normal(key, 0.0, 1.0, 0.0), 0.7979, 0.3634),
+        "two modes": (SA.bimodal_normal(key, (10.0, 1.0), (20.0, 1.0), 0.25, 0.0, 100.0), 17.5, 19.75),
+        "drawn shapes": (SA.gamma(key, SA.between(("g|", F.col("id") % 50), 1.0, 3.0)), 2.0, 2.33),
+    }
+    got = rows.agg(*[F.avg(c).alias(f"m {n}") for n, (c, _, _) in forms.items()], *[F.var_samp(c).alias(f"v {n}") for n, (c, _, _) in forms.items()]).first()
+    for name, (_, mean, variance) in forms.items():
+        loose = 0.3 if name == "drawn shapes" else 0.05
+        assert abs(got[f"m {name}"] - mean) < max(loose * mean, 0.02), name
+        assert abs(got[f"v {name}"] - variance) < max(3 * loose * variance, 0.02), name
+    whole = rows.agg(F.min(SA.whole_gamma(key, 2.0, 3.0, 2, 9)).alias("a"), F.max(SA.whole_gamma(key, 2.0, 3.0, 2, 9)).alias("b"), F.min(SA.whole_log_between(key, 1, 64)).alias("c"), F.max(SA.whole_log_between(key, 1, 64)).alias("d")).first()
+    assert tuple(whole) == (2, 9, 1, 64)
