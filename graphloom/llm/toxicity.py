@@ -19,7 +19,7 @@ sampled. Labels, ids, languages and sources are never inputs of a score.
 Defined results for odd rows: a null text counts as empty; an empty text gets
 the score of a text without features; a null id isn't held out and has no label;
 rows with equal ids are scored each; several labels of an id count as toxic if
-one is; null labels are none; without labels the listed words decide; other
+one is; null labels are none; without labels the prior weight of the listed words decides; other
 columns pass through ``score`` untouched; an empty table gives an empty result.
 """
 
@@ -163,7 +163,7 @@ class LabelModel:
         free = np.maximum(everywhere - labelled.sum(1), 0)
         if known.sum():
             free = free * min(1.0, known.sum() / max(free.sum(), 1.0))
-        for _ in range(rounds):
+        for _ in range(rounds if known.sum() else 0):  # without labels nothing holds the estimate in place: priors stay
             post = model.labels(patterns)
             ones, zeros = free * post + labelled[:, 1], free * (1 - post) + labelled[:, 0]
             model.toxic, model.clean = chance(ones, prior_toxic), chance(zeros, prior_clean)
