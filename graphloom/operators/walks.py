@@ -144,16 +144,17 @@ def as_text(nodes: Column, restarts: Column | None = None) -> Column:
     return F.substring(F.array_join(parts, ""), 2, 1 << 30)
 
 
-def step_types(places: DataFrame, triples: DataFrame, seed: str) -> DataFrame:
+def step_types(places: DataFrame, triples: DataFrame, seed: str, only_forward: bool = False) -> DataFrame:
     """``walk_id, pos, rel, dir`` of each step: one of the matching edges by draw, 0 forward, 1 backward, 2 a loop;
-    nulls where no edge matches, as at starts and restarts."""
+    nulls where no edge matches, as at starts and restarts. With ``only_forward`` steps against an edge match none."""
     own = Window.partitionBy("walk_id").orderBy("pos")
     moves = places.withColumn("prev", F.lag("node").over(own))
     if "restart" in places.columns:
         moves = moves.withColumn("prev", F.when(~F.col("restart"), F.col("prev")))
     ahead = triples.select(F.col("h").alias("a"), F.col("t").alias("b"), F.col("r").alias("rel"), F.when(F.col("h") == F.col("t"), 2).otherwise(0).alias("dir"))
     behind = triples.select(F.col("t").alias("a"), F.col("h").alias("b"), F.col("r").alias("rel"), F.when(F.col("h") == F.col("t"), 2).otherwise(1).alias("dir"))
-    met = moves.join(ahead.unionByName(behind), (F.col("prev") == F.col("a")) & (F.col("node") == F.col("b")), "left")
+    edges = ahead if only_forward else ahead.unionByName(behind)
+    met = moves.join(edges, (F.col("prev") == F.col("a")) & (F.col("node") == F.col("b")), "left")
     by = draw(seed, "|", F.col("walk_id"), "|", F.col("pos"), "|", F.coalesce(F.col("rel"), F.lit(-1)), "|", F.coalesce(F.col("dir"), F.lit(-1)))
     return met.groupBy("walk_id", "pos").agg(F.min_by(F.struct("rel", "dir"), F.struct(by, "rel", "dir")).alias("m")).select("walk_id", "pos", "m.rel", "m.dir")
 

@@ -166,6 +166,12 @@ def _(t):
     return WK.step_types(places, train, "j2t")
 
 
+@query("rw16_forward_types_only", KGW + f"SELECT walk AS walk_id, pos, r AS rel, dir FROM (SELECT walk, pos, r, dir, row_number() OVER (PARTITION BY walk, pos ORDER BY {draw_sql("'rw16|' || walk || '|' || pos || '|' || coalesce(r, -1) || '|' || coalesce(dir, -1)")}, r, dir) AS k FROM m LEFT JOIN (SELECT * FROM e WHERE dir <> 1) f ON prev = a AND node = b) WHERE k = 1")
+def _(t):
+    train, places = _kg_walk(t)
+    return WK.step_types(places, train, "rw16", only_forward=True)
+
+
 @query("j4_backward_steps", KGW + "SELECT walk AS walk_id, pos, prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kg WHERE split = 'train' AND h = prev AND t = node) AS backwards FROM m")
 def _(t):
     train, places = _kg_walk(t)
