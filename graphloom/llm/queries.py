@@ -17,6 +17,7 @@ from . import quality as _quality
 from . import sharding as _sharding
 from . import toolcalls as _toolcalls
 from . import toxicity as _toxicity
+from . import whitening as _whitening
 from .common import read
 
 
@@ -144,6 +145,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = _whitening.fit(vectors)
+    rows = _whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    share = F.array(*[F.lit(float(v)) for v in model.explained]) if model else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model and model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.nanvl(F.get(share, "at"), F.lit(None)).alias("explained"), F.lit(model and model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 def line_dedup_sql(table: str) -> str:
     """Common table expressions up to ``deduped``: the documents of ``table`` without later repeated passages."""
     return rf"""
@@ -228,5 +240,5 @@ per AS (SELECT r, {own}, count(*) AS n_spans, string_agg(kind || ':' || s || ':'
 SELECT doc_id, {outs}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text, "op11_whitening": op11_whitening}
 ORACLES = {"op2_tool_calls": _op2_sql(), "op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
