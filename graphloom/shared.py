@@ -32,9 +32,9 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. ``options`` go to the writer."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
