@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as _alignment
 from . import bpe as _bpe
 from . import decontam as _decontam
 from . import htmltext as _htmltext
@@ -156,6 +157,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    found = _alignment.link_statistics(read(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def line_dedup_sql(table: str) -> str:
     """Common table expressions up to ``deduped``: the documents of ``table`` without later repeated passages."""
     return rf"""
@@ -240,5 +248,5 @@ per AS (SELECT r, {own}, count(*) AS n_spans, string_agg(kind || ':' || s || ':'
 SELECT doc_id, {outs}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text, "op11_whitening": op11_whitening}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text, "op11_whitening": op11_whitening, "op13_alignment": op13_alignment}
 ORACLES = {"op2_tool_calls": _op2_sql(), "op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
