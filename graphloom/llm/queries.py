@@ -16,6 +16,7 @@ from . import linedup as _linedup
 from . import pii as _pii
 from . import quality as _quality
 from . import sharding as _sharding
+from . import substrings as _substrings
 from . import toolcalls as _toolcalls
 from . import toxicity as _toxicity
 from . import whitening as _whitening
@@ -157,6 +158,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _substrings.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.expr("aggregate(removed, 0L, (n, r) -> n + r.end - r.begin)")
+    return left.select("doc_id", (F.octet_length("kept") + n_removed).alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -248,5 +255,5 @@ per AS (SELECT r, {own}, count(*) AS n_spans, string_agg(kind || ':' || s || ':'
 SELECT doc_id, {outs}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text, "op11_whitening": op11_whitening, "op13_alignment": op13_alignment}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_tool_calls": op2_tool_calls, "op3_line_dedup": op3_line_dedup, "op4_resharding": op4_resharding, "op5_byte_bpe": op5_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_html_text": op10_html_text, "op11_whitening": op11_whitening, "op12_substrings": op12_substrings, "op13_alignment": op13_alignment}
 ORACLES = {"op2_tool_calls": _op2_sql(), "op3_line_dedup": line_dedup_sql("documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped", "op7_quality_rules": _op7_sql(), "op9_pii": _op9_sql()}
