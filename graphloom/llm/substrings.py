@@ -35,8 +35,8 @@ from .suffixes import sort_suffixes
 
 #: Bytes of a repeated string.
 LENGTH = 400
-#: Different contexts that one task sorts together, and ranges into which larger groups are cut.
-GROUP, WAYS = 256, 4
+#: Different contexts that one task sorts together (about half of SORTED), and ranges into which larger groups are cut.
+GROUP, WAYS = 2048, 4
 #: Bytes of contexts that are sorted at once; window starts that are hashed at once; contexts that a task remembers to have sent.
 SORTED, TILE, SENT = 1 << 21, 1 << 18, 1 << 19
 
