@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.draws import draw
+from ..shared import written
 from .splits import permuted
 
 ONE = 1.0
@@ -16,31 +17,50 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
 
 
+#: Edges that are broadcast, about 100 MB. A source's wedges are as many at most, so that one task holds them.
+BROADCAST_EDGES = 4_000_000
+
+
+def _weighed(edges: DataFrame) -> DataFrame:
+    """``mid, cand, w``: an edge and one over the degree of where it starts."""
+    d = node_degrees(edges).toDF("mid", "d")
+    return edges.toDF("mid", "cand").join(d, "mid").select("mid", "cand", (ONE / F.col("d")).alias("w"))
+
+
 def wedge_scores(edges: DataFrame, sources: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """``src, cand, cn, ra``: every node two steps away, with its common neighbours and resource allocation.
 
-    ``edges`` is simple and symmetric. The middle's degree comes by a window over the
-    shuffle that the join needs anyway; with ``sources(src)`` only their wedges are made,
-    and the pairs of ``known(src, dst)`` are left out. Wedges are dealt by source, so that
-    what ranks a source's candidates finds them together.
+    ``edges`` is simple and symmetric. With ``sources(src)`` only their wedges are made, and the pairs of
+    ``known(src, dst)`` are left out. Up to BROADCAST_EDGES edges (they are written and counted) come to every task:
+    sources are dealt once, and their wedges are made, counted and ranked where they are, without a shuffle. Beyond
+    that, edges meet by their middle in a join that Spark may split, and pairs are summed up before they are shuffled.
     """
-    half = edges.join(sources, "src", "left_semi") if sources is not None else edges
-    middle = edges.select(F.col("src").alias("mid"), F.col("dst").alias("cand"), (ONE / F.count("*").over(Window.partitionBy("src"))).alias("w"))
-    met = half.select("src", F.col("dst").alias("mid")).join(middle, "mid").where("src <> cand").select("src", "cand", "w")
-    if known is not None:
-        met = met.unionByName(known.select("src", F.col("dst").alias("cand"), F.lit(None).cast("double").alias("w")))
-    pairs = met.repartition("src").groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"), F.count("*").alias("n"))
-    return pairs.where("n = cn").drop("n")
+    edges = written(edges.select("src", "dst"), "wedge-edges")
+    half = edges.join(sources.select("src").distinct(), "src", "left_semi") if sources is not None else edges
+    middle, half = _weighed(edges), half.select("src", F.col("dst").alias("mid"))
+    small = edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    met = half.repartition("src").join(F.broadcast(middle), "mid") if small else half.join(middle, "mid")
+    met = met.where("src <> cand").select("src", "cand", "w")
+    if known is None:
+        return met.groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"))
+    pairs = met.groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"))
+    return pairs.join(known.select("src", F.col("dst").alias("cand")), ["src", "cand"], "left_anti")
 
 
 def pair_scores(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """``src, dst, cn, ra, pa`` of given pairs, zero where they share nothing."""
-    touched = wedge_scores(edges, pairs.select("src").distinct()).withColumnRenamed("cand", "dst")
+    """``src, dst, cn, ra, pa`` of given pairs, zero where they share nothing. A pair meets the neighbours of its
+    end of smaller degree, and those that are the other's as well count: no wedge is made that isn't asked for."""
+    edges = written(edges.select("src", "dst"), "pair-edges")
     d = node_degrees(edges)
-    both = pairs.select("src", "dst").distinct().join(touched, ["src", "dst"], "left")
-    both = both.join(d.toDF("src", "ds"), "src", "left").join(d.toDF("dst", "dd"), "dst", "left")
+    ends = pairs.select("src", "dst").distinct().join(d.toDF("src", "ds"), "src", "left").join(d.toDF("dst", "dd"), "dst", "left")
+    from_src = F.col("ds") <= F.col("dd")
+    turned = ends.where("ds > 0 AND dd > 0").select("src", "dst", F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(from_src, F.col("dst")).otherwise(F.col("src")).alias("cand"))
+    met = turned.join(edges.toDF("a", "mid"), "a").join(_weighed(edges), ["mid", "cand"])
+    shared = met.groupBy("src", "dst").agg(F.count("*").alias("cn"), F.sum("w").alias("ra"))
     zero = F.lit(0)
-    return both.select("src", "dst", F.coalesce("cn", zero).alias("cn"), F.coalesce("ra", zero.cast("double")).alias("ra"), (F.coalesce("ds", zero) * F.coalesce("dd", zero)).alias("pa"))
+    return ends.join(shared, ["src", "dst"], "left").select(
+        "src", "dst", F.coalesce("cn", zero).alias("cn"), F.coalesce("ra", zero.cast("double")).alias("ra"), (F.coalesce("ds", zero) * F.coalesce("dd", zero)).alias("pa")
+    )
 
 
 def ranked_candidates(scores: DataFrame, edges: DataFrame, by: str, k: int) -> DataFrame:

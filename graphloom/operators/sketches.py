@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..shared import written
 
 HASHES, REGISTERS = 128, 256
 
@@ -51,3 +52,55 @@ def intersections(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     j = jaccard(F.col("ma"), F.col("mb"))
     return met.select("src", "dst", j.alias("jaccard"), (j * cardinality(union)).alias("shared"))
 
+
+def by_hop(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """``node, hop, mh, hll, card``: a sketch for each node and number of steps up to ``hops``, written as it is made.
+    Hop k merges the sketches of hop k - 1 over the neighbours and the node, so that it stands for all within k steps."""
+    edges = written(edges.select("src", "dst"), "sketch-edges")
+    level = written(initial(nodes), "sketch-hop")
+    out = level.withColumn("hop", F.lit(0))
+    for hop in range(1, hops + 1):
+        level = written(propagate(level, edges), "sketch-hop")
+        out = out.unionByName(level.withColumn("hop", F.lit(hop)))
+    return out.select("node", "hop", "mh", "hll", cardinality(F.col("hll")).alias("card"))
+
+
+def structural_features(pairs: DataFrame, sketches: DataFrame, hops: int, zero_one: bool = True, floor: bool = False) -> DataFrame:
+    """``src, dst, f0, ...``: for each pair estimated numbers of nodes by their distance to both ends, up to ``hops``.
+
+    First come cells (i, j), nodes i steps from one end and j from the other, in the order (1,1), (2,1), (1,2), (2,2), (3,1), (1,3), (3,2),
+    (2,3), (3,3); then for each distance d the nodes d steps from ``dst`` alone and from ``src`` alone. A cell is the overlap of
+    both balls less the cells inside it; "alone" is the ball less the smaller ball and the cells at that distance. ``zero_one`` off
+    sets to zero the pair of columns for nodes one step from one end alone (of three hops: columns 4 and 5, and two steps from one end alone), and
+    ``floor`` sets negative estimates to zero.
+    """
+    a = sketches.where("hop > 0").groupBy(F.col("node").alias("src")).agg(F.sort_array(F.collect_list(F.struct("hop", "mh", "hll", "card"))).alias("a"))  # a row a hop
+    b = a.toDF("dst", "b")
+    met = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+
+    def overlap(i: int, j: int) -> Column:
+        x, y = F.col("a")[i - 1], F.col("b")[j - 1]
+        return jaccard(x["mh"], y["mh"]) * cardinality(F.zip_with(x["hll"], y["hll"], lambda p, q: F.greatest(p, q)))
+
+    cells = [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3)][: hops * hops]
+    known = met.select("src", "dst", *[overlap(i, j).alias(f"o{i}{j}") for i, j in cells], *[F.col(s)[k]["card"].alias(f"{s}{k + 1}") for s in "ab" for k in range(hops)])
+    column: dict[tuple, Column] = {}
+    for i, j in cells:
+        inside = [column[c] for c in cells if c != (i, j) and c[0] <= i and c[1] <= j]
+        column[i, j] = F.col(f"o{i}{j}") - sum(inside, F.lit(0.0))
+    alone = []
+    for d in range(1, hops + 1):
+        for side in "ba":
+            at = 1 if side == "b" else 0
+            within = [c for c in cells if c[at] <= d]
+            if (side, d, hops) == ("a", 2, 3):  # fixed: here the published features take off cell (3, 1) and not (1, 3)
+                within = [(3, 1) if c == (1, 3) else c for c in within]
+            seen = [column[c] for c in within] + [c for s, c in alone if s == side]
+            alone.append((side, F.col(f"{side}{d}") - sum(seen, F.lit(0.0))))
+    features = [*column.values(), *[c for _, c in alone]]
+    if not zero_one:
+        for k in {2: (4, 5), 3: (4, 5, 11, 12)}.get(hops, ()):
+            features[k] = F.lit(0.0)
+    if floor:
+        features = [F.greatest(f, F.lit(0.0)) for f in features]
+    return known.select("src", "dst", *[f.alias(f"f{k}") for k, f in enumerate(features)])

@@ -9,7 +9,9 @@ from ..functions.draws import draw, draw_sql
 from ..operators import links as L
 from ..operators import splits as S
 from ..operators import walks as WK
-from ..shared import fresh_path
+from ..operators.scans import dense_ids
+from ..shared import fresh_path, written
+from ..sources import array_source as arrays
 from ..sources import bundles as B
 from ..sources.fixtures import KG, LABEL, PART
 from .registry import query
@@ -245,3 +247,38 @@ def _(t):
         F.round(SA.mixed_log_between(key("f"), (1, 2), (100, 200), 0.4), 9).alias("mixed"), SA.weighted_choice(key("g"), ["x", "y", "z"], [1, 3, 6]).alias("weighted"),
         SA.meta_choice(key("h"), group, ["x", "y", "z"], -1, 1).alias("by_group"),
     )
+
+
+# Array files: written by slices, committed at once, read by slices.
+
+
+_NUMBERS = "array_join(transform(values, v -> cast(v AS bigint)), ' ')"
+
+
+@query("src10_array_masks", f"WITH {PART}, m AS (SELECT p_partkey AS node, s AS split, {draw_sql("'src10|' || p_partkey || '|' || s")} % 10 < 3 AS value FROM part, range(10) AS a(s)), n AS (SELECT count(*) AS n FROM part) SELECT form, node, split::INT AS split, value FROM m, (VALUES ('nodes'), ('splits')) AS f(form) UNION ALL SELECT 'edges', src, dst::INT, true FROM edges")
+def _(t):
+    """Ten splits' masks as [N, 10] and as [10, N], and an edge list with each edge twice, through array files."""
+    path, n = fresh_path(t.spark, "arrays"), t.part.count()
+    drawn = t.part_nodes().select("node", *[(draw("src10|", F.col("node"), f"|{s}") % 10 < 3).cast("double").alias(f"s{s}") for s in range(10)])
+    arrays.write_array(drawn.select(F.col("node").alias("i"), F.array(*[f"s{s}" for s in range(10)]).alias("values")), path, "nodes", "bool")
+    turned = drawn.select("node", F.posexplode(F.array(*[f"s{s}" for s in range(10)])).alias("i", "v")).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "v"))), lambda x: x["v"]).alias("values"))
+    arrays.write_array(turned, path, "splits", "bool")  # ten rows of N bytes: what the form asks
+    edges = t.part_edges()
+    placed = written(dense_ids(edges.withColumn("k", F.col("src") * n + F.col("dst")), "k", "i"), "edges")
+    twice = placed.unionByName(placed.withColumn("i", F.col("i") + placed.count()))
+    arrays.write_array(twice.select("i", F.array("src", "dst").alias("values")), path, "edgelist", "int64")
+    out = arrays.coalesced_edges(arrays.read_arrays(t.spark, path, "edgelist")).select(F.lit("edges").alias("form"), F.col("src").alias("node"), F.col("dst").cast("int").alias("split"), F.lit(True).alias("value"))
+    for form in ("nodes", "splits"):
+        out = out.unionByName(arrays.masks_by_node(arrays.read_arrays(t.spark, path, form), n).select(F.lit(form).alias("form"), "node", "split", "value"))
+    return out
+
+
+@query("snk5_bundle", f"""WITH {PART}, {LABEL}, p AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS i FROM pairs)
+SELECT 'features' AS array, p_partkey AS i, p_size || ' ' || round(p_retailprice)::BIGINT AS numbers FROM part UNION ALL SELECT 'targets', node, coalesce(label, -1)::VARCHAR FROM lab UNION ALL SELECT 'edgelist', i, u || ' ' || v FROM p
+UNION ALL SELECT s, node, (part = s)::INT::VARCHAR FROM nsplit, (VALUES ('train'), ('val'), ('test')) AS a(s)""")
+def _(t):
+    """The labelled part graph as a bundle of arrays, read back."""
+    path = fresh_path(t.spark, "bundle")
+    features = t.part.select(F.col("p_partkey").alias("node"), F.array(F.col("p_size").cast("double"), F.round("p_retailprice").cast("double")).alias("values"))
+    arrays.write_bundle(path, features, t.labels_of_parts(), t.part_edges(), t.split_of_parts())
+    return arrays.read_arrays(t.spark, path).select("array", "i", F.expr(_NUMBERS).alias("numbers"))

@@ -118,12 +118,12 @@ def _(t):
     return G.undirected_pairs(_looped(t))
 
 
-@query("so8_split_classes", f"WITH {LABEL} SELECT label FROM lab JOIN nsplit USING (node) WHERE part = 'test' AND label IS NOT NULL EXCEPT SELECT label FROM lab JOIN nsplit USING (node) WHERE part = 'train' AND node % 7 = 0")
+@query("so8_split_classes", f"WITH {LABEL}, c AS (SELECT p_brand || ' ' || p_size AS class, part FROM part JOIN nsplit ON node = p_partkey) SELECT class FROM c WHERE part = 'test' EXCEPT SELECT class FROM c WHERE part = 'train'")
 def _(t):
-    met = t.labels_of_parts().join(t.split_of_parts(), "node").where("label IS NOT NULL")
-    return met.where("part = 'test'").select("label").exceptAll(met.where("part = 'train' AND node % 7 = 0").select("label")).distinct().join(
-        met.where("part = 'train' AND node % 7 = 0").select("label").distinct(), "label", "left_anti"
-    )
+    """Classes (brand and size) of test nodes that no training node has."""
+    classes = t.part.select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_brand", "p_size").alias("class"))
+    met = classes.join(t.split_of_parts(), "node")
+    return met.where("part = 'test'").select("class").distinct().join(met.where("part = 'train'").select("class").distinct(), "class", "left_anti")
 
 
 @query("so9_disjoint_union", f"WITH {PART} SELECT src, dst FROM edges UNION ALL SELECT src + 1000000, dst + 1000000 FROM tedges")
@@ -329,12 +329,14 @@ def _(t):
     return G.node_roles(queries, kg.where("split = 'train'").select(F.col("h").alias("src"), F.col("r").alias("rel"), F.col("t").alias("dst")))
 
 
-@query("j14_cold_start", f"WITH {KG} SELECT count(DISTINCT t) FILTER (WHERE split = 'test' AND t NOT IN (SELECT t FROM kg WHERE split = 'train' AND h % 40 = 0)) AS cold, count(DISTINCT t) FILTER (WHERE split = 'test') AS tails FROM kg")
+@query("j14_cold_start", f"WITH {KG}, tr AS (SELECT DISTINCT r, t FROM kg WHERE split = 'train'), te AS (SELECT DISTINCT r, t FROM kg WHERE split = 'test'), ends AS (SELECT DISTINCT t FROM tr) SELECT (SELECT count(*) FROM te ANTI JOIN tr USING (r, t)) AS cold, (SELECT count(DISTINCT t) FROM te ANTI JOIN ends USING (t)) AS cold_tails, (SELECT count(*) FROM te) AS asked")
 def _(t):
+    """(relation, tail) pairs of test triples, those that no training triple has, and tails that none has."""
     kg = t.triples()
-    tails = kg.where("split = 'test'").select("t").distinct()
-    cold = tails.join(kg.where("split = 'train' AND h % 40 = 0").select("t").distinct(), "t", "left_anti").agg(F.count("*").alias("cold"))
-    return cold.crossJoin(tails.agg(F.count("*").alias("tails")))  # one row each
+    test, train = (kg.where(f"split = '{s}'").select("r", "t").distinct() for s in ("test", "train"))
+    cold = test.join(train, ["r", "t"], "left_anti").agg(F.count("*").alias("cold"))
+    tails = test.join(train, "t", "left_anti").agg(F.countDistinct("t").alias("cold_tails"))
+    return cold.crossJoin(tails).crossJoin(test.agg(F.count("*").alias("asked")))  # one row each
 
 
 @query("j16_leakage", f"WITH {PART}, held AS (SELECT u AS src, v AS dst FROM pairs WHERE split <> 'train' OR u % 5 = 0) SELECT src, dst FROM held EXCEPT SELECT u, v FROM pairs WHERE split = 'train'")

@@ -12,7 +12,8 @@ from ..operators import ranking as R
 from ..operators import splits as S
 from ..operators import statistics as ST
 from ..operators import walks as WK
-from ..sources.fixtures import BIP, KG, LABEL, PART
+from ..shared import written
+from ..sources.fixtures import BIP, KG, LABEL, NEXT, PART
 from .registry import query
 
 LENGTH = 6
@@ -336,8 +337,9 @@ SELECT count(*) AS sources, round(avg(coalesce(h, 0) / n::DOUBLE), 6) AS recall,
 def _(t):
     train, test = t.part_edges("train"), t.part_edges("test")
     lists = L.candidate_lists(train, test, t.part_nodes(), 20, "l13|")
-    scored = lists.join(L.wedge_scores(train, test.select("src").distinct()), ["src", "cand"], "left")
-    order = Window.partitionBy("src").orderBy(F.desc(F.round(F.coalesce("ra", F.lit(0.0)), 9)), "cand")
+    lists = written(lists, "lists")
+    scored = lists.join(L.pair_scores(lists.select("src", F.col("cand").alias("dst")), train).withColumnRenamed("dst", "cand"), ["src", "cand"])
+    order = Window.partitionBy("src").orderBy(F.desc(F.round("ra", 9)), "cand")
     ranked = scored.select("src", "cand", "is_pos", F.row_number().over(order).alias("rank"))
     return R.recall_at_k(ranked, lists.where("is_pos").select("src", "cand"), 20)
 
@@ -504,14 +506,14 @@ def _(t):
     return ST.clustering(t.part_nodes(), t.part_edges())
 
 
-@query("it9_four_cycles", f"WITH {PART}, c AS (SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3 FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src JOIN edges d ON c.dst = d.src AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst < c.dst AND b.dst <> a.src) SELECT DISTINCT unnest([n0, n1, n2, n3]) AS node FROM c")
+@query("it9_four_cycles", f"WITH {PART}, c AS (SELECT a.src, b.dst AS cand, count(*) AS n FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY a.src, b.dst) SELECT DISTINCT src AS node FROM c WHERE n > 1")
 def _(t):
     return ST.cycle_members(t.part_edges(), 4)
 
 
-@query("it9_five_cycles", f"WITH {PART}, c AS (SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3, d.dst AS n4 FROM tedges a JOIN tedges b ON a.dst = b.src JOIN tedges c ON b.dst = c.src JOIN tedges d ON c.dst = d.src JOIN tedges e ON d.dst = e.src AND e.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.src < d.dst AND a.dst < d.dst AND b.dst <> d.dst AND a.dst <> c.dst) SELECT DISTINCT unnest([n0, n1, n2, n3, n4]) AS node FROM c")
+@query("it9_five_cycles", f"WITH {NEXT}, c AS (SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3, d.dst AS n4 FROM tedges a JOIN tedges b ON a.dst = b.src JOIN tedges c ON b.dst = c.src JOIN tedges d ON c.dst = d.src JOIN tedges e ON d.dst = e.src AND e.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.src < d.dst AND a.dst < d.dst AND b.dst <> d.dst AND a.dst <> c.dst) SELECT DISTINCT unnest([n0, n1, n2, n3, n4]) AS node FROM c")
 def _(t):
-    return ST.cycle_members(t.part_edges("train"), 5)
+    return ST.cycle_members(t.next_edges("train"), 5)
 
 
 @query("m17_label_statistics", f"WITH {PART}, {TRI}, y AS (SELECT p_partkey AS node, p_partkey IN (SELECT unnest([x, y, z]) FROM tri) AS y FROM part), {LABEL} SELECT count(*) AS n, count(*) FILTER (WHERE y) AS pos, round(avg(y::INT), 9) AS rate, round(avg(y::INT) FILTER (WHERE part = 'train'), 9) AS train_rate FROM y JOIN nsplit USING (node)")

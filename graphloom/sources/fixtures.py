@@ -11,6 +11,16 @@ from pyspark.sql.window import Window
 from ..functions.draws import draw, draw_sql
 
 
+def _split(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("split", F.when(F.col("fo") % 5 < 3, "train").when(F.col("fo") % 5 == 3, "val").otherwise("test"))
+
+
+def _both_ways(pairs: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+    pairs = pairs.where(F.col("split").isin(*splits)) if splits else pairs
+    ends = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    return pairs.select(F.explode(ends).alias("e")).select("e.*")
+
+
 class Tables:
     """The tables of a folder, and the graphs made of them. Reads are lazy; nothing is kept."""
 
@@ -23,18 +33,38 @@ class Tables:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def part_pairs(self) -> DataFrame:
-        """``u < v, fo, split``: parts of neighbouring lines of an order, the first such order, the split it decides."""
+        """``u < v, fo, split``: parts of one order (all pairs of every order), the first such order, the split it decides."""
+        lines = self.lineitem.select(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("p"))
+        met = lines.join(lines.withColumnRenamed("p", "q"), "ok").where("p < q")
+        return _split(met.groupBy(F.col("p").alias("u"), F.col("q").alias("v")).agg(F.min("ok").alias("fo")))
+
+    def next_pairs(self) -> DataFrame:
+        """The same columns for parts of neighbouring lines only: a thinner graph, for paths of four edges and more."""
         following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
         lines = self.lineitem.select(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("p"), following.alias("q")).where("p <> q")
-        pairs = lines.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.min("ok").alias("fo"))
-        return pairs.withColumn("split", F.when(F.col("fo") % 5 < 3, "train").when(F.col("fo") % 5 == 3, "val").otherwise("test"))
+        return _split(lines.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.min("ok").alias("fo")))
+
+    def next_edges(self, *splits: str) -> DataFrame:
+        return _both_ways(self.next_pairs(), splits)
+
+    def hub_nodes(self) -> DataFrame:
+        """``node``: nations, and customers shifted by their number."""
+        n = self.nation.agg(F.count("*").alias("n"))  # one row
+        customers = self.customer.crossJoin(F.broadcast(n)).select((F.col("c_custkey") + F.col("n")).alias("node"))
+        return self.nation.select(F.col("n_nationkey").alias("node")).unionByName(customers)
+
+    def hub_edges(self) -> DataFrame:
+        """``src, dst``, both ways: a customer and its nation, but customers in debt have no edge, and those of the segment
+        MACHINERY are tied to the customer before them instead. Hubs, isolated nodes, chains and many components."""
+        n = self.nation.agg(F.count("*").alias("n"))  # one row
+        c = self.customer.where("c_acctbal >= 0").crossJoin(F.broadcast(n))
+        own = F.col("c_custkey") + F.col("n")
+        other = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") > 0), own - 1).otherwise(F.col("c_nationkey"))
+        return _both_ways(c.select(other.alias("u"), own.alias("v")), ())
 
     def part_edges(self, *splits: str) -> DataFrame:
         """Both directions, ``src, dst``, of the given splits (all without any)."""
-        pairs = self.part_pairs()
-        pairs = pairs.where(F.col("split").isin(*splits)) if splits else pairs
-        ends = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
-        return pairs.select(F.explode(ends).alias("e")).select("e.*")
+        return _both_ways(self.part_pairs(), splits)
 
     def part_nodes(self) -> DataFrame:
         return self.part.select(F.col("p_partkey").alias("node"))
@@ -78,12 +108,17 @@ class Tables:
 
 
 #: The same graphs as common table expressions for DuckDB.
-PART = """lines AS (SELECT l_orderkey AS ok, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS q FROM lineitem),
-pairs AS (SELECT least(p, q) AS u, greatest(p, q) AS v, min(ok) AS fo, CASE WHEN min(ok) % 5 < 3 THEN 'train' WHEN min(ok) % 5 = 3 THEN 'val' ELSE 'test' END AS split
-  FROM lines WHERE p <> q GROUP BY least(p, q), greatest(p, q)),
-edges AS (SELECT u AS src, v AS dst FROM pairs UNION ALL SELECT v, u FROM pairs),
+_SPLIT = "CASE WHEN min(ok) % 5 < 3 THEN 'train' WHEN min(ok) % 5 = 3 THEN 'val' ELSE 'test' END AS split"
+_ENDS = """edges AS (SELECT u AS src, v AS dst FROM pairs UNION ALL SELECT v, u FROM pairs),
 tedges AS (SELECT u AS src, v AS dst FROM pairs WHERE split = 'train' UNION ALL SELECT v, u FROM pairs WHERE split = 'train'),
 xedges AS (SELECT u AS src, v AS dst FROM pairs WHERE split = 'test' UNION ALL SELECT v, u FROM pairs WHERE split = 'test')"""
+PART = f"""pairs AS (SELECT u, v, min(ok) AS fo, {_SPLIT} FROM (SELECT a.l_orderkey AS ok, a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)
+  GROUP BY u, v), {_ENDS}"""
+NEXT = f"""lines AS (SELECT l_orderkey AS ok, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS q FROM lineitem),
+pairs AS (SELECT least(p, q) AS u, greatest(p, q) AS v, min(ok) AS fo, {_SPLIT} FROM lines WHERE p <> q GROUP BY least(p, q), greatest(p, q)), {_ENDS}"""
+HUB = """hnodes AS (SELECT n_nationkey AS node FROM nation UNION ALL SELECT c_custkey + (SELECT count(*) FROM nation) FROM customer),
+hpairs AS (SELECT CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey > 0 THEN c_custkey - 1 + (SELECT count(*) FROM nation) ELSE c_nationkey END AS u, c_custkey + (SELECT count(*) FROM nation) AS v FROM customer WHERE c_acctbal >= 0),
+hedges AS (SELECT u AS src, v AS dst FROM hpairs UNION ALL SELECT v, u FROM hpairs)"""
 KG = f"""kg0 AS (SELECT DISTINCT l_partkey AS h, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'NO' THEN 3 WHEN 'RF' THEN 4 ELSE 5 END AS r,
   l_suppkey + (SELECT count(*) FROM part) AS t FROM lineitem),
 kg AS (SELECT *, CASE WHEN {draw_sql("'1:' || h || ':' || r || ':' || t")} % 10 < 8 THEN 'train' WHEN {draw_sql("'1:' || h || ':' || r || ':' || t")} % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM kg0)"""
