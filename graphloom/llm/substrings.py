@@ -197,13 +197,19 @@ def _sorted_groups(groups: DataFrame, length: int) -> DataFrame:
             found = list(zip(*marks(rows), strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())], ["context", "begin", "end"])
 
+        group: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SORTED and held[-1][0] != row[0]:
-                    yield out(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                if group and group[-1][0] != row[0]:
+                    if len(group) > 1:  # a context alone with its seed has nothing to be compared with
+                        held += group
+                        size += sum(len(r[4]) for r in group)
+                    group = []
+                    if size > SORTED:
+                        yield out(held)
+                        held, size = [], 0
+                group.append(row)
+        held += group if len(group) > 1 else []
         if held:
             yield out(held)
 
@@ -250,16 +256,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         # a context's columns but its bytes follow from its hash
         once = level.groupBy("context").agg(*[F.max(c).alias(c) for c in ("grp", "near", "far", "low", "high", "bytes")], F.sum("n").alias("n"))
         once = written(once, "substring-once", compression="zstd")
-        sizes = written(once.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1"), "substring-sizes")
+        large = written(once.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("grp"), "substring-large")
         own = once.where("n > 1").select("context", (-F.col("far")).alias("begin"), (length - F.col("near")).alias("end"))
-        met = once.join(sizes, "grp")
-        own = own.unionByName(_sorted_groups(met.where(F.col("size") <= GROUP), length))
+        own = own.unionByName(_sorted_groups(once.join(large, "grp", "left_anti"), length))
         for tie in reversed(ties):  # back from ranges to the contexts that hold them
             own = own.join(tie, "context").select(F.col("whole").alias("context"), "begin", "end")
         marks.append(own)
-        if sizes.where(F.col("size") > GROUP).isEmpty():
+        if large.isEmpty():
             break
-        level = written(_cut_into_ranges(met.where((F.col("size") > GROUP) & (F.col("n") > 0)), length), "substring-ranges", compression="zstd")
+        level = written(_cut_into_ranges(once.join(large, "grp", "left_semi"), length), "substring-ranges", compression="zstd")
         ties.append(level.select("context", "whole"))
         level = level.withColumn("n", F.lit(1))
     marked = marks[0]
