@@ -17,7 +17,7 @@ text) and mark the others ``duplicate``; results without a call are ``orphan``,
 ``pending``, malformed blocks ``malformed``, calls on or behind a cycle of dependencies, and their results,
 ``cycle`` (they keep their place); tools without a schema are ``unknown_tool``, those whose schema isn't well
 formed or has keywords outside KEYWORDS ``bad_schema``; of several declarations of a tool the first holds (by
-turn, then text); repeated rows each get their row; other columns are neither read nor returned; an empty
+turn, then text); JSON that escapes half a surrogate pair is malformed (in a schema: bad); repeated rows each get their row; other columns are neither read nor returned; an empty
 table gives an empty result.
 """
 
@@ -27,8 +27,10 @@ import json
 import math
 import re
 from fractions import Fraction
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,13 +81,24 @@ def _names(v: object) -> bool:
     return isinstance(v, list) and all(isinstance(x, str) for x in v)
 
 
-def _pattern(v: object) -> bool:
+@lru_cache(4096)
+def _compiles(pattern: str) -> bool:
     try:
-        return isinstance(v, str) and re.compile(v) is not None
-    except (re.error, OverflowError, RecursionError):
+        pc.match_substring_regex(pa.array([""]), pattern)
+        return True
+    except (pa.ArrowInvalid, UnicodeError):
         return False
 
 
+def _pattern(v: object) -> bool:
+    return isinstance(v, str) and _compiles(v)
+
+
+def _matches(pattern: str, value: str) -> bool:
+    """Whether the pattern occurs, by an automaton: time grows with the value's length, whatever the pattern."""
+    return pc.match_substring_regex(pa.array([value]), pattern)[0].as_py()
+
+
 def _schemas(v: object) -> bool:
     return isinstance(v, list) and len(v) > 0 and all(map(well_formed, v))
 
@@ -148,7 +161,7 @@ def problems(value: object, schema: object, at: str = "$") -> list[str]:
         check(len(value) < schema.get("minProperties", 0), "too few")
         check(len(value) > schema.get("maxProperties", math.inf), "too many")
         for k, v in value.items():
-            rules = ([known[k]] if k in known else []) + [rule for pattern, rule in by_pattern.items() if re.search(pattern, k)]
+            rules = ([known[k]] if k in known else []) + [rule for pattern, rule in by_pattern.items() if _matches(pattern, k)]
             for rule in rules or [schema.get("additionalProperties", True)]:
                 found += problems(v, rule, f"{at}.{k}")
     elif isinstance(value, list):
@@ -159,7 +172,7 @@ def problems(value: object, schema: object, at: str = "$") -> list[str]:
     elif isinstance(value, str):
         check(len(value) < schema.get("minLength", 0), "too short")
         check(len(value) > schema.get("maxLength", math.inf), "too long")
-        check("pattern" in schema and not re.search(schema.get("pattern", ""), value), "pattern")
+        check("pattern" in schema and not _matches(schema.get("pattern", ""), value), "pattern")
     elif _number(value):
         check(value < schema.get("minimum", -math.inf) or value <= schema.get("exclusiveMinimum", -math.inf), "under minimum")
         check(value > schema.get("maximum", math.inf) or value >= schema.get("exclusiveMaximum", math.inf), "over maximum")
@@ -172,7 +185,7 @@ def judged(content: str, schema: str | None) -> tuple[bool, list[str]]:
     if schema is None:
         return False, []
     try:
-        rule = json.loads(schema)
+        rule = _load(schema)
         return (False, problems(json.loads(content), rule)) if well_formed(rule) else (True, [])
     except (RecursionError, ValueError, OverflowError):
         return True, []
@@ -182,7 +195,9 @@ def _load(text: str) -> object:
     def refuse(_: str) -> None:
         raise ValueError("not a JSON number")
 
-    return json.loads(text, parse_constant=refuse)
+    value = json.loads(text, parse_constant=refuse)
+    json.dumps(value, ensure_ascii=False).encode()  # half a surrogate pair is no character: refused, as a ValueError
+    return value
 
 
 def _refs(value: object) -> set[str]:
