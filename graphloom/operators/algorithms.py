@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import draw
 from ..shared import written
 from .links import ONE, balls, node_degrees
-from .scans import prefix_sum
+from .scans import dense_ids, numbered_within, prefix_sum
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -107,6 +108,42 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(F.broadcast(top), "root", "left_semi").select("node")
 
 
+def bridges(nodes: DataFrame, edges: DataFrame, seed: str, share: float = 0.05) -> DataFrame:
+    """``u, v``: drawn new edges, each between a node of the largest component (of equals the one with the least node) and a node of
+    another component, all components alike likely. There are half of ``share`` of the rows of ``edges`` (both directions), at least one;
+    none where the graph is connected. Nodes are numbered within components, and drawn numbers meet them by equality.
+    """
+    found = settled(components(nodes, edges))
+    sizes = settled(found.groupBy("root").agg(F.count("*").alias("size")))
+    top = sizes.agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("top"))  # one row
+    ranked = sizes.crossJoin(F.broadcast(top))
+    others = dense_ids(ranked.where("root <> top").select("root", "size"), "root", "c")
+    counts = others.agg(F.count("*").alias("n_others"))  # one row
+    largest = ranked.where("root = top").select(F.col("root").alias("lcc"), F.col("size").alias("lcc_size"))  # one row
+    pairs = max(1, (max(1, int(share * edges.count())) + 1) // 2)
+    draws = nodes.sparkSession.range(pairs).withColumnRenamed("id", "k").crossJoin(F.broadcast(counts)).where("n_others > 0").crossJoin(F.broadcast(largest))
+    drawn = draws.select("k", "lcc", (draw(seed, "c|", F.col("k")) % F.col("n_others")).alias("c"), (draw(seed, "u|", F.col("k")) % F.col("lcc_size")).alias("iu"))
+    drawn = drawn.join(others, "c").withColumn("iv", draw(seed, "v|", F.col("k")) % F.col("size"))
+    places = settled(numbered_within(found, "root", "node", "i").select("node", "root", "i"))
+    u, v = places.toDF("nu", "ru", "pu"), places.toDF("nv", "rv", "pv")
+    met = drawn.join(u, (F.col("ru") == F.col("lcc")) & (F.col("pu") == F.col("iu"))).join(v, (F.col("rv") == F.col("root")) & (F.col("pv") == F.col("iv")))
+    return met.select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+
+
+def bridged(nodes: DataFrame, edges: DataFrame, seed: str, share: float = 0.05, want: float = 0.5, rounds: int = 5) -> DataFrame:
+    """``edges`` (both directions) with drawn bridges, round after round until the largest component holds over ``want`` of the
+    nodes, ``rounds`` at most."""
+    n = nodes.count()
+    edges = settled(edges.select("src", "dst"))
+    for k in range(rounds):
+        if largest_component(nodes, edges).count() > want * n:
+            break
+        new = bridges(nodes, edges, f"{seed}{k}|", share)
+        both = new.select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("e")).select("e.*")
+        edges = settled(edges.unionByName(both))
+    return edges
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float, rounds: int) -> DataFrame:
     """``node, rank`` after fixed rounds; the mass of dangling nodes isn't dealt out again."""
     n = nodes.agg(F.count("*").alias("n"))  # one row

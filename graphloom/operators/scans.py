@@ -25,6 +25,17 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
     return prefix_sum(df.withColumn("__one", F.lit(1)), key, "__one", out).drop("__one")
 
 
+def numbered_within(df: DataFrame, group: str, key: str, out: str) -> DataFrame:
+    """Numbers 0, 1, ... within each group in order of an integer key (unique in the group): within buckets of keys, then over the
+    group's buckets, so that a group that holds most rows isn't one task's."""
+    keyed = df.withColumn("__b", F.floor(F.col(key) / BUCKET))
+    totals = keyed.groupBy(group, "__b").agg(F.count("*").alias("__t"))
+    before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(group, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    own = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(group, "__b").orderBy(key)) - 1)
+    return own.join(base, [group, "__b"]).withColumn(out, (F.col("__n") + F.col("__base")).cast("bigint")).drop("__b", "__n", "__base")
+
+
 #: Ranges of values, of about as many rows each, in which values are summed up.
 RANGES = 256
 
