@@ -33,7 +33,9 @@ def _cut(state: DataFrame, step: int) -> DataFrame:
 
 
 def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack: bool = True, restart: float = 0.0, period: int = 0) -> DataFrame:
-    """One row a start ``walk_id, node``: ``walk_id, path, restarts`` with ``length`` steps.
+    """One row a start ``walk_id, node``: ``walk_id, path, restarts`` with ``length`` steps. A start may be a
+    prefix ``walk_id, path`` instead: its walk goes on from the last node up to ``length`` steps in all, with the draws of its
+    places, so that a walk cut anywhere goes on as it would have. Longer prefixes stay as they are.
 
     Without ``backtrack`` the previous node is skipped unless it is the only way on.
     ``restart``: the chance to return to the start, never twice in a row; ``period``:
@@ -44,7 +46,15 @@ def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack:
     steps = written(transitions(edges), "transitions")  # read at every step
     degree = steps.select(F.col("src").alias("node"), F.col("deg").alias("start_deg")).distinct()
     nothing = F.lit(None).cast("long")
-    state = starts.join(degree, "node", "left").select(
+    given = "path" in starts.columns
+    if given:  # the place of the way back is that of the prefix's last step
+        ends = starts.select("walk_id", "path", F.col("path")[0].alias("start"), F.element_at("path", -1).alias("node"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("from"))
+        came = steps.select(F.col("src").alias("from"), F.col("dst").alias("node"), "back")
+        first = degree.toDF("start", "start_deg")
+        ends = ends.join(degree.toDF("node", "deg"), "node", "left").join(first, "start", "left").join(came, ["from", "node"], "left")
+        marks = F.transform("path", lambda _: F.lit(False))
+        state = ends.select("walk_id", "start", F.coalesce("start_deg", F.lit(0)).alias("start_deg"), "node", F.coalesce("deg", F.lit(0)).alias("deg"), F.col("back").cast("long").alias("back"), "path", marks.alias("restarts"))
+    state = state if given else starts.join(degree, "node", "left").select(
         "walk_id", F.col("node").alias("start"), F.coalesce("start_deg", F.lit(0)).alias("start_deg"), "node",
         F.coalesce("start_deg", F.lit(0)).alias("deg"), nothing.alias("back"), F.array("node").alias("path"), F.array(F.lit(False)).alias("restarts"),
     )
@@ -62,6 +72,9 @@ def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack:
             skipped = choice % F.greatest(F.col("deg") - 1, F.lit(1))
             forward = skipped + (skipped >= F.col("back")).cast("long")
             index = F.when(F.col("deg") == 1, F.lit(0)).when(F.col("back").isNull(), F.when(F.col("deg") > 0, choice % F.greatest("deg", F.lit(1)))).otherwise(forward)
+        if given:  # prefixes beyond this place wait
+            going = F.size("path") == step
+            again, index = again & going, F.when(going, index)
         asked = state.withColumns({"again": again, "index": index.cast("long")})
         on = (F.col("s.node") == F.col("e.src")) & (F.col("s.index") == F.col("e.i")) & ~F.col("s.again")
         met = asked.alias("s").join(steps.alias("e"), on, "left")
@@ -69,8 +82,8 @@ def walk(starts: DataFrame, edges: DataFrame, length: int, seed: str, backtrack:
         state = met.select(
             "walk_id", "start", "start_deg", node.alias("node"),
             F.when(F.col("again"), F.col("start_deg")).when(F.col("dst").isNull(), F.col("s.deg")).otherwise(F.col("dst_deg")).alias("deg"),
-            F.when(~F.col("again") & F.col("dst").isNotNull(), F.col("e.back")).cast("long").alias("back"),
-            F.array_append("path", node).alias("path"), F.array_append("restarts", F.col("again")).alias("restarts"),
+            F.when(~F.col("again") & F.col("dst").isNotNull(), F.col("e.back")).otherwise(F.when(F.size("path") > step, F.col("s.back")) if given else None).cast("long").alias("back"),
+            *[F.when(F.size("path") > step, F.col(c)).otherwise(v).alias(c) if given else v.alias(c) for c, v in (("path", F.array_append("path", node)), ("restarts", F.array_append("restarts", F.col("again"))))],
         )
         state = _cut(state, step)
     return state.select("walk_id", "path", "restarts")
@@ -167,6 +180,45 @@ def balanced_starts(edges: DataFrame, per_type: int, seed: str) -> DataFrame:
     return ranked.where(F.col("k") < per_type).select("rel", F.explode(turns).alias("j"), "src", "dst")
 
 
+MODES = ("default", "train_only", "train_chunk", "batch_only")
+
+
+def start_nodes(mode: str, train: DataFrame, batch: DataFrame, walks: int, refinements: int, seed: str, focus: DataFrame | None = None, short: bool = False) -> DataFrame:
+    """``refinement, slot, kind, node``: where the walks of a node task begin; tables of ``node``.
+
+    ``default``: one and a half times ``walks`` starts a refinement drawn from training nodes (twice as many, of half the length,
+    with ``short``), then as many drawn from the batch. ``train_only``: all of three times ``walks`` drawn from training nodes.
+    ``train_chunk`` and ``batch_only``: so many over the nodes of ``focus`` or the batch in turn, so that in each refinement a node has
+    as many starts as any other, but for one; every turn begins at a drawn place of a drawn order. Draws meet numbered nodes by equality.
+    """
+    if mode not in MODES or mode == "train_chunk" and focus is None:
+        raise ValueError(f"mode is one of {MODES}, and train_chunk needs the nodes to walk from")
+    from .splits import permuted
+
+    spark, t = train.sparkSession, refinements
+    low, high = int(1.5 * walks * t), -int(-1.5 * walks * t // 1)
+
+    def drawn(kind: str, nodes: DataFrame, first: int, count: int) -> DataFrame:
+        rows = spark.range(first, first + count).withColumnRenamed("id", "row")
+        n = nodes.agg(F.count("*").alias("n"))  # one row
+        asked = rows.crossJoin(F.broadcast(n)).where("n > 0").withColumn("k", draw(seed, kind, "|", F.col("row")) % F.col("n"))
+        met = asked.join(permuted(nodes.select("node").distinct(), f"{seed}{kind}|"), "k")
+        return met.select((F.col("row") % t).cast("int").alias("refinement"), F.floor(F.col("row") / t).alias("slot"), F.lit(kind).alias("kind"), "node")
+
+    if mode == "default":
+        first = 2 * low if short else low
+        return drawn("train", train, 0, first).unionByName(drawn("batch", batch, first, high))
+    slots = max(1, (low + high) // t)
+    if mode == "train_only":
+        return drawn("train", train, 0, slots * t)
+    kind, nodes = ("focus", focus) if mode == "train_chunk" else ("batch", batch)
+    n = nodes.select("node").distinct().agg(F.count("*").alias("n"))  # one row
+    rows = spark.range(slots).withColumnRenamed("id", "slot").crossJoin(spark.range(t).select(F.col("id").cast("int").alias("refinement"))).crossJoin(F.broadcast(n)).where("n > 0")
+    turn = draw(seed, kind, "|", F.col("refinement"), "|", F.floor(F.col("slot") / F.col("n")))
+    asked = rows.withColumn("k", (F.col("slot") + turn) % F.col("n"))
+    return asked.join(permuted(nodes.select("node").distinct(), f"{seed}{kind}|"), "k").select("refinement", "slot", F.lit(kind).alias("kind"), "node")
+
+
 def budget(nodes: Column) -> Column:
     """Walks and steps for a graph's size: the smallest tier that holds it."""
     tier = [(1000, 32, 32), (10000, 64, 128), (40000, 128, 128)]

@@ -163,13 +163,34 @@ def _(t):
 # Walk pipelines and mixes.
 
 
-@query("rw19_start_mix", f"WITH {LABEL}, tr AS (SELECT node, row_number() OVER (ORDER BY {draw_sql("'rw19|' || node")}, node) - 1 AS k, count(*) OVER () AS n FROM nsplit WHERE part = 'train') SELECT 'train' AS kind, j AS walk, node FROM tr, unnest(range(0, 300)) AS u(j) WHERE j % n = k UNION ALL SELECT 'batch', p_partkey, p_partkey FROM part WHERE p_partkey < 128")
-def _(t):
-    train = t.split_of_parts().where("part = 'train'").select("node")
-    n = train.agg(F.count("*").alias("n"))
-    places = t.spark.range(300).toDF("walk").crossJoin(F.broadcast(n)).withColumn("k", F.col("walk") % F.col("n"))
-    own = places.join(S.permuted(train, "rw19|"), "k").select(F.lit("train").alias("kind"), "walk", "node")
-    return own.unionByName(t.part_nodes().where("node < 128").select(F.lit("batch").alias("kind"), F.col("node").alias("walk"), "node"))
+_WALKS, _T = 64, 2
+_SLOTS = 3 * _WALKS
+
+
+def _starts_sql(mode: str) -> str:
+    places = "\n".join(f"{kind}p AS (SELECT node, row_number() OVER (ORDER BY {draw_sql(f"'rw19|{kind}|' || node")}, node) - 1 AS k, count(*) OVER () AS n FROM nsplit WHERE {where})," for kind, where in (("train", "part = 'train'"), ("batch", "part = 'test'"), ("focus", "part = 'val'")))
+    low, high = int(1.5 * _WALKS * _T), -int(-1.5 * _WALKS * _T // 1)
+
+    def drawn(kind, first, count):
+        return f"SELECT (row % {_T})::INT AS refinement, row // {_T} AS slot, '{kind}' AS kind, node FROM unnest(range({first}, {first + count})) AS u(row) JOIN {kind}p ON k = {draw_sql(f"'rw19|{kind}|' || row")} % n"
+
+    if mode == "default":
+        out = drawn("train", 0, low) + " UNION ALL " + drawn("batch", low, high)
+    elif mode == "train_only":
+        out = drawn("train", 0, _SLOTS * _T)
+    else:
+        kind = "focus" if mode == "train_chunk" else "batch"
+        out = f"SELECT r::INT AS refinement, slot, '{kind}' AS kind, node FROM unnest(range(0, {_T})) AS a(r), unnest(range(0, {_SLOTS})) AS b(slot) JOIN {kind}p ON k = (slot + {draw_sql(f"'rw19|{kind}|' || r || '|' || (slot // n)")}) % n"
+    return f"WITH {LABEL}, {places} x AS (SELECT 1) {out}"
+
+
+for _mode in WK.MODES:
+
+    @query("rw19_start_mix" if _mode == "default" else f"rw19_{_mode}", _starts_sql(_mode))
+    def _(t, mode=_mode):
+        """Training nodes, a batch of all test nodes, and validation nodes as the chunk to walk from."""
+        train, batch, focus = (t.split_of_parts().where(f"part = '{p}'").select("node") for p in ("train", "test", "val"))
+        return WK.start_nodes(mode, train, batch, _WALKS, _T, "rw19|", focus)
 
 
 @query("rw17_typed_anonymous_walks", f"""WITH RECURSIVE {KG}, sides AS (SELECT h AS src, t AS dst FROM kg WHERE split = 'train' UNION SELECT t, h FROM kg WHERE split = 'train'),

@@ -126,9 +126,9 @@ def _(t):
     return tally[0].crossJoin(tally[1])
 
 
-@query("it7_hub_pagerank", f"WITH {HUB}, d AS (SELECT src, count(*) AS d FROM hedges GROUP BY src), n AS (SELECT count(*) AS n FROM hnodes), " + ", ".join(f"r{k} AS (SELECT h.node, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM hnodes h CROSS JOIN n LEFT JOIN (SELECT e.dst, sum({'1.0::DOUBLE / n' if k == 1 else 'p.r'} / d.d) AS g FROM hedges e JOIN d USING (src) {'CROSS JOIN n' if k == 1 else f'JOIN r{k - 1} p ON p.node = e.src'} GROUP BY e.dst) x ON x.dst = h.node)" for k in range(1, 4)) + " SELECT node, round(r, 6) AS rank FROM r3")
+@query("it7_hub_pagerank", f"WITH {HUB}, d AS (SELECT src, count(*) AS d FROM hedges GROUP BY src), n AS (SELECT count(*) AS n FROM hnodes), " + ", ".join(f"r{k} AS (SELECT h.node, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM hnodes h CROSS JOIN n LEFT JOIN (SELECT e.dst, sum({'1.0::DOUBLE / n' if k == 1 else 'p.r'} / d.d) AS g FROM hedges e JOIN d USING (src) {'CROSS JOIN n' if k == 1 else f'JOIN r{k - 1} p ON p.node = e.src'} GROUP BY e.dst) x ON x.dst = h.node)" for k in range(1, 4)) + " SELECT node, round(r, 12) AS rank FROM r3")
 def _(t):
-    return A.pagerank(t.hub_nodes(), t.hub_edges(), 0.85, 3).select("node", F.round("rank", 6).alias("rank"))
+    return A.pagerank(t.hub_nodes(), t.hub_edges(), 0.85, 3).select("node", F.round("rank", 12).alias("rank"))
 
 
 @query("it7_personalised_pagerank")

@@ -181,10 +181,19 @@ def _(t):
     return moves.join(there, ["prev", "node"], "left").select("walk_id", "pos", (F.col("prev").isNotNull() & F.col("there").isNull()).alias("backwards"))
 
 
-@query("rw10_prefix_resume", "SELECT p_partkey AS walk_id, pos, CASE WHEN pos = 0 THEN p_partkey ELSE p_partkey // 2 END AS node FROM part, (VALUES (0), (1)) AS x(pos)")
+@query("rw10_prefix_resume", _walk_sql("rw2", ONWARD) + "SELECT walk AS walk_id, pos, node, restart FROM w")
 def _(t):
-    prefixes = t.part_nodes().select(F.col("node").alias("walk_id"), F.array(F.col("node"), F.floor(F.col("node") / 2)).alias("path"))
-    return WK.positions(prefixes)
+    """Walks of two steps (one for every third), stored and gone on with: the rows of walks that were never cut."""
+    edges = t.part_edges("train")
+    begun = WK.walk(_starts(t), edges, 2, "rw2", backtrack=False)
+    prefixes = begun.select("walk_id", F.when(F.col("walk_id") % 3 == 0, F.slice("path", 1, 2)).otherwise(F.col("path")).alias("path"))
+    return _rows(WK.walk(written(prefixes, "prefixes"), edges, LENGTH, "rw2", backtrack=False))
+
+
+@query("rw9_dispatch", _walk_sql("rw4", ONWARD, CHANCE) + "SELECT walk AS walk_id, pos, node, restart FROM w")
+def _(t):
+    """The dispatcher picks the way to walk by its arguments: here restarts by chance, without backtracking."""
+    return _rows(WK.random_walks(_starts(t), t.part_edges("train"), LENGTH, "rw4", backtrack=False, restart=0.3))
 
 
 @query("rw18_balanced_starts", f"WITH {KG}, o AS (SELECT h, r, t, row_number() OVER (PARTITION BY r ORDER BY {draw_sql("'w10' || h || '|' || t || '|' || r")}, h, t) - 1 AS k, count(*) OVER (PARTITION BY r) AS n FROM kg WHERE split = 'test') SELECT r AS rel, j, h AS src, t AS dst FROM o, unnest(range(0, 300)) AS u(j) WHERE k = j % n")

@@ -274,3 +274,33 @@ def test_samplers_by_their_moments(spark):
         assert abs(got[f"v {name}"] - variance) < max(3 * loose * variance, 0.02), name
     whole = rows.agg(F.min(SA.whole_gamma(key, 2.0, 3.0, 2, 9)).alias("a"), F.max(SA.whole_gamma(key, 2.0, 3.0, 2, 9)).alias("b"), F.min(SA.whole_log_between(key, 1, 64)).alias("c"), F.max(SA.whole_log_between(key, 1, 64)).alias("d")).first()
     assert tuple(whole) == (2, 9, 1, 64)
+
+
+@pytest.mark.parametrize("backtrack", [True, False])
+def test_walks_go_on_from_prefixes(spark, backtrack):
+    edges = spark.createDataFrame([e for a, b in [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 0), (5, 6)] for e in ((a, b), (b, a))], "src long, dst long")
+    starts = spark.createDataFrame([(k, k % 8) for k in range(40)], "walk_id long, node long")
+    whole = {r.walk_id: list(r.path) for r in WK.walk(starts, edges, 9, "s", backtrack=backtrack).collect()}
+    cut = spark.createDataFrame([(k, p[: 1 + k % 10]) for k, p in whole.items()], "walk_id long, path array<long>")
+    assert {r.walk_id: list(r.path) for r in WK.walk(cut, edges, 9, "s", backtrack=backtrack).collect()} == whole
+    assert {r.walk_id: len(r.path) for r in WK.walk(cut, edges, 4, "s", backtrack=backtrack).collect()} == {k: max(5, 1 + k % 10) for k in whole}
+
+
+def test_start_modes(spark):
+    def nodes(ids):
+        return spark.createDataFrame([(i,) for i in ids], "node long")
+
+    train, batch, focus = range(5), range(10, 17), range(20, 23)
+    for mode in WK.MODES:
+        rows = WK.start_nodes(mode, nodes(train), nodes(batch), 7, 3, "s", nodes(focus)).collect()
+        assert len({(r.refinement, r.slot) for r in rows}) == len(rows) == 63 and {r.refinement for r in rows} == {0, 1, 2}
+        allowed = {"default": {*train, *batch}, "train_only": {*train}, "train_chunk": {*focus}, "batch_only": {*batch}}[mode]
+        assert {r.node for r in rows} <= allowed
+        if mode in ("train_chunk", "batch_only"):
+            for t in range(3):
+                counts = [sum(r.node == n and r.refinement == t for r in rows) for n in allowed]
+                assert max(counts) - min(counts) <= 1
+    assert len(WK.start_nodes("default", nodes(train), nodes(batch), 7, 3, "s", short=True).collect()) == 2 * 31 + 32
+    with pytest.raises(ValueError, match="train_chunk"):
+        WK.start_nodes("train_chunk", nodes(train), nodes(batch), 7, 3, "s")
+    assert WK.start_nodes("batch_only", nodes(train), nodes([]), 7, 3, "s").count() == 0
