@@ -36,6 +36,16 @@ def numbered_within(df: DataFrame, group: str, key: str, out: str) -> DataFrame:
     return own.join(base, [group, "__b"]).withColumn(out, (F.col("__n") + F.col("__base")).cast("bigint")).drop("__b", "__n", "__base")
 
 
+def prefix_max_within(df: DataFrame, group: str, key: str, value: str, out: str) -> DataFrame:
+    """The greatest ``value`` of each group up to and with an integer key: within buckets of keys, then over the group's buckets."""
+    keyed = df.withColumn("__b", F.floor(F.col(key) / BUCKET))
+    tops = keyed.groupBy(group, "__b").agg(F.max(value).alias("__t"))
+    before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = tops.select(group, "__b", F.max("__t").over(before).alias("__base"))
+    upto = F.max(value).over(Window.partitionBy(group, "__b").orderBy(key).rangeBetween(Window.unboundedPreceding, 0))
+    return keyed.withColumn(out, upto).join(base, [group, "__b"]).withColumn(out, F.greatest(out, "__base")).drop("__b", "__base")
+
+
 #: Ranges of values, of about as many rows each, in which values are summed up.
 RANGES = 256
 

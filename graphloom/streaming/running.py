@@ -7,9 +7,11 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.draws import uniform
+from ..operators.scans import prefix_max_within
 
 
 def read_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -31,6 +33,29 @@ def windowed_metrics(events: DataFrame, width: str = "1 day", late: str = "1 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("dataset")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def best_so_far(stream: DataFrame, path: str, checkpoint: str):
+    """Start a stream over ``run, epoch, value`` that keeps each run's best value so far, and return its query.
+
+    Each arrival is one version of two tables below ``path``: ``rows`` (``run, epoch, value, best``) and ``best`` (a row a run: what
+    all versions up to this one have seen). Version k comes from the arrival and version k - 1 alone and overwrites
+    what an attempt before it may have left, so that a restart from the checkpoint repeats and loses nothing. A row that comes
+    late counts from its arrival on. Runs of many rows are taken by ranges of epochs.
+    """
+    spark = stream.sparkSession
+    kept = StructType([f for f in stream.schema if f.name in ("run", "value")])
+
+    def arrive(batch: DataFrame, version: int) -> None:
+        before = spark.read.schema(kept).parquet(f"{path}/best/version={version - 1}") if version else spark.createDataFrame([], kept)
+        before = before.select("run", F.col("value").alias("__before"))
+        own = prefix_max_within(batch.select("run", "epoch", "value"), "run", "epoch", "value", "best")
+        rows = own.join(before, "run", "left").select("run", "epoch", "value", F.greatest("best", "__before").alias("best"))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+        both = batch.select("run", "value").unionByName(before.withColumnRenamed("__before", "value"))
+        both.groupBy("run").agg(F.max("value").alias("value")).write.mode("overwrite").parquet(f"{path}/best/version={version}")
+
+    return stream.writeStream.foreachBatch(arrive).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and return its result table (an in-memory sink: for
     aggregates of bounded size)."""
