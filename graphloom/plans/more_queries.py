@@ -137,9 +137,13 @@ def _(t):
     return out
 
 
-@query("src14_aliases", "SELECT 'cora' AS dataset UNION ALL SELECT 'citeseer' UNION ALL SELECT 'pubmed' UNION ALL SELECT 'wiki'")
+@query("src14_aliases", "SELECT n_name AS dataset FROM nation")
 def _(t):
-    names = texts.expand_aliases(["CITE", "cora", "wiki"], {"cite": ["cora", "citeseer", "pubmed"]})
+    """Regions as group names of their nations, by any case, and a nation named twice."""
+    groups: dict[str, list[str]] = {}
+    for region, nation in t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect():  # two small domains
+        groups.setdefault(region.title(), []).append(nation)
+    names = texts.expand_aliases([*map(str.lower, groups), *sorted(sum(groups.values(), []))[:1]], groups)
     return t.spark.createDataFrame([(n,) for n in names], "dataset string")
 
 
@@ -357,34 +361,35 @@ def _(t):
     return GN.ordered_ring(t.labels_of_parts().where("label IS NOT NULL"))
 
 
-@query("gn8_bipartite_popularity", f"WITH u AS (SELECT id AS src FROM range(300) AS r(id)), e AS (SELECT src, j, floor(200 * pow({draw_sql("'gn8|' || src || '|' || j")} / 4294967296.0::DOUBLE, 2))::BIGINT + 300 AS dst FROM u, (VALUES (0), (1), (2)) AS x(j)) SELECT DISTINCT src, dst FROM e")
+@query("gn8_bipartite_popularity", f"WITH u AS (SELECT c_custkey AS src, (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM part) AS items FROM customer), e AS (SELECT src, j, floor(items * pow({draw_sql("'gn8|' || src || '|' || j")} / 4294967296.0::DOUBLE, 2))::BIGINT + users AS dst FROM u, (VALUES (0), (1), (2)) AS x(j)) SELECT DISTINCT src, dst FROM e")
 def _(t):
     """Every user takes three items whose popularity falls with their number; at least one edge each."""
     from ..functions.draws import uniform
 
-    users = GN.nodes(t.spark, 300).select(F.col("node").alias("src"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
-    return users.select("src", (F.floor(200 * F.pow(uniform("gn8|", F.col("src"), "|", F.col("j")), 2.0)) + 300).alias("dst")).distinct()
+    users = GN.nodes(t.spark, t.customer.count()).select(F.col("node").alias("src"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    return users.select("src", (F.floor(t.part.count() * F.pow(uniform("gn8|", F.col("src"), "|", F.col("j")), 2.0)) + t.customer.count()).alias("dst")).distinct()
 
 
-@query("gn11_conditioned_graph", f"WITH RECURSIVE g AS (SELECT a.id AS u, b.id AS v FROM range(150) AS a(id), range(150) AS b(id) WHERE a.id < b.id AND {draw_sql("'gn11|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < CASE WHEN a.id % 3 = b.id % 3 THEN 0.04 ELSE 0.004 END), e AS (SELECT u AS src, v AS dst FROM g UNION ALL SELECT v, u FROM g), r(node, root) AS (SELECT id, id FROM range(150) AS x(id) UNION SELECT dst, root FROM r JOIN e ON src = node WHERE root < dst), c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM c WHERE root = (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)) SELECT a.k AS src, b.k AS dst FROM e JOIN k a ON src = a.node JOIN k b ON dst = b.node")
+@query("gn11_conditioned_graph", f"WITH RECURSIVE g AS (SELECT a.id AS u, b.id AS v FROM (SELECT p_partkey AS id FROM part) AS a, (SELECT p_partkey AS id FROM part) AS b WHERE a.id < b.id AND {draw_sql("'gn11|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < CASE WHEN a.id % 3 = b.id % 3 THEN 6.0::DOUBLE ELSE 0.6::DOUBLE END / (SELECT count(*) FROM part)), e AS (SELECT u AS src, v AS dst FROM g UNION ALL SELECT v, u FROM g), r(node, root) AS (SELECT id, id FROM (SELECT p_partkey AS id FROM part) AS x UNION SELECT dst, root FROM r JOIN e ON src = node WHERE root < dst), c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM c WHERE root = (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)) SELECT a.k AS src, b.k AS dst FROM e JOIN k a ON src = a.node JOIN k b ON dst = b.node")
 def _(t):
-    edges = G.symmetrise(GN.label_blocks(t.spark, 150, 3, 0.04, 0.004, "gn11|"), loops=False)
-    return G.induced_subgraph(edges, A.largest_component(GN.nodes(t.spark, 150), edges))
+    n = t.part.count()
+    edges = G.symmetrise(GN.label_blocks(t.spark, n, 3, 6.0 / n, 0.6 / n, "gn11|"), loops=False)
+    return G.induced_subgraph(edges, A.largest_component(GN.nodes(t.spark, n), edges))
 
 
-@query("gn17_structural_table", f"WITH z AS (SELECT id AS node, {draw_sql("'gn17a|u|' || id")} / 4294967296.0::DOUBLE AS a, {draw_sql("'gn17b|u|' || id")} / 4294967296.0::DOUBLE AS b FROM range(800) AS r(id)) SELECT node, round(a, 9) AS x1, round(exp(-(a + b) * (a + b)), 9) AS x2, (sin(3 * a) + b > 1)::INT AS y FROM z")
+@query("gn17_structural_table", f"WITH z AS (SELECT id AS node, {draw_sql("'gn17a|u|' || id")} / 4294967296.0::DOUBLE AS a, {draw_sql("'gn17b|u|' || id")} / 4294967296.0::DOUBLE AS b FROM (SELECT p_partkey AS id FROM part) AS r) SELECT node, round(a, 9) AS x1, round(exp(-(a + b) * (a + b)), 9) AS x2, (sin(3 * a) + b > 1)::INT AS y FROM z")
 def _(t):
     """A table from a small causal graph: two roots, an activation over their sum, a thresholded label."""
-    a, b = (GN.sampled(t.spark, 800, "uniform", s).withColumnRenamed("x", n) for s, n in (("gn17a|", "a"), ("gn17b|", "b")))
+    a, b = (GN.sampled(t.spark, t.part.count(), "uniform", s).withColumnRenamed("x", n) for s, n in (("gn17a|", "a"), ("gn17b|", "b")))
     z = a.join(b, "node")
     return z.select("node", F.round("a", 9).alias("x1"), F.round(X.ACTIVATIONS["rbf"](F.col("a") + F.col("b")), 9).alias("x2"), (X.ACTIVATIONS["sine"](3 * F.col("a")) + F.col("b") > 1).cast("int").alias("y"))
 
 
-@query("m17_grid_labels", f"WITH c AS (SELECT id, id // 625 AS grid, {draw_sql("'m17|' || id")} % 2 AS y FROM range(3125) AS r(id)) SELECT grid, count(*) AS n, sum(y)::BIGINT AS pos FROM c GROUP BY grid")
+@query("m17_grid_labels", f"WITH c AS (SELECT id, id // 625 AS grid, {draw_sql("'m17|' || id")} % 2 AS y FROM (SELECT s_suppkey * 625 + j AS id FROM supplier, range(625) AS x(j)) AS r) SELECT grid, count(*) AS n, sum(y)::BIGINT AS pos FROM c GROUP BY grid")
 def _(t):
     from ..functions.draws import draw
 
-    cells = t.spark.range(3125).select(F.floor(F.col("id") / 625).alias("grid"), (draw("m17|", F.col("id")) % 2).alias("y"))
+    cells = t.spark.range(625 * t.supplier.count()).select(F.floor(F.col("id") / 625).alias("grid"), (draw("m17|", F.col("id")) % 2).alias("y"))
     return cells.groupBy("grid").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
+from ..operators.scans import numbered_within
 from ..shared import fresh_path
 from ..streaming import running as RN
 from .registry import query
@@ -56,20 +57,21 @@ def _(t):
     return RN.resumed(t.part.select(F.col("p_partkey").alias("batch")), done)
 
 
-@query("st5_task_coins", f"SELECT id AS step, {HALF} / 4294967296.0::DOUBLE < 0.4 AS heads FROM range(1000) AS r(id)")
+@query("st5_task_coins", f"SELECT id AS step, {HALF} / 4294967296.0::DOUBLE < 0.4 AS heads FROM (SELECT row_number() OVER () - 1 AS id FROM events) AS r")
 def _(t):
-    return RN.coins(t.spark, 3, 1000, 0.4, "st5|")
+    return RN.coins(t.spark, 3, t.events.count(), 0.4, "st5|")
 
 
-@query("st6_mixed_stream", f"WITH f AS (SELECT id AS step, {HALF} / 4294967296.0::DOUBLE < 0.4 AS heads FROM range(1000) AS r(id)), n AS (SELECT *, row_number() OVER (PARTITION BY heads ORDER BY step) - 1 AS nth FROM f) SELECT step, heads, CASE WHEN heads THEN 'a' ELSE 'b' END || nth AS item FROM n")
+@query("st6_mixed_stream", f"WITH f AS (SELECT id AS step, {HALF} / 4294967296.0::DOUBLE < 0.4 AS heads FROM (SELECT row_number() OVER () - 1 AS id FROM events) AS r), n AS (SELECT *, row_number() OVER (PARTITION BY heads ORDER BY step) - 1 AS nth FROM f), i AS (SELECT event_type = 'click' AS heads, row_number() OVER (PARTITION BY event_type = 'click' ORDER BY event_id) - 1 AS nth, 'e' || event_id AS item FROM events) SELECT step, heads, item FROM n JOIN i USING (heads, nth)")
 def _(t):
-    def side(name):
-        return t.spark.range(1000).select(F.col("id").alias("nth"), F.concat(F.lit(name), F.col("id")).alias("item"))
+    """Clicks and all other events, each in order of their ids, as many as there are."""
+    items = t.events.select("event_id", (F.col("event_type") == "click").cast("int").alias("heads"), F.concat(F.lit("e"), "event_id").alias("item"))
+    numbered = numbered_within(items, "heads", "event_id", "nth")
+    a, b = (numbered.where(f"heads = {k}").select("nth", "item") for k in (1, 0))
+    return RN.mixed(a, b, RN.coins(t.spark, 3, t.events.count(), 0.4, "st5|"))
 
-    return RN.mixed(side("a"), side("b"), RN.coins(t.spark, 3, 1000, 0.4, "st5|"))
 
-
-@query("st7_weighted_choice", f"WITH w AS (SELECT event_type AS name, count(*) AS w FROM events GROUP BY 1), b AS (SELECT name, (sum(w) OVER (ORDER BY name) - w) / sum(w) OVER ()::DOUBLE AS lo, sum(w) OVER (ORDER BY name) / sum(w) OVER ()::DOUBLE AS hi FROM w) SELECT id AS step, name FROM range(600) AS r(id) JOIN b ON {draw_sql("'st7|' || id")} / 4294967296.0::DOUBLE >= lo AND {draw_sql("'st7|' || id")} / 4294967296.0::DOUBLE < hi WHERE id % 2 = 1")
+@query("st7_weighted_choice", f"WITH w AS (SELECT event_type AS name, count(*) AS w FROM events GROUP BY 1), b AS (SELECT name, (sum(w) OVER (ORDER BY name) - w) / sum(w) OVER ()::DOUBLE AS lo, sum(w) OVER (ORDER BY name) / sum(w) OVER ()::DOUBLE AS hi FROM w) SELECT id AS step, name FROM (SELECT row_number() OVER () - 1 AS id FROM events) AS r JOIN b ON {draw_sql("'st7|' || id")} / 4294967296.0::DOUBLE >= lo AND {draw_sql("'st7|' || id")} / 4294967296.0::DOUBLE < hi WHERE id % 2 = 1")
 def _(t):
     weights = t.events.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("w"))
-    return RN.weighted_choice(t.spark.range(600).toDF("step"), weights, "st7|", 1, 2)
+    return RN.weighted_choice(t.spark.range(t.events.count()).toDF("step"), weights, "st7|", 1, 2)

@@ -369,61 +369,61 @@ def _(t):
     return A.propagate(x, t.part_edges(), 2).select("node", "k", F.round("x", 6).alias("x"))
 
 
-CELLS = "c AS (SELECT id, id // 625 AS grid, (id // 25) % 25 AS row, id % 25 AS col FROM range(3125) AS r(id))"
+CELLS = "c AS (SELECT id, id // 625 AS grid, (id // 25) % 25 AS row, id % 25 AS col FROM (SELECT s_suppkey * 625 + j AS id FROM supplier, range(625) AS x(j)) AS r)"
 
 
 @query("it12_grid_distances", f"WITH {CELLS}, l AS (SELECT * FROM c WHERE {draw_sql("'it12|' || id")} % 200 = 0) SELECT c.grid, c.row, c.col, min(abs(c.row - l.row) + abs(c.col - l.col)) AS hop FROM c JOIN l USING (grid) GROUP BY ALL")
 def _(t):
-    cells = t.spark.range(3125).select("id", F.floor(F.col("id") / 625).alias("grid"), (F.floor(F.col("id") / 25) % 25).alias("row"), (F.col("id") % 25).alias("col"))
+    cells = t.spark.range(625 * t.supplier.count()).select("id", F.floor(F.col("id") / 625).alias("grid"), (F.floor(F.col("id") / 25) % 25).alias("row"), (F.col("id") % 25).alias("col"))
     return A.nearest_labelled(cells.drop("id"), cells.where(draw("it12|", F.col("id")) % 200 == 0))
 
 
 # Generators.
 
 
-@query("gn12_grids", "WITH c AS (SELECT id AS src, (id // 25) % 25 AS row, id % 25 AS col FROM range(3125) AS r(id)) SELECT src, src + 1 AS dst FROM c WHERE col < 24 UNION ALL SELECT src, src + 25 FROM c WHERE row < 24")
+@query("gn12_grids", "WITH c AS (SELECT id AS src, (id // 25) % 25 AS row, id % 25 AS col FROM (SELECT s_suppkey * 625 + j AS id FROM supplier, range(625) AS x(j)) AS r) SELECT src, src + 1 AS dst FROM c WHERE col < 24 UNION ALL SELECT src, src + 25 FROM c WHERE row < 24")
 def _(t):
-    return GN.grids(t.spark, 5, 25)
+    return GN.grids(t.spark, t.supplier.count(), 25)
 
 
-@query("gn1_path", f"WITH k AS (SELECT id AS node, row_number() OVER (ORDER BY {draw_sql("'gn1|' || id")}, id) AS k FROM range(500) AS r(id)) SELECT a.node AS src, b.node AS dst FROM k a JOIN k b ON b.k = a.k + 1")
+@query("gn1_path", f"WITH k AS (SELECT id AS node, row_number() OVER (ORDER BY {draw_sql("'gn1|' || id")}, id) AS k FROM (SELECT p_partkey AS id FROM part) AS r) SELECT a.node AS src, b.node AS dst FROM k a JOIN k b ON b.k = a.k + 1")
 def _(t):
-    return GN.path_graph(t.spark, 500, "gn1|")
+    return GN.path_graph(t.spark, t.part.count(), "gn1|")
 
 
-@query("gn2_recursive_tree", f"SELECT id AS src, {draw_sql("'gn2|' || id")} % id AS dst FROM range(1, 1000) AS r(id)")
+@query("gn2_recursive_tree", f"SELECT id AS src, {draw_sql("'gn2|' || id")} % id AS dst FROM (SELECT p_partkey AS id FROM part) AS r WHERE id > 0")
 def _(t):
-    return GN.recursive_tree(t.spark, 1000, "gn2|")
+    return GN.recursive_tree(t.spark, t.part.count(), "gn2|")
 
 
-@query("gn3_random_pairs", f"SELECT {draw_sql("'gn3|a|' || id")} % 300 AS src, {draw_sql("'gn3|b|' || id")} % 300 AS dst FROM range(1200) AS r(id)")
+@query("gn3_random_pairs", f"SELECT {draw_sql("'gn3|a|' || id")} % n AS src, {draw_sql("'gn3|b|' || id")} % n AS dst FROM (SELECT p_partkey * 4 + j AS id, (SELECT count(*) FROM part) AS n FROM part, range(4) AS x(j))")
 def _(t):
-    return GN.random_pairs(t.spark, 300, 4, "gn3|")
+    return GN.random_pairs(t.spark, t.part.count(), 4, "gn3|")
 
 
-@query("gn3_bernoulli", f"SELECT a.id AS src, b.id AS dst FROM range(200) AS a(id), range(200) AS b(id) WHERE a.id < b.id AND {draw_sql("'gn3b|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < 0.05")
+@query("gn3_bernoulli", f"SELECT a.id AS src, b.id AS dst FROM (SELECT p_partkey AS id FROM part) AS a, (SELECT p_partkey AS id FROM part) AS b WHERE a.id < b.id AND {draw_sql("'gn3b|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < 0.05")
 def _(t):
-    return GN.bernoulli_pairs(t.spark, 200, 0.05, "gn3b|")
+    return GN.bernoulli_pairs(t.spark, t.part.count(), 0.05, "gn3b|")
 
 
-@query("gn4_small_world", f"SELECT id AS src, CASE WHEN {draw_sql("'gn4|' || id || '|' || j")} / 4294967296.0::DOUBLE < 0.1 THEN (id + 1 + {draw_sql("'gn4|to|' || id || '|' || j")} % 399) % 400 ELSE (id + j) % 400 END AS dst FROM range(400) AS r(id), (VALUES (1), (2), (3)) AS x(j)")
+@query("gn4_small_world", f"SELECT id AS src, CASE WHEN {draw_sql("'gn4|' || id || '|' || j")} / 4294967296.0::DOUBLE < 0.1 THEN (id + 1 + {draw_sql("'gn4|to|' || id || '|' || j")} % (n - 1)) % n ELSE (id + j) % n END AS dst FROM (SELECT p_partkey AS id, (SELECT count(*) FROM part) AS n FROM part) AS r, (VALUES (1), (2), (3)) AS x(j)")
 def _(t):
-    return GN.small_world(t.spark, 400, 3, 0.1, "gn4|")
+    return GN.small_world(t.spark, t.part.count(), 3, 0.1, "gn4|")
 
 
-@query("gn9_label_blocks", f"SELECT a.id AS src, b.id AS dst FROM range(150) AS a(id), range(150) AS b(id) WHERE a.id < b.id AND {draw_sql("'gn9|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < CASE WHEN a.id % 3 = b.id % 3 THEN 0.2 ELSE 0.02 END")
+@query("gn9_label_blocks", f"SELECT a.id AS src, b.id AS dst FROM (SELECT p_partkey AS id FROM part) AS a, (SELECT p_partkey AS id FROM part) AS b WHERE a.id < b.id AND {draw_sql("'gn9|' || a.id || '|' || b.id")} / 4294967296.0::DOUBLE < CASE WHEN a.id % 3 = b.id % 3 THEN 0.2 ELSE 0.02 END")
 def _(t):
-    return GN.label_blocks(t.spark, 150, 3, 0.2, 0.02, "gn9|")
+    return GN.label_blocks(t.spark, t.part.count(), 3, 0.2, 0.02, "gn9|")
 
 
-@query("gn13_planted_cycles", "SELECT 5 * m + j AS src, 5 * m + (j + 1) % 5 AS dst FROM range(120) AS a(m), range(5) AS b(j)")
+@query("gn13_planted_cycles", "SELECT 5 * m + j AS src, 5 * m + (j + 1) % 5 AS dst FROM (SELECT p_partkey AS m FROM part) AS a, range(5) AS b(j)")
 def _(t):
-    return GN.planted_cycles(t.spark, 120, 5)
+    return GN.planted_cycles(t.spark, t.part.count(), 5)
 
 
-@query("gn15_exponential", f"SELECT id AS node, round(-ln(1 - {draw_sql("'gn15|u|' || id")} / 4294967296.0::DOUBLE), 9) AS x FROM range(1000) AS r(id)")
+@query("gn15_exponential", f"SELECT id AS node, round(-ln(1 - {draw_sql("'gn15|u|' || id")} / 4294967296.0::DOUBLE), 9) AS x FROM (SELECT p_partkey AS id FROM part) AS r")
 def _(t):
-    return GN.sampled(t.spark, 1000, "exponential", "gn15|").select("node", F.round("x", 9).alias("x"))
+    return GN.sampled(t.spark, t.part.count(), "exponential", "gn15|").select("node", F.round("x", 9).alias("x"))
 
 
 @query("gn10_j12_kernel_graph", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE)) * list_sum(list_transform(range(1, 65), lambda i: b.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))), 6) AS k FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE k >= 0.5")
@@ -432,13 +432,13 @@ def _(t):
 
 
 GN6 = f"""WITH RECURSIVE s AS (SELECT n AS src, CASE WHEN n = 1 THEN 0 WHEN {draw_sql("'gn6|c|' || n")} / 4294967296.0::DOUBLE < 0.5 THEN {draw_sql("'gn6|' || n")} % n END AS dst,
-  CASE WHEN n > 1 THEN 1 + {draw_sql("'gn6|e|' || n")} % (n - 1) END AS copies FROM range(1, 2000) AS a(n)),
+  CASE WHEN n > 1 THEN 1 + {draw_sql("'gn6|e|' || n")} % (n - 1) END AS copies FROM (SELECT p_partkey AS n FROM part WHERE p_partkey > 0) AS a),
 r AS (SELECT * FROM s UNION ALL SELECT r.src, s.dst, s.copies FROM r JOIN s ON s.src = r.copies WHERE r.dst IS NULL) SELECT src, dst FROM r WHERE dst IS NOT NULL"""
 
 
 @query("gn6_preferential", GN6)
 def _(t):
-    return GN.preferential(t.spark, 2000, "gn6|")
+    return GN.preferential(t.spark, t.part.count(), "gn6|")
 
 
 # Sketches.
@@ -518,7 +518,8 @@ def _(t):
     return sinks.text_table(rows, {"p_partkey": 8, "size": 6})
 
 
-@query("x7_grid_expansion", "SELECT a || '-' || n AS config FROM (VALUES ('small'), ('large'), ('deep')) AS x(a), (VALUES (1), (8), (64), (512)) AS y(n)")
+@query("x7_grid_expansion", "SELECT a || '-' || n AS config FROM (SELECT DISTINCT event_type AS a FROM events), (SELECT DISTINCT p_size AS n FROM part)")
 def _(t):
-    arch = t.spark.createDataFrame([("small",), ("large",), ("deep",)], "a string")
-    return arch.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 8, 64, 512)]))).select(F.concat_ws("-", "a", "n").alias("config"))
+    """Every event type with every part size, two domains, as a grid of settings."""
+    sizes = t.part.select("p_size").distinct().agg(F.collect_list("p_size").alias("ns"))  # a domain in one row
+    return t.events.select(F.col("event_type").alias("a")).distinct().crossJoin(F.broadcast(sizes)).select("a", F.explode("ns").alias("n")).select(F.concat_ws("-", "a", "n").alias("config"))
