@@ -34,10 +34,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from .common import ship, split_batch, text_of, written
+from .common import prepared, split_batch, text_of, written
 
 #: Bytes of text in a row of the table of ids, and in a chunk, that is, what a task holds at once.
-BATCH, CHUNK = 1 << 20, 32 << 20
+BATCH, CHUNK = 1 << 19, 32 << 20
 #: How hard packed ids are compressed: level 1 leaves 0.69 of their bytes, level 3 0.58.
 LEVEL = 3
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -161,7 +161,7 @@ def _encoded(both: Tokenizers, texts: list[str | None]) -> Batch:
 
 def align(docs: DataFrame, bpe_json: str, piece_model: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document the id, ``n_a, n_b, n_groups, n_links`` and ``groups`` (``a1,a2|b1;a3|b2,b3`` in decimal ids)."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     files = _files(docs.sparkSession, bpe_json, piece_model, pattern)
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups"]
@@ -225,7 +225,7 @@ def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 def link_statistics(docs: DataFrame, bpe_json: str, piece_model: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document the id, ``n_a, n_b, n_groups, n_links, groups_sha256``, and over the whole corpus ``n_best`` (links whose
     pair is its B id's most frequent, ties included) and ``count_sum`` (the pairs' counts, over links)."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     files = _files(spark, bpe_json, piece_model, pattern)
     both = tokenizers(files.value)

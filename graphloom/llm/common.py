@@ -32,6 +32,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def prepared(spark: SparkSession) -> None:
+    """The sources shipped, and Arrow batches held to BATCH_BYTES (a setting of the session)."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once per row and names it inside ``body``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -61,8 +67,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     are held to BATCH_BYTES and ``fn``'s to MOST_BYTES (one row at least), so a worker's
     memory doesn't follow the lengths of the texts that happen to lie side by side.
     """
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    prepared(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, split_batch, text_of, written
+from .common import free_name, prepared, split_batch, text_of, written
 from .suffixes import sort_suffixes
 
 #: Bytes of a repeated string.
@@ -246,7 +246,7 @@ def _cut_into_ranges(groups: DataFrame, length: int) -> DataFrame:
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``k1, k2, spans``: of each document (by the key of its id and text) the stretches of bytes that lie in repeated windows, not yet merged."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     shared = _shared_seeds(keyed, length)
     found = written(_contexts(keyed, shared, length), "substring-contexts", compression="zstd")

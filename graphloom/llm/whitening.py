@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import free_name, ship, split_batch, written
+from .common import free_name, prepared, split_batch, written
 
 #: Factor before rounding down; components kept.
 SCALE, COMPONENTS = 256, 4
@@ -161,7 +161,7 @@ def dimension(df: DataFrame, x_col: str) -> int | None:
 
 def fit(vectors: DataFrame, vec_col: str = "embedding", components: int = COMPONENTS, scale: int = SCALE) -> Whitening | None:
     """The components of the distinct integer vectors; None where there is none."""
-    ship(vectors.sparkSession)
+    prepared(vectors.sparkSession)
     whole = vectors.select(integers(vec_col, scale).alias("x")).where("x IS NOT NULL")
     dims = dimension(whole, "x")
     if not dims:
@@ -226,7 +226,7 @@ def whiten(df: DataFrame, model: Whitening | None, vec_col: str = "embedding", o
     schema = StructType([StructField(f.name, ArrayType(DoubleType()) if f.name == out_col else f.dataType) for f in schema])
     if model is None:
         return df.sparkSession.createDataFrame([], schema)
-    ship(df.sparkSession)
+    prepared(df.sparkSession)
     dims, at, width = len(model.sums), plain.columns.index(x_col), len(plain.columns)
 
     def run(batches):
