@@ -241,15 +241,15 @@ def _(t):
 CN = "c AS (SELECT a.src, b.dst AS cand, count(*) AS cn, sum(1.0::DOUBLE / d.d) AS ra FROM tedges a JOIN tedges b ON a.dst = b.src JOIN (SELECT src, count(*) AS d FROM tedges GROUP BY src) d ON d.src = b.src WHERE a.src <> b.dst GROUP BY a.src, b.dst)"
 
 
-@query("l2_l3_wedge_scores", f"WITH {PART}, {CN} SELECT src, cand, cn, round(ra, 6) AS ra FROM c")
+@query("l2_l3_wedge_scores", f"WITH {PART}, {CN} SELECT src, cand, cn, round(ra, 7) AS ra FROM c")
 def _(t):
-    return L.wedge_scores(t.part_edges("train")).withColumn("ra", F.round("ra", 6))
+    return L.wedge_scores(t.part_edges("train")).withColumn("ra", F.round("ra", 7))
 
 
-@query("l4_l6_pair_scores", f"WITH {PART}, {CN}, deg AS (SELECT src AS node, count(*) AS d FROM tedges GROUP BY src) SELECT x.src, x.dst, coalesce(cn, 0) AS cn, round(coalesce(ra, 0), 6) AS ra, coalesce(a.d, 0) * coalesce(b.d, 0) AS pa FROM (SELECT u AS src, v AS dst FROM pairs WHERE split = 'test') x LEFT JOIN c ON c.src = x.src AND c.cand = x.dst LEFT JOIN deg a ON a.node = x.src LEFT JOIN deg b ON b.node = x.dst")
+@query("l4_l6_pair_scores", f"WITH {PART}, {CN}, deg AS (SELECT src AS node, count(*) AS d FROM tedges GROUP BY src) SELECT x.src, x.dst, coalesce(cn, 0) AS cn, round(coalesce(ra, 0), 7) AS ra, coalesce(a.d, 0) * coalesce(b.d, 0) AS pa FROM (SELECT u AS src, v AS dst FROM pairs WHERE split = 'test') x LEFT JOIN c ON c.src = x.src AND c.cand = x.dst LEFT JOIN deg a ON a.node = x.src LEFT JOIN deg b ON b.node = x.dst")
 def _(t):
     pairs = t.part_pairs().where("split = 'test'").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    return L.pair_scores(pairs, t.part_edges("train")).withColumn("ra", F.round("ra", 6))
+    return L.pair_scores(pairs, t.part_edges("train")).withColumn("ra", F.round("ra", 7))
 
 
 def _recall_sql(by: str) -> str:
