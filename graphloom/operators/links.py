@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,8 @@ def node_degrees(edges: DataFrame) -> DataFrame:
 
 #: Edges that are broadcast, about 100 MB. A source's wedges are as many at most, so that one task holds them.
 BROADCAST_EDGES = 4_000_000
+#: Wedges that a task counts at once where edges are broadcast.
+WEDGES = 1 << 21
 
 
 def _weighed(edges: DataFrame) -> DataFrame:
@@ -38,13 +42,21 @@ def wedge_scores(edges: DataFrame, sources: DataFrame | None = None, known: Data
     edges = written(edges.select("src", "dst"), "wedge-edges")
     half = edges.join(sources.select("src").distinct(), "src", "left_semi") if sources is not None else edges
     middle, half = _weighed(edges), half.select("src", F.col("dst").alias("mid"))
-    small = edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
-    met = half.repartition("src").join(F.broadcast(middle), "mid") if small else half.join(middle, "mid")
-    met = met.where("src <> cand").select("src", "cand", "w")
+    d = F.col("d").cast("double")
+    size = node_degrees(edges).agg(F.sum("d").alias("edges"), F.sum(d * d).alias("wedges")).first()  # one row
+    small = (size["edges"] or 0) <= BROADCAST_EDGES
+    if small:  # so many parts that a task counts about WEDGES of them
+        parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["wedges"] or 0) / WEDGES))
+        met = half.repartition(parts, "src").join(F.broadcast(middle), "mid")
+    else:
+        met = half.join(middle, "mid")
+    pairs = met.where("src <> cand").groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"))
     if known is None:
-        return met.groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"))
-    pairs = met.groupBy("src", "cand").agg(F.count("w").alias("cn"), F.sum("w").alias("ra"))
-    return pairs.join(known.select("src", F.col("dst").alias("cand")), ["src", "cand"], "left_anti")
+        return pairs
+    known = known.select("src", F.col("dst").alias("cand"))
+    if small and known.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+        known = F.broadcast(known)
+    return pairs.join(known, ["src", "cand"], "left_anti")
 
 
 def pair_scores(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,7 +77,8 @@ def pair_scores(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ranked_candidates(scores: DataFrame, edges: DataFrame, by: str, k: int) -> DataFrame:
     """The ``k`` best candidates of each source; ties go to the larger degree, then the smaller id."""
-    d = node_degrees(edges).toDF("cand", "d")
+    d = written(node_degrees(edges).toDF("cand", "d"), "degrees")
+    d = F.broadcast(d) if d.count() <= BROADCAST_EDGES else d
     order = Window.partitionBy("src").orderBy(F.desc(F.round(F.col(by), 9)), F.desc("d"), "cand")
     return scores.join(d, "cand").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "cand", "rank")
 

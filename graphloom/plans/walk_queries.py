@@ -13,7 +13,7 @@ from ..operators import splits as S
 from ..operators import statistics as ST
 from ..operators import walks as WK
 from ..shared import written
-from ..sources.fixtures import BIP, KG, LABEL, NEXT, PART
+from ..sources.fixtures import BIP, KG, LABEL, NEXT, PART, both_ways
 from .registry import query
 
 LENGTH = 6
@@ -262,7 +262,8 @@ SELECT count(*) AS sources, round(avg(coalesce(h, 0) / n::DOUBLE), 6) AS recall,
 
 
 def _recall(t, by):
-    train, test = t.part_edges("train"), t.part_edges("test")
+    pairs = written(t.part_pairs(), "pairs")  # read six times below
+    train, test = (both_ways(pairs.where(f"split = '{s}'")) for s in ("train", "test"))
     scores = L.wedge_scores(train, test.select("src").distinct(), known=train)
     return R.recall_at_k(L.ranked_candidates(scores, train, by, 20), test.select("src", F.col("dst").alias("cand")), 20)
 

@@ -15,7 +15,8 @@ def _split(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("split", F.when(F.col("fo") % 5 < 3, "train").when(F.col("fo") % 5 == 3, "val").otherwise("test"))
 
 
-def _both_ways(pairs: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+def both_ways(pairs: DataFrame, splits: tuple[str, ...] = ()) -> DataFrame:
+    """``src, dst``, both directions of ``u, v`` of the given splits."""
     pairs = pairs.where(F.col("split").isin(*splits)) if splits else pairs
     ends = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
     return pairs.select(F.explode(ends).alias("e")).select("e.*")
@@ -45,7 +46,7 @@ class Tables:
         return _split(lines.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.min("ok").alias("fo")))
 
     def next_edges(self, *splits: str) -> DataFrame:
-        return _both_ways(self.next_pairs(), splits)
+        return both_ways(self.next_pairs(), splits)
 
     def hub_nodes(self) -> DataFrame:
         """``node``: nations, and customers shifted by their number."""
@@ -60,11 +61,11 @@ class Tables:
         c = self.customer.where("c_acctbal >= 0").crossJoin(F.broadcast(n))
         own = F.col("c_custkey") + F.col("n")
         other = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") > 0), own - 1).otherwise(F.col("c_nationkey"))
-        return _both_ways(c.select(other.alias("u"), own.alias("v")), ())
+        return both_ways(c.select(other.alias("u"), own.alias("v")))
 
     def part_edges(self, *splits: str) -> DataFrame:
         """Both directions, ``src, dst``, of the given splits (all without any)."""
-        return _both_ways(self.part_pairs(), splits)
+        return both_ways(self.part_pairs(), splits)
 
     def part_nodes(self) -> DataFrame:
         return self.part.select(F.col("p_partkey").alias("node"))
