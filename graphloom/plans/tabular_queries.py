@@ -33,13 +33,13 @@ spots AS (SELECT j, j * ((SELECT count(*) FROM x) - 1.0::DOUBLE) / ((SELECT k FR
 g AS (SELECT list(a.x + (b.x - a.x) * (pos - floor(pos)) ORDER BY j) AS g FROM spots JOIN o a ON a.i = floor(pos)::BIGINT JOIN o b ON b.i = least(floor(pos)::BIGINT + 1, a.n - 1)),
 c AS (SELECT node, x, g, len(list_filter(g, lambda v: v < x)) AS below, len(list_filter(g, lambda v: v <= x)) AS upto FROM x, g),
 p AS (SELECT node, CASE WHEN x - {T.EDGE} < g[1] THEN 0.0::DOUBLE WHEN x + {T.EDGE} > g[len(g)] THEN 1.0::DOUBLE WHEN upto > below THEN (below + upto - 1) / 2.0::DOUBLE / (len(g) - 1) ELSE (upto - 1 + (x - g[upto]) / (g[upto + 1] - g[upto])) / (len(g) - 1) END AS place FROM c)
-SELECT node, round({value}, 5) AS q FROM p"""
+SELECT node, round({value}, 5) + 0.0::DOUBLE AS q FROM p"""
 
 
 def _grid(t, normal):
     x = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), F.col("l_extendedprice").cast("double").alias("x"))
     grid = T.quantile_grid(x, "x", SA.normal(("fe7|", F.col("node")), 0.0, T.JITTER))
-    return T.quantile_transform(x, "x", "q", grid, normal).select("node", F.round("q", 5).alias("q"))
+    return T.quantile_transform(x, "x", "q", grid, normal).select("node", (F.round("q", 5) + 0.0).alias("q"))
 
 
 @query("fe7_quantile_grid", _grid_sql("lineitem", "l_orderkey * 10 + l_linenumber", "l_extendedprice", False))
@@ -87,9 +87,9 @@ def _vectors(t):
 
 @query("fe5_smoothed_features", f"""WITH {PART}, x0 AS (SELECT p_partkey AS node, i - 1 AS i, embedding[i]::DOUBLE AS x FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings), unnest(range(1, len(embedding) + 1)) AS u(i)),
 lp AS (SELECT src, dst FROM edges UNION ALL SELECT p_partkey, p_partkey FROM part), d AS (SELECT src AS node, count(*) AS d FROM lp GROUP BY src), w AS (SELECT src, dst, 1 / sqrt(a.d * b.d) AS w FROM lp JOIN d a ON a.node = src JOIN d b ON b.node = dst),
-x1 AS (SELECT dst AS node, i, sum(x * w) AS x FROM x0 JOIN w ON w.src = node GROUP BY dst, i), x2 AS (SELECT dst AS node, i, sum(x * w) AS x FROM x1 JOIN w ON w.src = node GROUP BY dst, i) SELECT node, i, round(x, 6) AS x FROM x2""")
+x1 AS (SELECT dst AS node, i, sum(x * w) AS x FROM x0 JOIN w ON w.src = node GROUP BY dst, i), x2 AS (SELECT dst AS node, i, sum(x * w) AS x FROM x1 JOIN w ON w.src = node GROUP BY dst, i) SELECT node, i, round(x, 6) + 0.0::DOUBLE AS x FROM x2""")
 def _(t):
-    return T.smoothed(_vectors(t), t.part_edges(), "node", "embedding", 2).select("node", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+    return T.smoothed(_vectors(t), t.part_edges(), "node", "embedding", 2).select("node", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query("fe5_smoothed_svd")
