@@ -151,9 +151,9 @@ def category_plan(columns: list[str], seed: str, share: float = 0.5, most: int =
 def categorised(df: DataFrame, key: str, plan: list[Part], seed: str, most: int = 10) -> DataFrame:
     """``key, f0, f1, ...``: the plan as one projection. A class is the number of cut values that a value exceeds, renamed by the plan's
     order; one-hot takes a column a class; the columns' order is drawn at the end. The cut rows, ``most`` - 1 with the least draws of
-    their keys (fewer if the table has fewer), are all that the driver gets. A null has no class: null, or zeros."""
+    their keys (fewer if the table has fewer; rows of one key go by their values), are all that the driver gets. A null has no class: null, or zeros."""
     names = [p.column for p in plan]
-    rows = df.select(key, *names).orderBy(draw(f"{seed}|row|", F.col(key)), key).limit(most - 1).collect()
+    rows = df.select(key, *names).orderBy(draw(f"{seed}|row|", F.col(key)), key, *names).limit(most - 1).collect()
     out: list[Column] = []
     for p in plan:
         x = F.col(f"`{p.column}`").cast("double")
