@@ -10,19 +10,19 @@ from pyspark.sql.window import Window
 BUCKET = 1 << 16
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all smaller integer keys (keys unique): within buckets of keys, then over bucket totals."""
+def prefix_sum(df: DataFrame, key: str, value: str, out: str, *then: str) -> DataFrame:
+    """Sum of ``value`` over all smaller integer keys (unique, or with the columns ``then``): within buckets of keys, then over bucket totals."""
     keyed = df.withColumn("__b", F.floor(F.col(key) / BUCKET))
     totals = keyed.groupBy("__b").agg(F.sum(value).alias("__t"))
     before = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__b").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
     summed = keyed.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
     return summed.join(before, "__b").withColumn(out, (F.col(out) + F.col("__base")).cast("bigint")).drop("__b", "__base")
 
 
-def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Numbers 0, 1, ... in order of a unique integer key."""
-    return prefix_sum(df.withColumn("__one", F.lit(1)), key, "__one", out).drop("__one")
+def dense_ids(df: DataFrame, key: str, out: str, *then: str) -> DataFrame:
+    """Numbers 0, 1, ... in order of an integer key, which is unique or goes on with the columns ``then``."""
+    return prefix_sum(df.withColumn("__one", F.lit(1)), key, "__one", out, *then).drop("__one")
 
 
 def numbered_within(df: DataFrame, group: str, key: str, out: str) -> DataFrame:

@@ -25,18 +25,18 @@ def triples(lines: DataFrame, order: str = "hrt", delimiter: str | None = None)
 
 
 def vocabulary(found: DataFrame, which: str = "entity") -> DataFrame:
-    """``token, id`` in order of first sight: by file, line, and head before tail."""
+    """``token, id`` in order of first sight: by file, line, and head before tail; by token where lines share a number."""
     if which == "entity":
         seen = found.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("h").alias("token")), F.struct(F.lit(1).alias("side"), F.col("t").alias("token")))).alias("x"), "file", "line_no")
     else:
         seen = found.select(F.struct(F.lit(0).alias("side"), F.col("r").alias("token")).alias("x"), "file", "line_no")
     first = seen.groupBy(F.col("x.token").alias("token")).agg(F.min(F.struct("file", "line_no", "x.side")).alias("at"))
     numbered = first.select("token", "at.file", (F.col("at.line_no") * 2 + F.col("at.side")).alias("place"))
-    # first places are unique, so the order is total; ids come by ranges of places, file by file
+    # ids come by ranges of places, file by file
     from ..operators.scans import dense_ids
 
     whole = numbered.select("token", (F.col("file").cast("long") * F.lit(1 << 58) + F.col("place")).alias("key"))
-    return dense_ids(whole, "key", "id").select("token", "id")
+    return dense_ids(whole, "key", "id", "token").select("token", "id")
 
 
 def encoded(found: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
