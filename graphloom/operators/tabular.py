@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from ..shared import written
 from .algorithms import aggregate_neighbours
+from .links import node_degrees
+from .meeting import gathered
 from .scans import value_prefix
 
 # Quantile grid.
@@ -172,7 +174,18 @@ def categorised(df: DataFrame, key: str, plan: list[Part], seed: str, most: int
 
 
 def smoothed(vectors: DataFrame, edges: DataFrame, key: str, column: str, steps: int) -> DataFrame:
-    """``node, v``: vectors after so many normalised sums over neighbours and the node itself."""
+    """``node, v``: vectors after so many normalised sums over neighbours and the node itself. Vectors of one length go along the
+    edges whole, to each block of targets once; others element by element."""
+    whole = written(vectors.select(F.col(key).cast("bigint").alias("node"), F.col(column).cast("array<double>").alias("v")).where("size(v) > 0"), "vectors")
+    shape = whole.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.every(F.forall("v", lambda e: e.isNotNull())).alias("full")).first()
+    if shape["full"] and shape["low"] == shape["high"]:
+        looped = written(edges.select("src", "dst").unionByName(whole.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()), "looped")
+        root = written(node_degrees(looped).select("node", F.sqrt("d").alias("s")), "roots")
+        scaled = F.transform("v", lambda e: e / F.col("s"))
+        for _ in range(steps):
+            sums = gathered(written(whole.join(root, "node").select("node", scaled.alias("v")), "scaled"), looped, {"v": "sum"})
+            whole = written(sums.join(root, "node").select("node", scaled.alias("v")), "smoothed")
+        return whole
     x = vectors.select(F.col(key).alias("node"), F.posexplode(column).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     for _ in range(steps):
         x = written(aggregate_neighbours(x, edges, "gcn"), "smoothed")
