@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..shared import written
+from .meeting import compared, gathered
 
 HASHES, REGISTERS = 128, 256
 
@@ -20,15 +22,21 @@ def initial(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", mh.alias("mh"), hll.alias("hll"))
 
 
+#: Minima lie in [0, 2**32); moved down by this they are ints.
+_HALF = 1 << 31
+
+
+def _packed(sketch: DataFrame) -> DataFrame:
+    """The sketch in 4 bytes a minimum and one a register, as it is sent."""
+    return sketch.withColumns({"mh": F.transform("mh", lambda v: (v - _HALF).cast("int")), "hll": F.col("hll").cast("array<tinyint>")})
+
+
 def propagate(sketch: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hop: each node's sketch merged with its neighbours'. Elements aggregate with partial sums, so a hub's
-    neighbours are never gathered into one row before they shrink."""
+    """One hop: each node's sketch merged with its neighbours'. A sketch is sent once to each block of targets and merged
+    where they are, so that no edge carries one."""
     looped = edges.select("src", "dst").unionByName(sketch.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
-    met = looped.join(sketch, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "mh", "hll")
-    least = [F.min(F.col("mh")[k]).alias(f"m{k}") for k in range(HASHES)]
-    most = [F.max(F.col("hll")[k]).alias(f"h{k}") for k in range(REGISTERS)]
-    out = met.groupBy("node").agg(*least, *most)
-    return out.select("node", F.array(*[f"m{k}" for k in range(HASHES)]).alias("mh"), F.array(*[f"h{k}" for k in range(REGISTERS)]).alias("hll"))
+    out = gathered(written(_packed(sketch.select("node", "mh", "hll")), "sketch-packed"), looped, {"mh": "min", "hll": "max"})
+    return out.select("node", F.transform(F.col("mh").cast("array<bigint>"), lambda v: v + _HALF).alias("mh"), F.col("hll").cast("array<int>").alias("hll"))
 
 
 def cardinality(hll: Column) -> Column:
@@ -40,17 +48,24 @@ def cardinality(hll: Column) -> Column:
     return F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(m / empty)).otherwise(raw)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / float(HASHES)
+#: 2 to the power of less the register.
+_POWERS = 2.0 ** -np.arange(128)
+
+
+def _overlap(a: dict, b: dict, i: str, j: str) -> tuple[np.ndarray, np.ndarray]:
+    """The share of equal minima of sketches ``i`` of the left ends and ``j`` of the right ones, and the estimated overlap."""
+    share = (a[f"mh{i}"] == b[f"mh{j}"]).sum(1) / float(HASHES)
+    union = np.maximum(a[f"hll{i}"], b[f"hll{j}"])
+    m, empty = float(REGISTERS), (union == 0).sum(1)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / _POWERS[union].sum(1)
+    few = (raw <= 2.5 * m) & (empty > 0)
+    return share, share * np.where(few, m * np.log(m / np.maximum(empty, 1)), raw)
 
 
 def intersections(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """``src, dst, jaccard, shared``: the estimated overlap of both neighbourhoods."""
-    a, b = sketch.toDF("src", "ma", "ha"), sketch.toDF("dst", "mb", "hb")
-    met = pairs.join(a, "src").join(b, "dst")
-    union = F.zip_with("ha", "hb", lambda x, y: F.greatest(x, y))
-    j = jaccard(F.col("ma"), F.col("mb"))
-    return met.select("src", "dst", j.alias("jaccard"), (j * cardinality(union)).alias("shared"))
+    packed = written(_packed(sketch).select("node", F.col("mh").alias("mh1"), F.col("hll").alias("hll1")), "sketch-packed")
+    return compared(pairs, packed, ["mh1", "hll1"], lambda a, b: _overlap(a, b, "1", "1"), "jaccard double, shared double")
 
 
 def by_hop(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -74,16 +89,18 @@ def structural_features(pairs: DataFrame, sketches: DataFrame, hops: int, zero_o
     sets to zero the pair of columns for nodes one step from one end alone (of three hops: columns 4 and 5, and two steps from one end alone), and
     ``floor`` sets negative estimates to zero.
     """
-    a = sketches.where("hop > 0").groupBy(F.col("node").alias("src")).agg(F.sort_array(F.collect_list(F.struct("hop", "mh", "hll", "card"))).alias("a"))  # a row a hop
-    b = a.toDF("dst", "b")
-    met = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+    steps = [str(h) for h in range(1, hops + 1)]
+    packed = _packed(sketches.where(F.col("hop").between(1, hops)))
+    by_node = packed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("hop", "mh", "hll", "card"))).alias("a"))  # a row a hop
+    wide = [F.col("a")[k][c].alias(f"{c}{h}") for k, h in enumerate(steps) for c in ("mh", "hll")]
+    wide = written(by_node.select("node", *wide, F.transform("a", lambda x: x["card"]).alias("card")), "sketch-wide")
+    cells = [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3)][: hops * hops]
 
-    def overlap(i: int, j: int) -> Column:
-        x, y = F.col("a")[i - 1], F.col("b")[j - 1]
-        return jaccard(x["mh"], y["mh"]) * cardinality(F.zip_with(x["hll"], y["hll"], lambda p, q: F.greatest(p, q)))
+    def work(a: dict, b: dict) -> list:
+        return [*[_overlap(a, b, str(i), str(j))[1] for i, j in cells], *[side["card"][:, k] for side in (a, b) for k in range(hops)]]
 
-    cells = [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3)][: hops * hops]
-    known = met.select("src", "dst", *[overlap(i, j).alias(f"o{i}{j}") for i, j in cells], *[F.col(s)[k]["card"].alias(f"{s}{k + 1}") for s in "ab" for k in range(hops)])
+    out = ", ".join([*[f"o{i}{j} double" for i, j in cells], *[f"{side}{h} double" for side in "ab" for h in steps]])
+    known = compared(pairs.select("src", "dst").distinct(), wide, wide.columns[1:], work, out)
     column: dict[tuple, Column] = {}
     for i, j in cells:
         inside = [column[c] for c in cells if c != (i, j) and c[0] <= i and c[1] <= j]
